@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import base
 from .bpe import bpe
 from .decontaminate import contamination, is_contaminated
+from .near_dedup import near_duplicates
 from .token_counts import token_counts
 
 
@@ -25,6 +26,10 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op7_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(base.table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(base.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
