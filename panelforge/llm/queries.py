@@ -13,6 +13,7 @@ from .bpe import bpe
 from .decontaminate import contamination, is_contaminated
 from .near_dedup import near_duplicates
 from .token_counts import token_counts
+from .topk import top_k
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = top_k(base.table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+    return best.withColumnRenamed("id", "vec_id")
+
+
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -38,5 +44,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_threshold_top_k": OP3_SQL}
