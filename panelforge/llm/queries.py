@@ -12,6 +12,7 @@ from . import base
 from .bpe import bpe
 from .decontaminate import contamination, is_contaminated
 from .near_dedup import near_duplicates
+from .secrets import secrets
 from .token_counts import token_counts
 from .topk import top_k
 
@@ -40,6 +41,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(base.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
+def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(base.table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, "base_sha256", "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
