@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; operators cut batches further by bytes.
@@ -39,17 +39,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sample(rows: DataFrame, key: str, label: str, text: str, per_label: int, longest: int = 20_000) -> list[tuple[str, object]]:
-    """At most per_label rows of each label, chosen by a hash of the key, on the driver.
+def sample(labels: DataFrame, docs: DataFrame, key: str, label: str, text: str, per_label: int, longest: int = 20_000) -> list[tuple[str, object]]:
+    """(text, label) of at most per_label keys of each label, chosen by a hash of the key, on the driver.
 
-    Only keys and labels are ranked; the texts of the chosen keys alone are read.
-    Texts over `longest` characters are left out of the sample (never out of a result).
+    Only keys and labels are ranked, with a limit before anything moves; the chosen keys
+    go to the documents, so that just their texts are fetched.  Texts over `longest`
+    characters are left out of the sample (never out of a result).
     """
-    from pyspark.sql import Window
-
-    ranked = rows.where(F.length(text) <= longest).select(F.col(key).alias("_k"), F.col(label).alias("_y")).where("_k is not null and _y is not null")
-    ranked = ranked.groupBy("_k").agg(F.min("_y").alias("_y")).withColumn("_o", F.xxhash64("_k", F.lit(11)))
+    keyed = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where("_k is not null and _y is not null")
+    ranked = keyed.groupBy("_k").agg(F.min("_y").alias("_y")).withColumn("_o", F.xxhash64("_k", F.lit(11)))
     few = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("_o", "_k"))).where(F.col("_r") <= per_label)
-    few = few.select("_k", "_y")
-    picked = rows.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(few), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
-    return [(r["_t"], r["_y"]) for r in sorted(picked.collect(), key=lambda r: r["_k"])]
+    picked = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(few.select("_k", "_y")), "_k").where(F.length("_t") <= longest)
+    rows = picked.groupBy("_k", "_y").agg(F.min("_t").alias("_t")).collect()
+    return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: r["_k"])]

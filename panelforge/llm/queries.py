@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import base
 from .bpe import bpe
 from .decontaminate import contamination, is_contaminated
+from .langid import identify
 from .near_dedup import near_duplicates
+from .quality import CUT, quality
 from .secrets import secrets
 from .token_counts import token_counts
 from .topk import top_k
@@ -27,12 +29,24 @@ def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("id", "vec_id")
 
 
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents")
+    found = identify(docs, docs.where(~base.held_out("doc_id", 5)))
+    return found.select("doc_id", base.held_out("doc_id", 5).alias("held_out"), "lang_pred", "score")
+
+
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
+def op6_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = base.table(spark, sf_dir, "labels").where(~base.held_out("doc_id", 5))
+    found = quality(base.table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", base.held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 def op7_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(base.table(spark, sf_dir, "documents")).drop("rid")
 
@@ -43,10 +57,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(base.table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    kinds = F.col("found.kind")
+    counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, "base_sha256", "spans")
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x == kind
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
