@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .quality import CUT, quality
 from .secrets import secrets
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .topk import top_k
 
 
@@ -24,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = base.table(spark, sf_dir, "labels").where(~base.held_out("doc_id", 5))
+    found = toxicity(base.table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", base.held_out("doc_id", 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_k(base.table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
     return best.withColumnRenamed("id", "vec_id")
