@@ -15,6 +15,7 @@ from .langid import identify
 from .near_dedup import near_duplicates
 from .quality import CUT, quality
 from .secrets import secrets
+from .suffix_tree import lm_scores
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .topk import top_k
@@ -58,6 +59,12 @@ def op7_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(base.table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents")
+    found = lm_scores(docs, docs.where(~base.held_out("doc_id", 10)))
+    return found.select("doc_id", base.held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(base.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
