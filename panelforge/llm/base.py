@@ -30,12 +30,20 @@ def held_out(key: str, n: int) -> Column:
     return fold(key, n) == 0
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a local one where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL
+
+
+#: For sessions without a cluster, as in tests.
+_LOCAL = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster names in spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()
 
 

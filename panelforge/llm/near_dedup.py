@@ -14,12 +14,14 @@ arrivals rather than n * REGISTERS.
 Candidates.  BANDS bands of ROWS registers each; two texts at similarity 0.8 share no
 band with probability (1 - 0.8**6)**42 = 3e-6.  Equal word sequences become one node first.
 
-Verification without all pairs.  In each band's bucket every node is compared with
-the bucket's smallest node; verified links make components.  Buckets that then still
-hold several components go through exact comparison in blocks of at most about BLOCK
-nodes, where sketches of one byte a register are compared in memory and just pairs of
-different components with a likely link come out; those are verified as well.  So a
-group of any size gives rows in proportion to it, and no link is lost between texts that meet.
+Verification without all pairs.  In each band's bucket every node is compared with the
+bucket's star, the node with most exact copies.  Likely links (by sketches of one byte
+a register) make clusters; buckets that still hold several clusters are compared in
+blocks, where likely pairs just join clusters.  Likely links are then verified from the
+texts and make classes; in clusters that still hold several classes, members outside
+the largest class are compared with all, again in blocks, exactly, until joined.  A
+block gives fewer pairs than it has rows, so a group of any size gives rows in
+proportion to it, and no link is lost between texts that meet in a band.
 
 A link is an exact similarity of at least 0.8, from the texts.  Sketches rule out
 pairs only below 0.7, four standard deviations away.
@@ -45,7 +47,7 @@ SIMILARITY = 0.8
 REGISTERS = 256
 ROWS, BANDS = 6, 42
 PLAUSIBLE = 0.7
-BLOCK = 256
+HOME, BYTES = 128, 4 << 20
 #: Rows up to which a table of (long, long) is sent to every executor: 32 MB.
 SMALL = 2_000_000
 
@@ -144,7 +146,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, rid (a hash of the row), node (a hash of the word sequence; null without words), bands, sketch."""
+    """key, rid (a hash of the row), node (a hash of the word sequence; null without words), n_bytes, bands, sketch."""
     base.arrow(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
 
@@ -163,10 +165,10 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 part = batch.slice(run.first, run.docs)
                 ends = np.append(0, np.cumsum(np.where(none, 0, BANDS))).astype(np.int32)
                 sketch = (kept & np.uint64(255)).astype(np.uint8)
-                cols = [part.column(0), part.column(1), pa.array(node, mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~none].ravel())), pa.array([None if x else s.tobytes() for s, x in zip(sketch, none, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "node", "bands", "sketch"])
+                cols = [part.column(0), part.column(1), pa.array(node, mask=none), pa.array(np.diff(run.off)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~none].ravel())), pa.array([None if x else s.tobytes() for s, x in zip(sketch, none, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "node", "n_bytes", "bands", "sketch"])
 
-    return rows.mapInArrow(sign, f"key {dict(rows.dtypes)['key']}, rid long, node long, bands array<long>, sketch binary")
+    return rows.mapInArrow(sign, f"key {dict(rows.dtypes)['key']}, rid long, node long, n_bytes long, bands array<long>, sketch binary")
 
 
 def _chain(cols: np.ndarray) -> np.ndarray:
@@ -197,12 +199,16 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.mapInArrow(near, "a long, b long")
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) of the wanted nodes; the table is read once, and only wanted texts move."""
+    wanted = base.checkpoint(wanted.join(nodes.select("node", "rid"), "node"))
+    small = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    return docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text")).join(small, "rid").select("node", "text").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b) whose texts have at least the similarity asked for."""
-    wanted = base.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rid"), "node"))
-    small = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
-    texts = docs.select(F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text")).join(small, "rid").select("node", "text").dropDuplicates(["node"])
-    texts = base.checkpoint(texts)
+    texts = base.checkpoint(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, key, text))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,63 +220,136 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return base.checkpoint(both.mapInArrow(check, "a long, b long"))
 
 
-def residual(buckets: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs of nodes of one bucket but of different components, by comparison in blocks."""
-    named = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = named.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).where("x <> y")
-    blocks = mixed.select("bucket", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("k"))
-    members = named.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "k").cast("int"))
-    # A member meets every block: the smaller block's number comes first.
-    spread = members.select("bucket", "node", "class", "mine", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("theirs"))
-    spread = spread.select("bucket", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j"), "node", "class")
-    spread = spread.join(nodes.select("node", "sketch"), "node")
-    sorted_ = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+def blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """Rows (node, `group`, `kind`, n_bytes) of groups with several kinds, dealt into blocks (group, i, j).
+
+    A row of any kind is at home in one block i of its group; rows that aren't of the
+    group's commonest kind are guests as well, in one block j each, and blocks i and j
+    meet once.  So a group of n rows with r guests makes about n * r / HOME + r * n / HOME
+    rows and no more than HOME rows, or BYTES of text, of either side come together.
+    """
+    sizes = rows.groupBy(group, kind).agg(F.count("*").alias("c"), F.sum("n_bytes").alias("b"))
+    top = sizes.groupBy(group).agg(F.max(F.struct("c", F.col(kind).alias("k"), "b")).alias("m"), F.sum("c").alias("n"), F.sum("b").alias("b"), F.count("*").alias("kinds"))
+    many = lambda n, b: F.ceil(n / F.lit(HOME) + b / F.lit(BYTES)).cast("int")
+    top = top.where("kinds > 1").select(group, F.col("m.k").alias("major"), many(F.col("n"), F.col("b")).alias("ki"), many(F.col("n") - F.col("m.c"), F.col("b") - F.col("m.b")).alias("kj"))
+    member = rows.join(top, group)
+    i, j = F.pmod(F.xxhash64("node"), "ki").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "kj").cast("int")
+    home = member.select(*rows.columns, i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("kj") - 1)).alias("j"), F.lit(True).alias("home"))
+    guest = member.where(F.col(kind) != F.col("major")).select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("ki") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("home"))
+    return home.union(guest)
+
+
+class Forest:
+    """Which kinds of a block are already joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def similarities(guests: list, homes: list):
+    """A function of (guest, home) for the exact similarity; overlaps of a block are counted in one product."""
+    keys, place = np.unique(np.concatenate([s[0] for s in guests + homes]), return_inverse=True)
+    plain = [bool((s[1] == 1).all()) for s in guests + homes]
+    n, size = len(guests) + len(homes), [len(s[0]) for s in guests + homes]
+    common = None
+    if n * len(keys) <= 1 << 26:
+        x = np.zeros((n, len(keys)), np.float32)
+        x[np.repeat(np.arange(n), size), place] = 1
+        common = x[: len(guests)] @ x[len(guests) :].T
+
+    def of(g: int, h: int) -> float:
+        k = len(guests) + h
+        if common is not None and plain[g] and plain[k]:
+            return float(common[g, h]) / (size[g] + size[k] - float(common[g, h]))
+        return probability_jaccard(guests[g], homes[h])
+
+    return of
+
+
+def joined(rows: DataFrame, group: str, kind: str, exact: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different kinds that connect the kinds of each block that have a link.
+
+    rows: blocks() with sketch, and text if `exact`.  Without `exact` likely links count.
+    Likely pairs are tried from the likeliest, and a pair whose kinds are joined by then
+    is passed over: a block gives fewer pairs than it has rows.
+    """
+    names = [group, "i", "j", "node", kind, "home", "sketch"] + ["text"] * exact
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
 
         def flush() -> pa.RecordBatch:
-            node = np.array([h[0] for h in held])
-            cls = np.array([h[1] for h in held])
-            sk = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), REGISTERS)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(len(held) - 1):
-                other = np.flatnonzero(cls[i + 1 :] != cls[i]) + i + 1
-                other = other[agreement(sk[other], sk[i]) >= PLAUSIBLE]
-                a.append(np.full(len(other), node[i]))
-                b.append(node[other])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            guests, homes = [h for h in held if not h[2]], [h for h in held if h[2]]
+            a, b = [], []
+            if guests and homes:
+                sk = [np.frombuffer(b"".join(h[3] for h in side), np.uint8).reshape(len(side), REGISTERS) for side in (guests, homes)]
+                like = np.stack([agreement(sk[1], g) for g in sk[0]])
+                like[np.array([g[1] for g in guests])[:, None] == np.array([h[1] for h in homes])[None]] = 0
+                x, y = np.nonzero(like >= PLAUSIBLE)
+                if len(x) and exact:
+                    sets = [[s for run in runs(pa.array([h[4] for h in side], pa.large_string())) for s in shingle_sets(run)] for side in (guests, homes)]
+                    of = similarities(*sets)
+                forest = Forest()
+                for k in np.argsort(-like[x, y], kind="stable").tolist():
+                    g, h = guests[x[k]], homes[y[k]]
+                    if forest.find(g[1]) != forest.find(h[1]) and (not exact or of(x[k], y[k]) >= SIMILARITY):
+                        forest.join(g[1], h[1])
+                        a.append(g[0])
+                        b.append(h[0])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for x in batches:
-            for *group, node, cls, sketch in zip(*(x.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "class", "sketch")), strict=True):
-                if group != at and held:
+        for batch in batches:
+            for *place, node, cls, home, sketch, text in zip(*(batch.column(c).to_pylist() for c in names), *([[None] * len(batch)] if not exact else []), strict=True):
+                if place != at and held:
                     yield flush()
                     held = []
-                at = group
-                held.append((node, cls, sketch))
+                at = place
+                held.append((node, cls, home, sketch, text))
         if held:
             yield flush()
 
-    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+    return rows.select(*names).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of every row: key, rid (a hash of the row), class_id (the smallest key of its class), class_size, and
     kept: whether it is the one row that stands for its class (copies of that very row carry it too)."""
     signed = base.checkpoint(signatures(docs, key, text))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = base.checkpoint(nodes)
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket", "least")
-    shared = base.checkpoint(buckets.join(least, "bucket"))
-    stars = plausible(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), nodes)
-    links = verified(base.checkpoint(stars), nodes, docs, key, text)
+    buckets = nodes.select("node", "copies", "n_bytes", F.explode("bands").alias("bucket"))
+    star = buckets.groupBy("bucket").agg(F.max(F.struct("copies", "node"))["node"].alias("star"), F.count("*").alias("n")).where("n > 1").select("bucket", "star")
+    shared = base.checkpoint(buckets.drop("copies").join(star, "bucket"))
+    likely = base.checkpoint(plausible(shared.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct(), nodes))
+    named = lambda classes: F.coalesce(classes["class"], F.col("node"))
+    # Clusters: what likely links connect, within and across the stars of all buckets.
+    clusters = components(likely)
+    rows = shared.join(clusters, "node", "left").select("node", "n_bytes", "bucket", named(clusters).alias("cluster"))
+    met = base.checkpoint(joined(blocks(rows, "bucket", "cluster").join(nodes.select("node", "sketch"), "node"), "bucket", "cluster", False))
+    if not met.isEmpty():
+        clusters = components(likely.union(met))
+    # Classes: what verified links connect; all likely pairs lie within a cluster.
+    links = verified(likely.union(met).distinct(), nodes, docs, key, text)
     classes = components(links)
-    rest = base.checkpoint(residual(shared.select("node", "bucket"), classes, nodes))
-    if not rest.isEmpty():
-        links = links.union(verified(rest, nodes, docs, key, text))
-        classes = components(links)
+    rows = clusters.withColumnRenamed("class", "cluster").join(classes, "node", "left").join(nodes.select("node", "n_bytes"), "node")
+    dealt = base.checkpoint(blocks(rows.select("node", "n_bytes", "cluster", named(classes).alias("kind")), "cluster", "kind"))
+    if not dealt.isEmpty():
+        texts = base.checkpoint(texts_of(dealt.select("node").distinct(), nodes, docs, key, text))
+        more = base.checkpoint(joined(dealt.join(nodes.select("node", "sketch"), "node").join(texts, "node"), "cluster", "kind", True))
+        classes = components(links.union(more))
+    # A row without words is a class of its own.
     member = signed.where("node is not null").join(classes, "node", "left").select("key", "rid", F.coalesce("class", "node").alias("class"))
     first = F.min(F.struct(F.col("key").isNull().alias("no"), F.col("key").alias("key"), F.col("rid").alias("rid")))
     named = member.groupBy("class").agg(first.alias("f"), F.count("*").alias("class_size"))
