@@ -328,11 +328,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept: whether it is the one row that stands for its class (copies of that very row carry it too)."""
     signed = base.checkpoint(signatures(docs, key, text))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = base.checkpoint(nodes)
+    # Partitions are merged to as many as the rows need, which keeps files few where shuffles are dealt finely.
+    parts = max(8, signed.count() // 20_000)
+    nodes = base.checkpoint(nodes.coalesce(parts))
     buckets = nodes.select("node", "copies", "n_bytes", F.explode("bands").alias("bucket"))
     star = buckets.groupBy("bucket").agg(F.max(F.struct("copies", "node"))["node"].alias("star"), F.count("*").alias("n")).where("n > 1").select("bucket", "star")
-    shared = base.checkpoint(buckets.drop("copies").join(star, "bucket"))
-    likely = base.checkpoint(plausible(shared.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct(), nodes))
+    shared = base.checkpoint(buckets.drop("copies").join(star.coalesce(parts), "bucket").coalesce(parts))
+    pairs = shared.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct().coalesce(parts)
+    likely = base.checkpoint(plausible(pairs, nodes).coalesce(parts))
     named = lambda classes: F.coalesce(classes["class"], F.col("node"))
     # Clusters: what likely links connect, within and across the stars of all buckets.
     clusters = components(likely)
