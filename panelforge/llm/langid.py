@@ -125,10 +125,10 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return Model(langs, groups, *stack(top), pairs, *stack(low))
 
 
-def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: bool = False, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """key, lang_pred and score of every row of docs, learnt from text and lang of `train`.
 
-    With `keep` every column of docs comes along.
+    With `keep` every column of docs comes along; `into` names the two new ones.
     """
     base.arrow(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(base.sample(train, train, key, lang, text, SAMPLE)))
@@ -150,8 +150,8 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
                 scores[run.first : run.first + run.docs][some] = score[some]
             new = [pa.array(names, pa.string()), pa.array(scores)]
             old = batch.columns if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*old, *new], names=[*(batch.schema.names if keep else [key]), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*old, *new], names=[*(batch.schema.names if keep else [key]), *into])
 
     rows = docs if keep else docs.select(F.col(key), F.col(text).cast("string").alias(text))
     schema = ", ".join(f"`{n}` {t}" for n, t in (rows.dtypes if keep else rows.dtypes[:1]))
-    return rows.mapInArrow(apply, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(apply, f"{schema}, `{into[0]}` string, `{into[1]}` double")
