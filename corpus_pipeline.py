@@ -33,23 +33,26 @@ def row_id() -> Column:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose text has a language, and set lang to it."""
-    found = identify(docs, docs.where(~base.held_out("doc_id", 5)), keep=True)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    lang, score = into = base.fresh(docs, "lang_pred"), base.fresh(docs, "score")
+    found = identify(docs, docs.where(~base.held_out("doc_id", 5)), keep=True, into=into)
+    kept = found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("rid").alias("_rid")).distinct()
-    rows = docs.withColumn("_rid", row_id())
-    return rows.join(kept, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
+    rid = base.fresh(docs, "rid")
+    kept = near_duplicates(docs).where("kept").select(F.col("rid").alias(rid)).distinct()
+    rows = docs.withColumn(rid, row_id())
+    return rows.join(kept, rid, "left_semi").dropDuplicates([rid]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which at least a twentieth is a benchmark's."""
-    found = contamination(docs.withColumn("_rid", row_id()), base.table(spark, sf_dir, "benchmark"), key="_rid")
-    bad = found.where(is_contaminated()).select("_rid").distinct()
-    return docs.withColumn("_rid", row_id()).join(bad, "_rid", "left_anti").select(*docs.columns)
+    rid = base.fresh(docs, "rid")
+    rows = docs.withColumn(rid, row_id())
+    bad = contamination(rows, base.table(spark, sf_dir, "benchmark"), key=rid).where(is_contaminated()).select(rid).distinct()
+    return rows.join(bad, rid, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
