@@ -45,6 +45,12 @@ def standardised(train: DataFrame, x: str, *by: str) -> DataFrame:
     return train.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
 
 
+def _named(out: pd.DataFrame, by: tuple[str, ...], key: tuple, cols: list[str]) -> pd.DataFrame:
+    """The frame with its group's key, in the order asked for; text as plain objects."""
+    out = out.assign(**{b: [k] * len(out) for b, k in zip(by, key, strict=True)})[cols]
+    return out.astype({c: object for c in cols if not pd.api.types.is_numeric_dtype(out[c])})
+
+
 def _wide(pdf: pd.DataFrame, value: str) -> pd.DataFrame:
     return pdf.pivot_table(index="t", columns="ticker", values=value, aggfunc="mean").sort_index()
 
@@ -65,10 +71,10 @@ def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4) -> Da
         x, y = x.align(y, join="inner", axis=0)
         names = [*by, "src", "tgt", "w"]
         if min(x.shape[1], y.shape[1]) < least:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: np.zeros(0, object if kinds.get(n, "string") == "string" and n != "w" else float) for n in names})
         w = solver(x.to_numpy(), y.to_numpy())
         out = pd.DataFrame({"src": np.repeat(x.columns, y.shape[1]), "tgt": np.tile(y.columns, x.shape[1]), "w": w.ravel()})
-        return out.assign(**dict(zip(by, key, strict=True)))[names]
+        return _named(out, by, key, names)
 
     return train.groupBy(*by).applyInPandas(fit, f"{keys}, src string, tgt string, w double")
 
@@ -104,7 +110,7 @@ def denoised(weights: DataFrame, how: Callable[[np.ndarray], np.ndarray], *by: s
         out = pd.DataFrame({"src": np.tile(s, len(t)), "tgt": np.repeat(t, len(s)), "w": m.ravel()})
         if zero_diagonal:
             out.loc[out["src"] == out["tgt"], "w"] = 0.0
-        return out.assign(**dict(zip(by, key, strict=True)))[[*by, "src", "tgt", "w"]]
+        return _named(out, by, key, [*by, "src", "tgt", "w"])
 
     return weights.groupBy(*by).applyInPandas(apply, ", ".join(f"{k} {kinds[k]}" for k in by) + ", src string, tgt string, w double")
 
@@ -162,7 +168,7 @@ def biclusters(edges: DataFrame, value: str, how: Callable[[np.ndarray], tuple[n
         t, s = sorted(pdf["tgt"].unique()), sorted(pdf["src"].unique())
         a, b = how(np.nan_to_num(edge_matrix(pdf, value, t, s)))
         out = pd.DataFrame({"side": ["target"] * len(t) + ["source"] * len(s), "ticker": t + s, "value": np.concatenate([a, b]).astype(float)})
-        return out.assign(**dict(zip(by, key, strict=True)))[[*by, "side", "ticker", "value"]]
+        return _named(out, by, key, [*by, "side", "ticker", "value"])
 
     return edges.groupBy(*by).applyInPandas(apply, ", ".join(f"{k} {kinds[k]}" for k in by) + ", side string, ticker string, value double")
 

@@ -282,21 +282,20 @@ def cash_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cash_pnl(P.gross_weights(s), s.select("date", "ticker", "ret")).select("date", rd("pnl"))
 
 
-_BLOCK = "src.ticker < 'F' AND tgt.ticker >= 'R'"
 
 
-@query(sql("pt", _EDGE + "SELECT round(coalesce(sum(CASE WHEN src < 'F' AND tgt >= 'R' THEN abs(a) END), 0), 6) + 0 AS forward_mass, round(coalesce(sum(CASE WHEN tgt < 'F' AND src >= 'R' THEN abs(a) END), 0), 6) + 0 AS reverse_mass, round(coalesce(sum(CASE WHEN src < 'F' AND tgt >= 'R' THEN abs(a) END), 0) - coalesce(sum(CASE WHEN tgt < 'F' AND src >= 'R' THEN abs(a) END), 0), 6) + 0 AS direction_gap FROM es"))
+@query(sql("pt", _EDGE + "SELECT round(coalesce(sum(CASE WHEN src < 'NATION_15' AND tgt >= 'NATION_22' THEN abs(a) END), 0), 6) + 0 AS forward_mass, round(coalesce(sum(CASE WHEN tgt < 'NATION_15' AND src >= 'NATION_22' THEN abs(a) END), 0), 6) + 0 AS reverse_mass, round(coalesce(sum(CASE WHEN src < 'NATION_15' AND tgt >= 'NATION_22' THEN abs(a) END), 0) - coalesce(sum(CASE WHEN tgt < 'NATION_15' AND src >= 'NATION_22' THEN abs(a) END), 0), 6) + 0 AS direction_gap FROM es"))
 def direction_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.weekly(spark, sf_dir)
     names = p.select("ticker").distinct()
-    g = E.direction_gap(E.edge_stats(p).withColumnRenamed("a", "w"), names.where("ticker < 'F'"), names.where("ticker >= 'R'"))
+    g = E.direction_gap(E.edge_stats(p).withColumnRenamed("a", "w"), names.where("ticker < 'NATION_15'"), names.where("ticker >= 'NATION_22'"))
     return g.select(rd("forward_mass"), rd("reverse_mass"), rd("direction_gap"))
 
 
-@query(sql("pt", _EDGE + "SELECT CAST(tgt < 'J' AS INTEGER) AS rc, CAST(src < 'J' AS INTEGER) AS cc, round(sum(a * n) / sum(n), 6) + 0 AS block_score, count(*) AS edges FROM es WHERE a IS NOT NULL GROUP BY 1, 2"))
+@query(sql("pt", _EDGE + "SELECT CAST(tgt < 'NATION_2' AS INTEGER) AS rc, CAST(src < 'NATION_2' AS INTEGER) AS cc, round(sum(a * n) / sum(n), 6) + 0 AS block_score, count(*) AS edges FROM es WHERE a IS NOT NULL GROUP BY 1, 2"))
 def block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.weekly(spark, sf_dir)
-    lab = p.select("ticker").distinct().withColumn("c", (F.col("ticker") < "J").cast("int"))
+    lab = p.select("ticker").distinct().withColumn("c", (F.col("ticker") < "NATION_2").cast("int"))
     return M.best_block(E.edge_stats(p), lab, lab).select("rc", "cc", rd("block_score"), "edges")
 
 
