@@ -16,6 +16,8 @@ import pandas as pd
 import pyarrow as pa
 
 BLOCK = 4 << 20
+#: Bytes that are hashed at a time.
+STRETCH = 1 << 20
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _power = np.ones(1, np.uint64)
@@ -118,12 +120,12 @@ def hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
 
     The hash is a polynomial in an odd base taken from prefix sums modulo 2**64 and
-    then mixed with the length.  Spans are done in stretches of about BLOCK bytes.
+    then mixed with the length.  Spans are done in stretches of about STRETCH bytes.
     """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         power, inverse = _powers(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
