@@ -94,8 +94,9 @@ def fingerprints(run: spans.Run, short: tuple[int, ...], bits: np.ndarray | None
     return n_words, found
 
 
-def slot(grams: np.ndarray, kind: int) -> np.ndarray:
-    return ((grams ^ np.uint64(kind * 0x9E3779B9)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def slot(grams: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
+    salt = np.asarray(kind, np.uint64) * np.uint64(0x9E3779B9)
+    return ((grams ^ salt) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
 def in_map(bits: np.ndarray, grams: np.ndarray, kind: int) -> np.ndarray:
@@ -122,9 +123,8 @@ def bit_map(prints: DataFrame) -> bytes:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS - 3, np.uint8)
         for b in batches:
-            for kind, gram in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = int(slot(np.array([gram]).view(np.uint64), kind)[0])
-                bits[at >> 3] |= 1 << (at & 7)
+            at = slot(np.array(b.column(1), np.int64).view(np.uint64), np.asarray(b.column(0)))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at >> 12), pa.array(at & 4095), pa.array(bits[at].astype(np.int32))], names=["page", "byte", "value"])
 
