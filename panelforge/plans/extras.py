@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import edges as E
+from ..operators import kernels as K
+from ..operators import models as M
 from ..operators import portfolio as P
 from ..operators import windows as W
 from ..sources import panels
 from .catalog import query, rd, sql
-from .research import _EDGE, _TURN, scored
+from .research import _EDGE, _TURN, aligned, scored
 
 
 @query(sql("sc", _TURN + "SELECT round(avg(oneway), 6) + 0 AS mean, round(median(oneway), 6) + 0 AS median FROM tv"))
@@ -96,3 +100,60 @@ def smoothed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quantiles_and_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.weekly(spark, sf_dir)
     return p.groupBy("ticker").agg(rd(F.avg((F.abs("ret") > 0.001).cast("double")), "active"), rd(F.percentile("sig", F.lit(0.9)), "q90"), rd(F.percentile("sig", F.lit(0.5)), "q50"))
+
+
+def _holdout(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
+    """The penalty whose fit on the earlier dates of each window ranks its last dates best."""
+    train, ranges = aligned(spark, sf_dir)
+    train = train.join(F.broadcast(ranges.select("window", "tr1")), "window")
+    early, late = train.where(F.col("t") < F.col("tr1") - last), train.where(F.col("t") >= F.col("tr1") - last)
+    stats = M.standardised(early, "x", "window", "ticker").drop("n")
+    z = late.join(stats, ["window", "ticker"]).select("window", "t", "ticker", ((F.col("x") - F.col("mean")) / F.col("sd")).alias("x"))
+    out = None
+    for lam in (1.0, 100.0):
+        p = M.predict(z, M.fit_blocks(early, partial(K.ridge, lam=lam), "window", "sector"), "window").join(late.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
+        ic = M.information(p, "window").withColumn("lam", F.lit(lam))
+        out = ic if out is None else out.unionByName(ic)
+    return M.choose(out, "ic", "lam", "window")
+
+
+@query()
+def lambda_holdout_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of each training window held out."""
+    return _holdout(spark, sf_dir, 21)
+
+
+@query()
+def lambda_holdout_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 13 dates held out."""
+    return _holdout(spark, sf_dir, 13)
+
+
+@query()
+def bicluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a trading matrix: signs of significant edges between a window's target and source sets, on the signal before."""
+    p = W.ordinal(panels.weekly(spark, sf_dir)).withColumn("window", F.floor(F.col("t") / 120).cast("int"))
+    e = E.edge_stats(p, "sig", "ret", 1, "window")
+    marks = M.biclusters(e, "tstat", M.members(partial(K.alternating, targets=8, sources=8)), "window").where("value > 0")
+    t, s = (marks.where(F.col("side") == side).select("window", F.col("ticker").alias(name)) for side, name in (("target", "tgt"), ("source", "src")))
+    m = e.where("abs(tstat) >= 1.0 and n >= 30").join(t, ["window", "tgt"], "left_semi").join(s, ["window", "src"], "left_semi").select("window", "src", "tgt", F.signum("tstat").alias("w"))
+    # The matrix of a window trades the dates of the next one.
+    signal = p.select((F.col("window") - 1).alias("window"), (F.col("t") + 1).alias("t"), "ticker", F.col("sig").alias("x"))
+    return M.predict(signal, m, "window")
+
+
+@query()
+def screened_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's significant edges; where there are none, those with enough dates; else all."""
+    e = E.edge_stats(W.ordinal(panels.weekly(spark, sf_dir)).withColumn("window", F.floor(F.col("t") / 60).cast("int")), "sig", "ret", 1, "window")
+    level = F.when((F.abs("tstat") >= 3.5) & (F.col("n") >= 30), 0).when(F.col("n") >= 30, 1).otherwise(2)
+    return M.first_nonempty(e.withColumn("mask", level), "mask", "window")
+
+
+@query()
+def cluster_block_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block ridge over spectral clusters of each training window's edges instead of sectors."""
+    train, _ = aligned(spark, sf_dir)
+    e = E.edge_stats(train.withColumnsRenamed({"x": "sig", "y": "ret"}), "sig", "ret", 0, "window")
+    lab = M.biclusters(e, "a", lambda w: (lambda s: (s, s))(K.spectral(w, 4)), "window").where("side = 'target'").select("window", "ticker", F.col("value").cast("int").alias("cluster"))
+    return M.fit_blocks(train.join(lab, ["window", "ticker"]), partial(K.ridge, lam=10.0), "window", "cluster", least=3)

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 QUERIES, ORACLES = entry.catalog()
 #: Fits that take long even on the smallest tables; test_models covers their parts.
-SLOW = {"param_sweep", "lambda_select", "walkforward_costs", "panel_rf", "panel_gbt"}
+SLOW = {"param_sweep", "lambda_select", "walkforward_costs", "panel_rf", "panel_gbt", "lambda_holdout_share", "lambda_holdout_days"}
 
 
 def plain(v):
