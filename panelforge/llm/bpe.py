@@ -31,6 +31,8 @@ from . import base, spans
 NONE = np.int64(1) << 40
 #: Pieces up to so many bytes go through the arrays.
 ROW_BYTES = 64
+#: Leaves of the trees that are worked on at a time.
+CELLS = 200_000
 
 
 class Vocabulary:
@@ -68,8 +70,9 @@ def encode_rows(v: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
     width = 2
     while width <= ROW_BYTES:
         rows = np.flatnonzero((sizes <= width) & (sizes > width // 2 if width > 2 else sizes > 0))
-        for i in range(0, len(rows), 20_000):
-            part = rows[i : i + 20_000]
+        many = max(64, CELLS // width)
+        for i in range(0, len(rows), many):
+            part = rows[i : i + many]
             for r, ids in zip(part.tolist(), _encode_width(v, [pieces[r] for r in part], width), strict=True):
                 out[r] = ids
         width *= 2
@@ -191,7 +194,7 @@ def _pattern(pattern: str) -> regex.Pattern:
 
 @functools.lru_cache(maxsize=4)
 def _memo(path: str, pattern: str) -> spans.Memo:
-    return spans.Memo(500_000)
+    return spans.Memo(250_000)
 
 
 def encode_tiles(v: Vocabulary, pattern: str, tiles: list[str]) -> list[bytes]:
@@ -229,6 +232,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str
     base.arrow(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         for batch in batches:
             n, h, back, tokens = [], [], [], []
             for coded, decoded in encode_column(batch.column(1), path, pattern):

@@ -166,6 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(3), text).alias("same"), F.col(text).cast("string").alias("text"))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         seen = np.frombuffer(bits.value, np.uint8)
         for b in batches:
             for run in spans.runs(b.column(2)):

@@ -151,6 +151,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("rid"), F.col(text).cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         for batch in batches:
             for run in runs(batch.column(2)):
                 d, g, w, h, first = _plain(run)

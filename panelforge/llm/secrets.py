@@ -161,6 +161,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redact: bo
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         for batch in batches:
             texts = batch.column(text)
             found: list[list[Span]] = [[]] * len(texts)
