@@ -5,9 +5,13 @@ occurrence weighted by DECAY to the length it spans, so that gaps and inserted
 characters lower the kernel but don't break it; it is normalised to 1 for equal words.
 Words are cut at white space only, lower-cased and stripped of other ASCII marks, and
 single characters in a row are joined, so that `i.d.i.o.t` and `i d i o t` become words.
+A word longer than a landmark counts by its windows of the landmark's length, and of two
+bytes more, too: the kernel is the largest over all of them, so that a glued or spelled-out
+sentence of any length shows the landmarks in it.  Words under ORDER bytes have no
+subsequence of ORDER characters, and so no kernel.
 
-Landmarks.  From labelled training documents (a bounded sample), the words that speak
-most for label 1 become landmarks, and some common words of label 0 besides.  A
+Landmarks.  From labelled training documents (a bounded sample), the words of up to
+LONGEST bytes that speak most for label 1 become landmarks, and some common words of label 0 besides.  A
 sentence's kernel with a landmark is the largest over its words, and the Nystroem map
 turns kernels with the landmarks into features, K^(-1/2) k.
 
@@ -41,7 +45,11 @@ SAMPLE = 1500
 LANDMARKS, PLAIN = 48, 16
 ORDER, DECAY = 4, 0.8
 FLOOR = 0.25
+#: Bytes of a landmark, and of a word that is compared as a whole too.
 LONGEST = 24
+#: How much longer than its mark a window is, and window starts that are looked at together.
+WIDER = (0, 2)
+WINDOWS = 200_000
 ROUNDS = 3
 
 #: Bytes of words: letters and digits, and all beyond ASCII; white space parts; the rest is left out.
@@ -106,10 +114,8 @@ class Words:
 
 
 def letters(words: list[bytes], width: int = LONGEST) -> np.ndarray:
-    """Bytes of each word in a row, 0 beyond its end; a longer word gives its first and its last half."""
-    half = width // 2
-    cut = [w if len(w) <= width else w[:half] + w[-half:] for w in words]
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in cut), np.uint8).reshape(len(words), width)
+    """Bytes of each word, of at most `width`, in a row, 0 beyond its end."""
+    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
 
 
 def raw_kernel(x: np.ndarray, mark: bytes, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -178,40 +184,78 @@ def common(x: np.ndarray, mark: bytes) -> np.ndarray:
     return out
 
 
+def _likeness(x: np.ndarray, size: np.ndarray, mark: bytes, own: np.ndarray, mark_own: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x whose normalised kernel with the mark is FLOOR or more, and the kernels; own: of the rows, filled in where needed."""
+    # Rows that share too few characters, in any order and then in order, for the mark's length stay far under FLOOR.
+    need = max(ORDER, int(np.ceil(0.6 * len(mark))))
+    inside = np.zeros(256, np.uint8)
+    inside[list(mark)] = 1
+    shared = np.zeros(len(x), np.uint8)
+    for i in range(x.shape[1]):
+        shared += inside[x[:, i]]
+    at = np.flatnonzero((size >= ORDER) & (shared >= need))
+    at = at[common(x[at], mark) >= need]
+    new = at[own[at] < 0]
+    for i in range(0, len(new), 2000):
+        own[new[i : i + 2000]] = own_kernel(x[new[i : i + 2000]])
+    value = np.zeros(len(at), np.float32)
+    for i in range(0, len(at), 4000):
+        s = at[i : i + 4000]
+        value[i : i + 4000] = raw_kernel(x[s, : int(size[s].max())], mark) / np.sqrt(np.maximum(own[s] * mark_own, 1e-12))
+    return at[value >= FLOOR], value[value >= FLOOR]
+
+
 def kernels(words: list[bytes], marks: list[bytes]) -> np.ndarray:
-    """Normalised kernels of words with marks; under FLOOR they are 0."""
+    """Normalised kernels of words with marks, the largest over a whole word of up to LONGEST bytes and its windows; under FLOOR they are 0."""
     out = np.zeros((len(words), len(marks)), np.float32)
+    if not len(marks):
+        return out
+    mark_own = own_kernel(letters(marks))
     for lo in range(0, len(words), 20_000):
         part = words[lo : lo + 20_000]
-        x = letters(part)
-        size = (x != 0).sum(1)
-        own = np.full(len(part), -1.0, np.float32)
-        mark_own = own_kernel(letters(marks))
+        best = out[lo : lo + 20_000]
+        length = np.array([len(w) for w in part])
+        some = np.flatnonzero((length >= ORDER) & (length <= LONGEST))
+        x, own = letters([part[i] for i in some]), np.full(len(some), -1.0, np.float32)
         for k, mark in enumerate(marks):
-            # Words that share too few characters in order, for either one's length, stay far under FLOOR.
-            need = np.maximum(ORDER, np.ceil(0.6 * len(mark[:LONGEST])))
-            at = np.flatnonzero((size >= ORDER) & (size <= 3 * len(mark) + 6))
-            at = at[common(x[at], mark[:LONGEST]) >= need]
-            if not len(at):
-                continue
-            new = at[own[at] < 0]
-            for i in range(0, len(new), 2000):
-                own[new[i : i + 2000]] = own_kernel(x[new[i : i + 2000]])
-            for i in range(0, len(at), 4000):
-                s = at[i : i + 4000]
-                width = int(size[s].max())
-                value = raw_kernel(x[s, :width], mark[:LONGEST]) / np.sqrt(np.maximum(own[s] * mark_own[k], 1e-12))
-                out[lo + s, k] = np.where(value >= FLOOR, value, 0)
+            at, value = _likeness(x, length[some], mark, own, mark_own[k])
+            best[some[at], k] = value
+        _windows(part, length, marks, mark_own, best)
     return out
 
 
+def _windows(words: list[bytes], length: np.ndarray, marks: list[bytes], mark_own: np.ndarray, best: np.ndarray) -> None:
+    """Raises best (words x marks) to the kernels of all windows of words longer than the window."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum(length)
+    for width in sorted({len(m) + more for m in marks for more in WIDER}):
+        mine = [k for k, m in enumerate(marks) if width - len(m) in WIDER]
+        for lo in range(0, len(data) - width + 1, WINDOWS):
+            start = np.arange(lo, min(lo + WINDOWS, len(data) - width + 1))
+            owner = np.searchsorted(ends, start, "right")
+            ok = (start + width <= ends[owner]) & (length[owner] > width)
+            start, owner = start[ok], owner[ok]
+            if not len(start):
+                continue
+            codes, _, first = spans.factorize(spans.kgrams(data[start[0] : start[-1] + width].astype(np.uint64), width)[start - start[0]])
+            x = data[start[first][:, None] + np.arange(width)]
+            own, size = np.full(len(x), -1.0, np.float32), np.full(len(x), width)
+            for k in mine:
+                at, value = _likeness(x, size, marks[k], own, mark_own[k])
+                if len(at):
+                    all_ = np.zeros(len(x), np.float32)
+                    all_[at] = value
+                    hit = np.flatnonzero(all_[codes])
+                    np.maximum.at(best[:, k], owner[hit], all_[codes[hit]])
+
+
 def telling(docs: list[set[bytes]], labels: np.ndarray, many: int) -> list[bytes]:
     """Words of label 1 that speak most for it, by the log-likelihood ratio of documents with the word."""
     with_, without = Counter(), Counter()
     for d, y in zip(docs, labels, strict=True):
         (with_ if y else without).update(d)
     n1, n0 = max(1, labels.sum()), max(1, (1 - labels).sum())
-    score = {w: c * np.log((c + 0.5) / (n1 + 1) / ((without[w] + 0.5) / (n0 + 1))) for w, c in with_.items() if c >= 3 and len(w) >= ORDER and c / n1 > 4 * without[w] / n0}
+    score = {w: c * np.log((c + 0.5) / (n1 + 1) / ((without[w] + 0.5) / (n0 + 1))) for w, c in with_.items() if c >= 3 and ORDER <= len(w) <= LONGEST and c / n1 > 4 * without[w] / n0}
     out: list[bytes] = []
     for w in sorted(score, key=lambda w: (-score[w], w))[: 20 * many]:
         if len(out) < many and (not out or kernels([w], out).max() < 0.9):
@@ -245,7 +289,7 @@ class Model:
                 sets.append(set(names[seen].tolist()))
                 held.append((seen, names, w.sentence[ends[i] : ends[i + 1]]))
         self.marks = telling(sets, y, LANDMARKS)
-        often = Counter(x for s, v in zip(sets, y, strict=True) if not v for x in s if len(x) >= ORDER)
+        often = Counter(x for s, v in zip(sets, y, strict=True) if not v for x in s if ORDER <= len(x) <= LONGEST)
         self.marks += [x for x, _ in sorted(often.items(), key=lambda t: (-t[1], t[0]))[:PLAIN] if x not in self.marks]
         distinct = sorted({x for s in sets for x in s})
         place = {x: i for i, x in enumerate(distinct)}

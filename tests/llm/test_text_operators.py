@@ -327,3 +327,23 @@ def test_stages_take_effect(spark, tmp_path):
     v = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
     text = bpe.decode(v, " ".join(map(str, got[103].ids)).encode()).decode()
     assert "abcdef123456" not in text and "[SECRET]" in text and got[103].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_glued_and_spelled_out_sentences_show_their_words(monkeypatch):
+    marks = [b"idiot", b"scum"]
+    texts = ["you-are-a-total-idiot-and-more", "thisisawholesentencewithoutspacesthatcallsyouanidiotinthemiddleofit", "y o u a r e a n i d i o t", "x" * 5000 + "scum" + "y" * 5000, "an idxiot", "patio from ab", ""]
+    monkeypatch.setattr(toxicity, "WINDOWS", 1000)
+    got = []
+    for run in spans.runs(pa.array(texts), 1):
+        w = toxicity.Words(run)
+        got.append(toxicity.kernels(w.strings(np.arange(len(w.hash))), marks).max(0, initial=0).tolist())
+    assert [[round(v, 3) for v in g] for g in got[:4]] == [[1, 0], [1, 0], [1, 0], [0, 1]]
+    # Windows of words are the windows as words, whatever lies beside them.
+    words = [b"youareanidxiotman", b"ab", b"idi", b"ot", b"someidiootic", b"idiot"]
+    for w, row in zip(words, toxicity.kernels(words, marks), strict=True):
+        parts = [w[i : i + n] for m in marks for n in {len(w), *(len(m) + e for e in toxicity.WIDER)} if n <= len(w) for i in range(len(w) - n + 1)]
+        for m, v in zip(marks, row, strict=True):
+            mine = [p for p in parts if len(p) == len(w) or len(p) - len(m) in toxicity.WIDER]
+            x = toxicity.letters(mine)
+            want = max([float(k / np.sqrt(a * toxicity.own_kernel(toxicity.letters([m]))[0])) for k, a in zip(toxicity.raw_kernel(x, m), toxicity.own_kernel(x), strict=True) if a > 0], default=0)
+            assert v == pytest.approx(want if want >= toxicity.FLOOR else 0, abs=1e-5)
