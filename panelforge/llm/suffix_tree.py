@@ -4,23 +4,22 @@ Symbols.  A text becomes its words (runs without ASCII white space, A-Z lower-ca
 each followed by one space, and an end symbol; the tree predicts these bytes one by
 one, so its probability is that of the same tokens that the base scores.
 
-Tree.  Contexts are strings of up to DEPTH bytes.  A string counts as a context if it
-makes at least PMIN of all symbols of the training texts, which bounds the contexts of
-each length by 1/PMIN however large the corpus is, and it is retained if the
-distribution of the next symbol diverges from that of its longest proper suffix by
-DIVERGENCE nats, and significantly (count * KL >= KEEP).  What a distribution leaves to
-symbols that aren't frequent after the context, and a Witten-Bell weight, goes by the
-suffix's distribution, down to a uniform one, so nothing has probability 0.  Bytes
-below PMIN in all share one class of the alphabet, and its probability evenly.
-
-Counting covers all training texts, in two passes.  The first passes on what has
-RUN_SHARE of PMIN in a run of texts and then PART_SHARE of it in a partition; so less
-than both shares is missed of any string, and the strings whose sum is at least the rest,
-at most 5 / PMIN of each length, hold all that are frequent.  The second pass counts
-these exactly.  Counts of all words are gathered in the first.
-
-Scoring walks segments of SEGMENT bytes side by side through the tree's automaton; a
-segment starts DEPTH bytes early, after which the state no longer depends on the start.
+Tree.  Contexts are strings of up to DEPTH bytes, all those of the training texts,
+however rare.  One is retained if the distribution of the next symbol diverges from that
+of its longest retained suffix by DIVERGENCE nats, and significantly (count * KL >= KEEP,
+an absolute bound, so that a larger corpus retains more).  Distributions are interpolated
+with the suffix's by a Witten-Bell weight, down to a uniform one over 256 bytes, so
+nothing has probability 0.
+
+Counting covers all training texts.  Strings of a context and the next symbol are counted
+by partition and dealt out by the context's latest HEAD bytes, so that a part of the tree
+with its suffixes of HEAD bytes and more lies in one task; nothing of it is collected.
+Counts of shorter contexts, bounded by the alphabet and not by the corpus, go to every
+executor.  Counts of all words are gathered besides.
+
+Scoring.  Documents are dealt into groups by a hash; each group sends the distinct
+strings of its texts to the tree's parts, which answer with their probabilities, in the
+order asked.  Strings and answers travel as packed arrays.
 
 Base counts.  Words with a share of COMMON or more (at most 1/COMMON of them) go to every
 executor; the counts of all other words are joined by the word's hash, so that the base
@@ -44,9 +43,10 @@ from . import base, spans
 
 #: Context bytes; with the next symbol they fill a 64-bit number.
 DEPTH = 7
-PMIN = 1.5e-6
-#: Shares of PMIN below which the first pass forgets a string in a run, and in a partition.
-RUN_SHARE, PART_SHARE = 0.4, 0.4
+#: Latest bytes of a context by which the tree is dealt out.
+HEAD = 3
+#: Distinct strings that a counting task holds before it passes them on.
+HELD = 4_000_000
 #: Bytes of text in a run of the counting passes.
 RUN = 6 << 20
 KEEP, DIVERGENCE = 10.0, 0.01
@@ -145,54 +145,166 @@ def _batch(kind: int, length: int, keys: np.ndarray, counts: np.ndarray) -> pa.R
 _COUNTS = "kind int, len int, key long, n long"
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """First pass: word counts (kind 0), symbols seen (kind 1), and strings frequent in some share of a partition (kind 2)."""
+def context_first(x: np.ndarray) -> np.ndarray:
+    """Strings with their predecessors highest, the latest first, and the symbol lowest."""
+    return (x << np.uint64(8)) | (x >> np.uint64(56))
+
+
+def shortened(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted 8-byte strings, contexts first: sorted distinct strings with k bytes of context, and their counts."""
+    cut = (keys >> np.uint64(8 * (8 - k)) << np.uint64(8) if k else np.zeros(len(keys), np.uint64)) | (keys & np.uint64(255))
+    order = np.argsort(cut, kind="stable")
+    cut = cut[order]
+    new = np.flatnonzero(np.append(True, cut[1:] != cut[:-1])) if len(cut) else np.zeros(0, np.int64)
+    return cut[new], np.add.reduceat(counts[order], new) if len(new) else counts
+
+
+def first_counts(texts: DataFrame) -> DataFrame:
+    """Word counts (kind 0), symbols and texts seen (kind 1), and strings of HEAD - 1 bytes of context (kind 2)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, docs = Tally(), 0, 0
-        frequent = {k: Tally() for k in range(1, DEPTH + 2)}
+        words, short, total, docs = Tally(), Tally(), 0, 0
         for batch in batches:
             for run in spans.runs(batch.column(0), RUN):
                 s = symbols(run)
                 words.add(*counted(s.hash))
                 total += len(s.data)
                 docs += run.docs
-                x, c = counted(strings(s))
-                for k, tally in frequent.items():
-                    keys, n = prefixes(x, c, k)
-                    ok = n >= RUN_SHARE * PMIN * len(s.data)
-                    tally.add(keys[ok], n[ok])
+                x = strings(s)
+                x = (x << np.uint64(8) >> np.uint64(8 * (9 - HEAD)) << np.uint64(8)) | (x >> np.uint64(56))
+                short.add(*counted(x))
+                if words.size + len(words.keys) > HELD:
+                    yield _batch(0, 0, *words.merge())
+                    words = Tally()
         yield _batch(0, 0, *words.merge())
         yield _batch(1, 0, np.array([0, 1], np.uint64), np.array([total, docs]))
-        for k, tally in frequent.items():
-            keys, n = tally.merge()
-            ok = n >= PART_SHARE * PMIN * total
-            yield _batch(2, k, keys[ok], n[ok])
+        yield _batch(2, HEAD - 1, *short.merge())
 
     return texts.mapInArrow(gather, _COUNTS)
 
 
-def exact_counts(texts: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
-    """Second pass: how often each wanted string occurs, by partition."""
-    held = texts.sparkSession.sparkContext.broadcast(wanted)
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by place, the highest of all numbers together, compressed."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(blob, n * size, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by part of the tree, and the parts' bounds in it."""
+    part = (spans.mix(keys >> np.uint64(8 * (8 - HEAD))) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+_PACKED = "part int, grp int, n int, keys binary, counts binary"
+
+
+def _sent(keys: np.ndarray, counts: np.ndarray | None, parts: int, group: int) -> pa.RecordBatch:
+    order, ends = dealt(keys, parts)
+    keys = keys[order]
+    counts = None if counts is None else counts[order]
+    some = np.flatnonzero(np.diff(ends))
+    rows = [(packed(keys[ends[i] : ends[i + 1]]), b"" if counts is None else packed(counts[ends[i] : ends[i + 1]])) for i in some]
+    cols = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), group, np.int32)), pa.array(np.diff(ends)[some].astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "grp", "n", "keys", "counts"])
+
+
+def string_counts(texts: DataFrame, parts: int) -> DataFrame:
+    """All strings of the texts with their counts, by part of the tree; group -1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = {k: np.zeros(len(v), np.int64) for k, v in held.value.items()}
+        tally = Tally()
         for batch in batches:
             for run in spans.runs(batch.column(0), RUN):
-                x, c = counted(strings(symbols(run)))
-                for k, v in held.value.items():
-                    keys, n = prefixes(x, c, k)
-                    at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                    mine[k] += np.where(keys[at] == v, n[at], 0)
-        for k, v in held.value.items():
-            yield _batch(2, k, v, mine[k])
+                tally.add(*counted(context_first(strings(symbols(run)))))
+                if tally.size + len(tally.keys) > HELD:
+                    yield _sent(*tally.merge(), parts, -1)
+                    tally = Tally()
+        yield _sent(*tally.merge(), parts, -1)
+
+    return texts.mapInArrow(count, _PACKED)
+
+
+def asked(text: pa.ChunkedArray) -> np.ndarray:
+    """Sorted distinct strings of a group's texts."""
+    tally = Tally()
+    for run in spans.runs(text, RUN):
+        tally.add(*counted(context_first(strings(symbols(run)))))
+    return tally.merge()[0]
+
+
+def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(among, keys), max(0, len(among) - 1))
+    return at, among[at] == keys if len(among) else np.zeros(len(keys), bool)
+
+
+class Part:
+    """Retained contexts of a part of the tree, and those shorter than HEAD, by length."""
+
+    def __init__(self, short: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray):
+        """short: strings with HEAD - 1 bytes of context, of all texts; keys: the part's strings, sorted, contexts first."""
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        whole = short[0] >> np.uint64(8) << np.uint64(8 * (9 - HEAD)) | short[0] & np.uint64(255)
+        before, p_before = np.zeros(0, np.uint64), np.zeros(0)
+        for k in range(DEPTH + 1):
+            u, n = shortened(whole, short[1], k) if k < HEAD else shortened(keys, counts, k)
+            if not len(u):
+                break
+            ctx = u >> np.uint64(8)
+            new = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+            of = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(u))))
+            below = p_before[_find(before, u >> np.uint64(16) << np.uint64(8) | u & np.uint64(255))[0]] if k else np.full(len(u), 1 / 256)
+            kinds, total = np.diff(np.append(new, len(u))), np.add.reduceat(n, new)
+            rest = kinds / (total + kinds)
+            p = n / (total + kinds)[of] + rest[of] * below
+            # Symbols that don't follow the context have `rest` times the suffix's probability.
+            gain = np.add.reduceat(p * np.log(p / below), new) + rest * np.maximum(0, 1 - np.add.reduceat(below, new)) * np.log(rest)
+            keep = (gain >= DIVERGENCE) & (total * gain >= KEEP) if k else np.ones(len(new), bool)
+            self.levels.append((ctx[new][keep], rest[keep], u[keep[of]], p[keep[of]]))
+            before, p_before = u, np.where(keep[of], p, below)
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each string's symbol after its longest retained context."""
+        out = np.full(len(keys), 1 / 256)
+        for k, (contexts, rest, pairs, p) in enumerate(self.levels):
+            ctx = keys >> np.uint64(8 * (8 - k)) if k else np.zeros(len(keys), np.uint64)
+            i, known = _find(contexts, ctx)
+            j, seen = _find(pairs, ctx << np.uint64(8) | keys & np.uint64(255))
+            if known.any():
+                out = np.where(seen, p[j], np.where(known, rest[i] * out, out))
+        return np.log10(out)
+
+
+def answers(packs: DataFrame, short: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """(grp, part, n, p): for each pack of a group's strings their log10 probabilities, in order."""
+    held = packs.sparkSession.sparkContext.broadcast(short)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
+        counts: dict[int, Tally] = {}
+        open_: dict[int, list[tuple[int, int, bytes]]] = {}
+        for batch in batches:
+            for part, group, n, keys, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if group < 0:
+                    counts.setdefault(part, Tally()).add(unpacked(keys, n, np.uint64), unpacked(c, n, np.int64))
+                else:
+                    open_.setdefault(part, []).append((group, n, keys))
+        for part, packs_ in open_.items():
+            tree = Part(held.value, *counts.pop(part, Tally()).merge())
+            for group, n, keys in packs_:
+                p = packed(tree.log10(unpacked(keys, n, np.uint64)).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([p], pa.binary())], names=["grp", "part", "n", "p"])
 
-    return texts.mapInArrow(count, _COUNTS)
+    return packs.repartition(parts, "part").mapInArrow(answer, "grp int, part int, n int, p binary")
 
 
 class Tree:
-    """Retained contexts as states: next state and log10 probability for each symbol."""
+    """Retained contexts of a small corpus as states: next state and log10 probability for each symbol."""
 
     def __init__(self, counts: dict[int, dict[int, int]], total: int, docs: int):
         """counts: by length, of strings (symbol highest, then its predecessors, the latest first); of all symbols and texts."""
@@ -284,24 +396,17 @@ class Tree:
         return out + np.bincount(np.searchsorted(s.off, odd, "right") - 1, weights=self.extra[s.data[odd]], minlength=len(n))
 
 
-def train(texts: DataFrame) -> tuple[Tree, int, int, DataFrame, int]:
-    """The tree, N (tokens), V (distinct tokens), the counts of all words (key, n), and the number of texts."""
-    first = base.checkpoint(candidates(texts).groupBy("kind", "len", "key").agg(F.sum("n").alias("n")))
-    total = {r["key"]: r["n"] for r in first.where("kind = 1").collect()}
-    n_symbols, docs = total.get(0) or 0, total.get(1) or 0
+def train(texts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, DataFrame, int]:
+    """Counts of short strings, N (tokens), V (distinct tokens), the counts of all words (key, n), and the number of texts."""
+    first = base.checkpoint(first_counts(texts).groupBy("kind", "len", "key").agg(F.sum("n").alias("n")))
+    docs = {r["key"]: r["n"] for r in first.where("kind = 1").collect()}.get(1) or 0
     words = first.where("kind = 0").select("key", "n")
     sums = words.agg(F.sum("n"), F.count("*")).first()
     n_tokens, distinct = (sums[0] or 0) + docs, sums[1] + (docs > 0)
-    wanted: dict[int, np.ndarray] = {}
-    likely = first.where((F.col("kind") == 2) & (F.col("n") >= (1 - RUN_SHARE - PART_SHARE) * PMIN * n_symbols)).select("len", "key").toArrow()
-    length, key = likely["len"].to_numpy(), likely["key"].to_numpy().view(np.uint64)
-    for k in range(1, DEPTH + 2):
-        wanted[k] = np.sort(key[length == k])
-    exact = exact_counts(texts, wanted).groupBy("len", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= PMIN * n_symbols).toArrow()
-    counts: dict[int, dict[int, int]] = {}
-    for k, x, n in zip(exact["len"].to_pylist(), exact["key"].to_numpy().view(np.uint64).tolist(), exact["n"].to_pylist(), strict=True):
-        counts.setdefault(k, {})[x] = n
-    return Tree(counts, n_symbols, docs), n_tokens, distinct, words, docs
+    short = first.where("kind = 2").select("key", "n").toArrow()
+    keys = short["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return (keys[order], short["n"].to_numpy()[order]), n_tokens, distinct, words, docs
 
 
 def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -309,35 +414,51 @@ def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     base.arrow(spark)
     texts = train_docs.select(F.col(text).cast("string").alias("text"))
-    tree, n_tokens, distinct, words, n_docs = train(texts)
+    short, n_tokens, distinct, words, n_docs = train(texts)
     common = words.where(F.col("n") >= COMMON * n_tokens).toArrow()
     keys = common["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    held = spark.sparkContext.broadcast((tree, keys[order], common["n"].to_numpy()[order]))
+    held = spark.sparkContext.broadcast((keys[order], common["n"].to_numpy()[order]))
     below = float(n_tokens + 0.1 * (distinct + 1))
     end = float(np.log10((n_docs + 0.1) / below))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(9), text).alias("same"), F.col(text).cast("string").alias("text"))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, counts = held.value
-        for batch in batches:
-            for run in spans.runs(batch.column(2)):
-                s = symbols(run)
-                score = tree.score(s)
-                codes, uniq, _ = spans.factorize(s.hash)
-                at = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
-                hit = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
-                value = np.where(hit, np.log10((counts[at] if len(keys) else 0) + np.where(hit, 0.1, 1.0)) - np.log10(below), 0.0)
-                n = np.bincount(s.doc, minlength=run.docs)
-                base_ = np.bincount(s.doc, weights=value[codes], minlength=run.docs) + end
-                known = np.bincount(s.doc, weights=hit[codes], minlength=run.docs).astype(np.int64) + (n_docs > 0)
-                rare = np.flatnonzero(~hit[codes])
-                ends = np.append(0, np.cumsum(np.bincount(s.doc[rare], minlength=run.docs))).astype(np.int32)
-                part = batch.slice(run.first, run.docs)
-                cols = [part.column(0), part.column(1), pa.array(n + 1), pa.array(known), pa.array(base_), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.hash[rare].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "same", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = base.checkpoint(rows.mapInArrow(apply, f"key {dict(rows.dtypes)['key']}, same long, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(10), "key", "same"), F.lit(parts)).cast("int")).repartition(parts, "grp")
+
+    def ask(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_sent(asked(group["text"]), None, parts, key[0].as_py())])
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, counts = held.value
+        texts = left["text"]
+        distinct_ = asked(texts)
+        order, ends = dealt(distinct_, parts)
+        log = np.zeros(len(distinct_), np.float32)
+        for part, n, p in zip(right["part"].to_pylist(), right["n"].to_pylist(), right["p"].to_pylist(), strict=True):
+            log[order[ends[part] : ends[part + 1]]] = unpacked(p, n, np.float32)
+        out = []
+        for run in spans.runs(texts, RUN):
+            s = symbols(run)
+            score = np.add.reduceat(log[np.searchsorted(distinct_, context_first(strings(s)))].astype(np.float64), s.off[:-1])
+            codes, uniq, _ = spans.factorize(s.hash)
+            at = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
+            hit = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
+            value = np.where(hit, np.log10((counts[at] if len(keys) else 0) + np.where(hit, 0.1, 1.0)) - np.log10(below), 0.0)
+            n = np.bincount(s.doc, minlength=run.docs)
+            base_ = np.bincount(s.doc, weights=value[codes], minlength=run.docs) + end
+            known = np.bincount(s.doc, weights=hit[codes], minlength=run.docs).astype(np.int64) + (n_docs > 0)
+            rare = np.flatnonzero(~hit[codes])
+            ends_ = np.append(0, np.cumsum(np.bincount(s.doc[rare], minlength=run.docs))).astype(np.int32)
+            part_ = left.slice(run.first, run.docs)
+            cols = [part_["key"], part_["same"], pa.array(n + 1), pa.array(known), pa.array(base_), pa.array(score), pa.ListArray.from_arrays(pa.array(ends_), pa.array(s.hash[rare].view(np.int64)))]
+            out.append(pa.table(cols, names=["key", "same", "n_tokens", "n_known", "base_score", "score", "rare"]))
+        return pa.concat_tables(out) if out else pa.table([left["key"], left["same"], *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))], names=["key", "same", "n_tokens", "n_known", "base_score", "score", "rare"])
+
+    packs = string_counts(texts, parts).unionByName(grouped.groupBy("grp").applyInArrow(ask, _PACKED))
+    replies = answers(packs, short, parts)
+    scored = base.checkpoint(
+        grouped.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(apply, f"key {dict(rows.dtypes)['key']}, same long, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    )
     # Rare words, each once for each text, with the counts of all words.
     uses = scored.where(F.size("rare") > 0).dropDuplicates(["same"]).select("same", F.explode("rare").alias("word"))
     found = uses.join(words.where(F.col("n") < COMMON * n_tokens).withColumnRenamed("key", "word"), "word", "left")

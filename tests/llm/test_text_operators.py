@@ -347,3 +347,21 @@ def test_glued_and_spelled_out_sentences_show_their_words(monkeypatch):
             x = toxicity.letters(mine)
             want = max([float(k / np.sqrt(a * toxicity.own_kernel(toxicity.letters([m]))[0])) for k, a in zip(toxicity.raw_kernel(x, m), toxicity.own_kernel(x), strict=True) if a > 0], default=0)
             assert v == pytest.approx(want if want >= toxicity.FLOOR else 0, abs=1e-5)
+
+
+def test_rare_contexts_of_a_large_corpus_are_counted(spark):
+    """A phrase that makes a tiny share of the symbols is learnt, as by counting all strings in one place."""
+    rows = [(i, "plain filler words " * 2000) for i in range(40)] + [(100 + i, "zqx jvkw") for i in range(20)]
+    d = docs(spark, [*rows, (200, "zqx jvkw"), (201, "wkvj xqz")])
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(d, d.where("doc_id < 200")).collect()}
+    assert got[200] > -9 and got[201] < -15
+    (run,) = spans.runs(pa.array([t for _, t in rows]), 1 << 30)
+    keys, n = suffix_tree.counted(suffix_tree.context_first(suffix_tree.strings(suffix_tree.symbols(run))))
+    one = suffix_tree.Part(suffix_tree.shortened(keys, n, suffix_tree.HEAD - 1), keys, n)
+    for i, text in ((200, "zqx jvkw"), (201, "wkvj xqz"), (0, rows[0][1])):
+        (run,) = spans.runs(pa.array([text]))
+        x = suffix_tree.context_first(suffix_tree.strings(suffix_tree.symbols(run)))
+        assert got[i] == pytest.approx(one.log10(x).sum(), rel=1e-4)
+        # Over all bytes the probabilities after a context sum to 1.
+        every = (x[-1] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+        assert (10 ** one.log10(every)).sum() == pytest.approx(1)
