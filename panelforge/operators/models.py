@@ -79,6 +79,35 @@ def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4) -> Da
     return train.groupBy(*by).applyInPandas(fit, f"{keys}, src string, tgt string, w double")
 
 
+def panel_leave_one_out(train: DataFrame, cols: list[str], y: str, lams: tuple[float, ...]) -> tuple[float, np.ndarray, float]:
+    """The ridge penalty with the least leave-one-out error, its coefficients on cols as they are, and its intercept.
+
+    Columns are standardised, the intercept bears no penalty; two passes of sums over the
+    panel give all penalties' errors, by each row's leverage.
+    """
+    first = train.agg(F.count("*"), F.avg(y), *(f(c) for c in cols for f in (F.avg, F.stddev_pop))).first()
+    n, level = first[0], float(first[1] or 0)
+    mean = np.array([float(v or 0) for v in first[2::2]])
+    sd = np.array([float(v) if v else 1.0 for v in first[3::2]])
+    z = [(F.col(c) - float(m)) / float(s) for c, m, s in zip(cols, mean, sd, strict=True)]
+    k = len(cols)
+    sums = train.agg(*(F.sum(a * b) for a in z for b in z), *(F.sum(a * (F.col(y) - level)) for a in z)).first()
+    sums = np.array([float(v or 0) for v in sums])
+    gram, cross = sums[: k * k].reshape(k, k), sums[k * k :]
+    inverse = [np.linalg.inv(gram + lam * np.eye(k)) for lam in lams]
+
+    def error(inv: np.ndarray) -> Column:
+        w = inv @ cross
+        rest = F.col(y) - level - sum(float(w[i]) * z[i] for i in range(k))
+        lever = 1 / max(1, n) + sum(float(inv[i, j]) * z[i] * z[j] for i in range(k) for j in range(k))
+        return F.avg(F.pow(rest / F.greatest(1 - lever, F.lit(1e-12)), F.lit(2)))
+
+    errors = [float("inf") if e is None else e for e in train.agg(*map(error, inverse)).first()]
+    best = int(np.argmin(errors))
+    w = inverse[best] @ cross / sd
+    return lams[best], w, level - float(w @ mean)
+
+
 def soft_sector_ridge(lam: float, cross: float, sector: dict[str, int]) -> Callable:
     """A fitter of one window in which coefficients across sectors bear a higher penalty."""
 

@@ -445,12 +445,17 @@ def spectral_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.biclusters(_edges(spark, sf_dir), "a", lambda w: (lambda s: (s, s))(K.spectral(np.asarray(w), 4)), "window")
 
 
+_FEATURES = ["score", "pct", "dev"]
+#: The reference's penalties.
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 1e4)
+
+
 def _panel_ml(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.ml.feature import VectorAssembler
 
     s = scored(spark, sf_dir).withColumn("pct", W.percentile_rank("score", "date"))
     s = s.withColumn("dev", F.col("score") - F.avg("score").over(Window.partitionBy("date", "sector")))
-    v = VectorAssembler(inputCols=["score", "pct", "dev"], outputCol="features").transform(s).select("date", "t", "ticker", "sector", "features", F.col("ret").alias("label"))
+    v = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(s).select("date", "t", "ticker", "sector", *_FEATURES, "features", F.col("ret").alias("label"))
     return v.where("t < 250"), v.where("t >= 250")
 
 
@@ -461,9 +466,11 @@ def _ml(spark: SparkSession, sf_dir: str, estimator) -> DataFrame:
 
 @query()
 def panel_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.regression import LinearRegression
-
-    return _ml(spark, sf_dir, LinearRegression(regParam=1.0, elasticNetParam=0.0))
+    """Ridge on standardised features, with the penalty of least leave-one-out error on the training dates."""
+    train, test = _panel_ml(spark, sf_dir)
+    _, w, b = M.panel_leave_one_out(train, _FEATURES, "label", ALPHAS)
+    score = sum((F.col(c) * float(x) for c, x in zip(_FEATURES, w, strict=True)), F.lit(b))
+    return test.select("date", "ticker", "sector", score.alias("score"), F.col("label").alias("ret"))
 
 
 @query()

@@ -137,3 +137,25 @@ def test_streams_give_the_batch_rows(spark, sf, tmp_path):
     book = stream.read_events(spark, f"{tmp_path}/in").select(F.col("event_type").alias("ticker"), F.col("event_id").alias("seq"), F.col("value").alias("bid"), (F.col("value") + 1).alias("ask"), F.lit(2.0).alias("bid_size"), F.lit(3.0).alias("ask_size"))
     run(stream.stateful_imbalance(book), "flow", "append")
     assert spark.table("flow").count() == batch.count() - batch.select("event_type").distinct().count()
+
+
+def test_panel_penalty_is_that_of_refitting_without_each_row(spark):
+    x = RNG.normal(size=(40, 3)) * [1, 5, 0.1] + [3, 0, 1]
+    y = x @ [0.3, 0.01, 1.0] + RNG.normal(size=40) * 2 + 7
+    z = (x - x.mean(0)) / x.std(0)
+    lams = (0.01, 10.0, 1000.0)
+
+    def fit(keep, lam):
+        m = z[keep].mean(0)
+        w = K.ridge(z[keep] - m, (y[keep] - y[keep].mean())[:, None], lam)[:, 0]
+        return w, y[keep].mean() - m @ w
+
+    err = []
+    for lam in lams:
+        fits = [fit(np.arange(40) != i, lam) for i in range(40)]
+        err.append(np.mean([(y[i] - z[i] @ w - b) ** 2 for i, (w, b) in enumerate(fits)]))
+    rows = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    lam, w, b = M.panel_leave_one_out(rows, ["a", "b", "c"], "y", lams)
+    w2, b2 = fit(np.arange(40) >= 0, lam)
+    assert lam == lams[int(np.argmin(err))] and lam != 1.0
+    assert np.allclose(x @ w + b, z @ w2 + b2)
