@@ -128,9 +128,9 @@ def top(x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(np.argsort(-x, kind="stable")[:k])
 
 
-def alternating(w: np.ndarray, targets: int, sources: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """A dense block of |w|: targets that gain most from the sources, and back, until neither changes."""
-    a = np.abs(np.nan_to_num(w))
+def alternating(w: np.ndarray, targets: int, sources: int, rounds: int = 50, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A dense block of |w|, or of w's positive part: targets that gain most from the sources, and back, until neither changes."""
+    a = np.maximum(np.nan_to_num(w), 0) if positive else np.abs(np.nan_to_num(w))
     s = top(a.sum(0), sources)
     t = top(a[:, s].sum(1), targets)
     for _ in range(rounds):

@@ -51,8 +51,10 @@ def _named(out: pd.DataFrame, by: tuple[str, ...], key: tuple, cols: list[str])
     return out.astype({c: object for c in cols if not pd.api.types.is_numeric_dtype(out[c])})
 
 
-def _wide(pdf: pd.DataFrame, value: str) -> pd.DataFrame:
-    return pdf.pivot_table(index="t", columns="ticker", values=value, aggfunc="mean").sort_index()
+def _wide(pdf: pd.DataFrame, value: str, signal: str | None = None) -> pd.DataFrame:
+    """Dates by tickers, or by TICKER__signal where a column names the signal."""
+    names = pdf["ticker"] if signal is None else pdf["ticker"] + "__" + pdf[signal].astype(str)
+    return pdf.assign(ticker=names).pivot_table(index="t", columns="ticker", values=value, aggfunc="mean").sort_index()
 
 
 def _standard(m: pd.DataFrame) -> pd.DataFrame:
@@ -61,16 +63,20 @@ def _standard(m: pd.DataFrame) -> pd.DataFrame:
     return ((m - m.mean()) / m.std(ddof=0)).fillna(0.0)
 
 
-def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4) -> DataFrame:
-    """(by..., src, tgt, w): coefficients of y on x of all names of a block; blocks under `least` names have none."""
+def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4, signal: str | None = None) -> DataFrame:
+    """(by..., src, tgt, w): coefficients of y on x of all names of a block; blocks under `least` names have none.
+
+    With `signal`, a column that tells a ticker's signals apart, each is a column of x of its own, src is
+    TICKER__signal, and `least` is asked of the targets.
+    """
     kinds = dict(train.dtypes)
     keys = ", ".join(f"{k} {kinds[k]}" for k in by)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _standard(_wide(pdf, "x")), _standard(_wide(pdf, "y"))
+        x, y = _standard(_wide(pdf, "x", signal)), _standard(_wide(pdf, "y"))
         x, y = x.align(y, join="inner", axis=0)
         names = [*by, "src", "tgt", "w"]
-        if min(x.shape[1], y.shape[1]) < least:
+        if (y.shape[1] if signal else min(x.shape[1], y.shape[1])) < least or not x.shape[1]:
             return pd.DataFrame({n: np.zeros(0, object if kinds.get(n, "string") == "string" and n != "w" else float) for n in names})
         w = solver(x.to_numpy(), y.to_numpy())
         out = pd.DataFrame({"src": np.repeat(x.columns, y.shape[1]), "tgt": np.tile(y.columns, x.shape[1]), "w": w.ravel()})

@@ -159,3 +159,22 @@ def test_panel_penalty_is_that_of_refitting_without_each_row(spark):
     w2, b2 = fit(np.arange(40) >= 0, lam)
     assert lam == lams[int(np.argmin(err))] and lam != 1.0
     assert np.allclose(x @ w + b, z @ w2 + b2)
+
+
+def test_signals_of_a_ticker_stay_columns_of_their_own(spark):
+    x, y = RNG.normal(size=(30, 4, 2)), RNG.normal(size=(30, 4))
+    rows = [("s", t, f"T{i}", f"g{k}", float(x[t, i, k]), float(y[t, i])) for t in range(30) for i in range(4) for k in range(2)]
+    train = spark.createDataFrame(rows, "sector string, t int, ticker string, signal string, x double, y double")
+    got = M.fit_blocks(train, lambda a, b: K.ridge(a, b, 2.0), "sector", signal="signal").toPandas().pivot(index="src", columns="tgt", values="w")
+    assert got.index.tolist() == [f"T{i}__g{k}" for i in range(4) for k in range(2)] and got.columns.tolist() == [f"T{i}" for i in range(4)]
+    a, b = x.reshape(30, 8), y
+    assert np.allclose(got, K.ridge((a - a.mean(0)) / a.std(0), (b - b.mean(0)) / b.std(0), 2.0))
+
+
+def test_negative_edges_count_only_by_their_size():
+    w = np.zeros((6, 6))
+    w[:2, :2], w[4:, 4:] = 1.0, -3.0
+    t, s = K.alternating(w, 2, 2)
+    assert t.tolist() == s.tolist() == [4, 5]
+    t, s = K.alternating(w, 2, 2, positive=True)
+    assert t.tolist() == s.tolist() == [0, 1]
