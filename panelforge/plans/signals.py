@@ -330,12 +330,16 @@ def iofi_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def minute_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loadings of the minute profile by spark.ml, over standardised minutes."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-
-    cols = [f"minute_{k}" for k in range(1, 6)]
-    wide = pivot_minutes(spark, sf_dir).fillna(0.0, cols)
-    x = VectorAssembler(inputCols=cols, outputCol="x").transform(wide)
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    days = panels.minutes(spark, sf_dir).groupBy("date", "ticker").agg(F.sort_array(F.collect_list(F.struct("minute", F.coalesce("iofi", F.lit(0.0)).alias("v"))))["v"].alias("v"))
+    # A day's minutes are numbered without gaps; those after its last count as 0, up to the largest minute present.
+    n = days.agg(F.max(F.size("v"))).first()[0] or 0
+    if n < 2:
+        return spark.createDataFrame([(i + 1, 1.0, 0.0) for i in range(n)], "minute int, pc1 double, pc2 double")
+    x = days.select(array_to_vector(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(n) - F.size("v")))).alias("x"))
     x = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(x).transform(x)
     m = PCA(k=2, inputCol="z", outputCol="pc").fit(x)
-    rows = [(i + 1, float(m.pc[i, 0]), float(m.pc[i, 1])) for i in range(len(cols))]
+    rows = [(i + 1, float(m.pc[i, 0]), float(m.pc[i, 1])) for i in range(n)]
     return spark.createDataFrame(rows, "minute int, pc1 double, pc2 double")

@@ -178,3 +178,15 @@ def test_negative_edges_count_only_by_their_size():
     assert t.tolist() == s.tolist() == [4, 5]
     t, s = K.alternating(w, 2, 2, positive=True)
     assert t.tolist() == s.tolist() == [0, 1]
+
+
+def test_minute_profile_has_every_minute(spark, sf):
+    from panelforge.plans import signals
+    from panelforge.sources import panels
+
+    most = panels.minutes(spark, sf).agg({"minute": "max"}).first()[0]
+    got = {r.minute: (r.pc1, r.pc2) for r in signals.minute_pca(spark, sf).collect()}
+    assert sorted(got) == list(range(1, most + 1))
+    wide = panels.minutes(spark, sf).toPandas().pivot_table(index=["date", "ticker"], columns="minute", values="iofi").fillna(0.0).to_numpy()
+    v = np.linalg.eigh(np.corrcoef(wide, rowvar=False))[1][:, -1]
+    assert abs(sum(v[k - 1] * got[k][0] for k in got)) == pytest.approx(1, abs=1e-6)
