@@ -22,7 +22,8 @@ from panelforge.llm.langid import identify
 from panelforge.llm.near_dedup import near_duplicates
 from panelforge.llm.secrets import secrets
 
-#: Predictions below this score don't count as any language.
+#: Predictions below this score don't count as any language.  With few languages the winner's
+#: share of the pairs lies well above it, so that in practice only "und" is rejected.
 LEAST_SCORE = 0.2
 
 

@@ -365,3 +365,12 @@ def test_rare_contexts_of_a_large_corpus_are_counted(spark):
         # Over all bytes the probabilities after a context sum to 1.
         every = (x[-1] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
         assert (10 ** one.log10(every)).sum() == pytest.approx(1)
+
+
+def test_prefixed_names_and_long_strings_are_weak_parts():
+    bare = "aB3dE6gH9jK2mN5pQ8sT"
+    for text in (f"DB_USER=alice {bare}", f"aws_access_key_id=ASIAABCDEFGH1234 {bare}", f"user=alice {bare * 10}"):
+        assert [k for _, _, k in secrets.scan(text)] == ["account", "bare"]
+        assert bare not in secrets.redacted(text, secrets.scan(text))
+    assert [k for _, _, k in secrets.scan(f"DB_HOST=db.example.org DB_USER=alice {bare}")] == ["endpoint", "account", "bare"]
+    assert secrets.scan(f"superuser=alice {bare}") == []
