@@ -195,19 +195,32 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def best_scores(rows, k, each=20):
+    """The k best of each query by brute force: every row is a candidate for the queries with another id."""
+    m = [(i, np.floor(64 * np.array(x, np.float64)).astype(int)) for i, x, *_ in rows if i is not None and x is not None and all(v is not None and np.isfinite(v) for v in x)]
+    dot = lambda x, y: int(x[: len(y)] @ y[: len(x)])
+    out = []
+    for q in sorted({i for i, _ in m if i % each == 0}):
+        best = sorted((-dot(x, y), c) for i, x in m if i == q for c, y in m if c != q)[:k]
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return out
+
+
 def test_top_k_is_exact(spark):
     rnd = np.random.default_rng(2)
     rows = [(i, [float(np.float32(v)) for v in (rnd.normal(size=8) if i % 3 else np.ones(8) * (i % 5))], 0) for i in range(90)]
     rows += [(200, None, 0), (201, [float("nan")] * 8, 0), (202, [None] + [1.0] * 7, 0), (203, [1.0] * 3, 0), (None, [1.0] * 8, 0), rows[10], (204, [float("inf")] * 8, 0)]
+    # Repeated ids with one vector and with several, of candidates and of queries; other lengths.
+    rows += [rows[20], (40, [2.0] * 8, 0), (7, [3.0] * 8, 0), (7, [-3.0] * 8, 0), (205, [], 0), (206, [1.0] * 11, 0), (220, [-1.0] * 2, 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    m = {i: np.floor(64 * np.array(x, np.float64)).astype(int) for i, x, _ in rows[:90]}
-    want = []
-    for q in range(0, 90, 20):
-        best = sorted((-int(m[q] @ m[c]), c) for c in m if c != q)[:7]
-        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
-    assert sorted(tuple(r) for r in topk.top_k(v, F.col("id") % 20 == 0, 7).collect()) == want
+    assert sorted(tuple(r) for r in topk.top_k(v, F.col("id") % 20 == 0, 7).collect()) == best_scores(rows, 7)
     assert topk.top_k(v.limit(0), F.col("id") % 20 == 0, 7).count() == 0
     assert topk.top_k(v.where("vec_id in (0, 5)"), F.col("id") % 20 == 0, 7).count() == 1
+    two = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.5, 0.0], 0)]
+    got = topk.top_k(spark.createDataFrame(two, v.schema), F.col("id") % 20 == 0, 20).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 4096), (0, 2, 1, 2048)]
+    none = spark.createDataFrame([(0, [], 0), (1, [], 0)], v.schema)
+    assert [tuple(r) for r in topk.top_k(none, F.col("id") % 20 == 0, 3).collect()] == [(0, 1, 1, 0)]
 
 
 def test_top_k_blocks_agree_with_whole_products(spark, monkeypatch):
