@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; operators cut batches further by bytes.
@@ -21,13 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy() -> None:
-    """Give memory that earlier tasks of this worker have freed back to the system."""
+_kept: dict[tuple[str, object], object] = {}
+
+
+def kept(owner: str, name: object, make: Callable[[], object]) -> object:
+    """What a worker holds from task to task for one operator, made where it isn't there."""
+    if (owner, name) not in _kept:
+        _kept[owner, name] = make()
+    return _kept[owner, name]
+
+
+def tidy(owner: str = "") -> None:
+    """At a task's start: forget what this worker holds for other operators, and give freed memory back to the system."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for k in [k for k in _kept if k[0] != owner]:
+        del _kept[k]
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
@@ -51,12 +64,15 @@ def held_out(key: str, n: int) -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL
-
-
-#: For sessions without a cluster, as in tests.
-_LOCAL = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir,
+    else the session's checkpoint folder; only where neither is set, as in tests, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if (held := spark.sparkContext.getCheckpointDir()) is None:
+        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        held = spark.sparkContext.getCheckpointDir()
+    return held
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -67,16 +83,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sample(labels: DataFrame, docs: DataFrame, key: str, label: str, text: str, per_label: int, longest: int = 20_000) -> list[tuple[str, object]]:
-    """(text, label) of at most per_label keys of each label, chosen by a hash of the key, on the driver.
+def picked(labels: DataFrame, docs: DataFrame, key: str, label: str, text: str, per_label: int) -> DataFrame:
+    """(_k, _y, _t): about per_label keys of each label and their texts, chosen by a hash of the key.
 
-    Only keys and labels are ranked, with a limit before anything moves; the chosen keys
-    go to the documents, so that just their texts are fetched.  Texts over `longest`
-    characters are left out of the sample (never out of a result).
+    A key with several labels counts with the smallest, one with several texts with the
+    smallest.  Labels are counted first; the hashes below a label's share are then taken where
+    they lie, so that no task ranks a label's keys and only chosen keys move.  A little
+    more than per_label is taken, for few() to cut exactly.
     """
     keyed = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where("_k is not null and _y is not null")
-    ranked = keyed.groupBy("_k").agg(F.min("_y").alias("_y")).withColumn("_o", F.xxhash64("_k", F.lit(11)))
-    few = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("_o", "_k"))).where(F.col("_r") <= per_label)
-    picked = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(few.select("_k", "_y")), "_k").where(F.length("_t") <= longest)
-    rows = picked.groupBy("_k", "_y").agg(F.min("_t").alias("_t")).collect()
-    return [(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: r["_k"])]
+    one = keyed.groupBy("_k").agg(F.min("_y").alias("_y"))
+    # Labels are few: a model on the driver has weights for each.
+    share = one.groupBy("_y").agg(F.least(F.lit(1.0), F.lit(per_label + 5 * per_label**0.5 + 16) / F.count("*")).alias("_f"))
+    few = one.join(F.broadcast(share), "_y").where(F.pmod(F.xxhash64("_k", F.lit(11)), F.lit(1 << 40)) < F.col("_f") * F.lit(float(1 << 40)))
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
+    return texts.join(F.broadcast(few.select("_k", "_y")), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
+
+
+def few(rows: list, per_label: int) -> list:
+    """Of collected rows with _k, _y and _o (the key's hash), per_label of each label, in order of the key."""
+    seen: dict[object, int] = {}
+    out = []
+    for r in sorted(rows, key=lambda r: (r["_o"], r["_k"])):
+        seen[r["_y"]] = seen.get(r["_y"], 0) + 1
+        if seen[r["_y"]] <= per_label:
+            out.append(r)
+    return sorted(out, key=lambda r: r["_k"])
+
+
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_o", F.pmod(F.xxhash64("_k", F.lit(11)), F.lit(1 << 40)))

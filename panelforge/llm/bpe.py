@@ -7,10 +7,13 @@ A merge changes three leaves: the merged token's, its left live neighbour's and
 leaf of the token that went away; each change is carried up in logarithmic time.
 
 Short pieces of text run through the same trees many at a time as rows of NumPy
-arrays (encode_rows); longer ones through one tree of Python lists (encode_long).
+arrays (encode_rows); longer ones through one tree of their own (encode_long).
+
+Tiles of texts (spans.tiles) that a worker has met before are remembered, by their bytes.
 
 Definitions: null texts count as empty (0 tokens, no bytes); every row gets a
-result; invalid ids raise.  No special tokens exist, so their strings are plain text.
+result, repeated rows each their own, and an empty table an empty one; invalid ids
+raise.  No special tokens exist, so their strings are plain text.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import base, spans
 
+OWNER = "bpe"
 NONE = np.int64(1) << 40
 #: Pieces up to so many bytes go through the arrays.
 ROW_BYTES = 64
@@ -58,9 +63,8 @@ class Vocabulary:
         return np.where(self.keys[at] == want, self.merged[at], NONE)
 
 
-@functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return base.kept(OWNER, path, lambda: Vocabulary(path))
 
 
 def encode_rows(v: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
@@ -126,30 +130,36 @@ def _encode_width(v: Vocabulary, pieces: list[bytes], width: int) -> list[list[i
 
 
 def encode_long(v: Vocabulary, piece: bytes) -> list[int]:
-    """The same for one piece of any length, in lists."""
+    """The same for one piece of any length, in packed arrays: about 35 bytes of memory for each of its own."""
     n = len(piece)
     width = 1 << max(1, (n - 1).bit_length())
-    none, pairs = int(NONE), v.pairs
-    token = [int(v.byte_ids[b]) for b in piece]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = [(none, 0)] * (2 * width)
-    for i in range(n):
-        tree[width + i] = (pairs.get(token[i] << 32 | token[i + 1], none) if i + 1 < n else none, i)
-    for i in range(width - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+    none, pairs = 1 << 30, v.pairs
+    first = v.byte_ids[np.frombuffer(piece, np.uint8)]
+    # A node is rank * width + place, so that the least one is the leftmost of the least rank.
+    nodes = np.full(2 * width, none * width, np.int64)
+    nodes[width : width + n - 1] = np.minimum(v.rank(first[:-1], first[1:]), none) * width
+    nodes[width:] += np.arange(width)
+    level = width
+    while level > 1:
+        nodes[level // 2 : level] = np.minimum(nodes[level : 2 * level : 2], nodes[level + 1 : 2 * level : 2])
+        level //= 2
+    tree, token = array("q", nodes.tobytes()), array("q", first.tobytes())
+    del nodes, first
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
 
     def put(at: int, rank: int) -> None:
         node = width + at
-        tree[node] = (rank, at)
+        tree[node] = rank * width + at
         while node > 1:
             node >>= 1
-            new = min(tree[2 * node], tree[2 * node + 1])
+            left, right = tree[2 * node], tree[2 * node + 1]
+            new = left if left < right else right
             if tree[node] == new:
                 return
             tree[node] = new
 
-    while tree[1][0] < none:
-        rank, at = tree[1]
+    while tree[1] < none * width:
+        rank, at = divmod(tree[1], width)
         gone = after[at]
         right = after[gone]
         token[at], token[gone] = rank, -1
@@ -192,11 +202,6 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s+", r"\p{White_Space}+"))
 
 
-@functools.lru_cache(maxsize=4)
-def _memo(path: str, pattern: str) -> spans.Memo:
-    return spans.Memo(250_000)
-
-
 def encode_tiles(v: Vocabulary, pattern: str, tiles: list[str]) -> list[bytes]:
     """Ids of each tile as decimal numbers joined by spaces."""
     pat = _pattern(pattern)
@@ -214,12 +219,21 @@ def encode_column(texts: pa.Array, path: str, pattern: str) -> Iterator[tuple[by
     of its tiles' ids in order, as decoding goes id by id.
     """
     v = vocabulary(path)
-    memo = _memo(path, pattern)
+    memo = base.kept(OWNER, (path, pattern), spans.Memo)
     for run in spans.runs(texts):
         a, b = spans.tiles(run.data, run.off)
         raw = run.data.tobytes()
-        codes, distinct, first = spans.factorize(spans.hashes(run.data + np.uint16(1), a, b))
-        made = memo.fill(distinct, lambda new, a=a, b=b, first=first, raw=raw: [(x, decode(v, x)) for x in encode_tiles(v, pattern, [raw[a[first[i]] : b[first[i]]].decode() for i in new])])
+        codes, first = spans.distinct_spans(run.data, a, b)
+        tiles = [raw[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)]
+
+        def make(new: list[int], tiles: list[bytes] = tiles) -> Iterator[tuple[tuple[bytes, bytes], int]]:
+            for i, ids in zip(new, encode_tiles(v, pattern, [tiles[i].decode() for i in new]), strict=True):
+                back = decode(v, ids)
+                # Bytes that come back as they were are held once.
+                back = tiles[i] if back == tiles[i] else back
+                yield (ids, back), len(ids) + 100
+
+        made = memo.fill(tiles, make)
         coded = np.array([*(x for x, _ in made), None], object)[:-1]
         back = np.array([*(x for _, x in made), None], object)[:-1]
         ends = np.searchsorted(a, run.off)
@@ -232,7 +246,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str
     base.arrow(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base.tidy()
+        base.tidy(OWNER)
         for batch in batches:
             n, h, back, tokens = [], [], [], []
             for coded, decoded in encode_column(batch.column(1), path, pattern):

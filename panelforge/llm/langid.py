@@ -4,12 +4,16 @@ Languages are put into families by the likeness of their mean byte n-gram profil
 A document's family is decided first, by one linear support vector machine a family;
 then one-versus-one linear machines vote among the languages of that family.
 
-The models are fitted on a sample of at most SAMPLE training documents a language;
-predictions read whole texts.  A profile counts all 1-, 2- and 3-grams of the
+The models are fitted on a sample of at most SAMPLE training documents a language, of
+any length: the executors make their profiles, and only these go to the driver.
+Predictions read whole texts.  A profile counts all 1-, 2- and 3-grams of the
 lower-cased bytes in FEATURES hashed cells, so its size doesn't depend on the text's.
 
 Definitions: null texts and texts without a letter are `und` with score 0.  Without
 training rows everything is `und`; with one language every text with letters is in it.
+Equal votes go to the language whose name sorts first, equal margins to the family whose
+first language does.  Repeated rows are predicted each; of training rows with one key
+the smallest language and text count.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .linear import sigmoid, svm
 
 SAMPLE = 600
 FEATURES = 4096
+#: Documents and bytes whose profiles are made together: 4 MB of counts.
+DOCS, BYTES = 128, 1 << 20
 LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,13 +115,12 @@ class Model:
         return lang, share[rows, family] * chance[rows, lang]
 
 
-def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """rows: (text, language)."""
-    if not rows:
+def fit(x: np.ndarray, named: list[str]) -> Model | None:
+    """x: profiles; named: their languages."""
+    if not len(x):
         return None
-    langs = sorted({y for _, y in rows})
-    x = np.concatenate([profiles(r) for r in spans.runs(pa.array([t for t, _ in rows], pa.large_string()))])
-    y = np.array([langs.index(v) for _, v in rows])
+    langs = sorted(set(named))
+    y = np.array([langs.index(v) for v in named])
     groups = families(np.stack([x[y == i].mean(0) for i in range(len(langs))]), max(1, int(np.ceil(np.sqrt(len(langs))))))
     of = np.array([next(k for k, g in enumerate(groups) if i in g) for i in range(len(langs))])[y]
     top = [svm(x, np.where(of == k, 1, -1)) if len(groups) > 1 else (np.zeros(x.shape[1]), 1.0) for k in range(len(groups))]
@@ -125,20 +130,46 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     return Model(langs, groups, *stack(top), pairs, *stack(low))
 
 
+def profiled(rows: DataFrame) -> DataFrame:
+    """Profiles of base.picked() rows: cells that aren't 0, and their values, as bytes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
+        for batch in batches:
+            for run in spans.runs(batch.column("_t"), BYTES, DOCS):
+                x = profiles(run)
+                at = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                part = batch.slice(run.first, run.docs)
+                cols = [part.column("_k"), part.column("_y"), part.column("_o"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(x, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["_k", "_y", "_o", "cells", "shares"])
+
+    kinds = dict(rows.dtypes)
+    return base.hashed(rows).mapInArrow(make, f"_k {kinds['_k']}, _y {kinds['_y']}, _o long, cells binary, shares binary")
+
+
+def learnt(train: DataFrame, key: str, text: str, lang: str) -> Model | None:
+    rows = base.few(profiled(base.picked(train, train, key, lang, text, SAMPLE)).collect(), SAMPLE)
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for to, r in zip(x, rows, strict=True):
+        to[np.frombuffer(r["cells"], np.uint16)] = np.frombuffer(r["shares"], np.float32)
+    return fit(x, [r["_y"] for r in rows])
+
+
 def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: bool = False, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """key, lang_pred and score of every row of docs, learnt from text and lang of `train`.
 
     With `keep` every column of docs comes along; `into` names the two new ones.
     """
     base.arrow(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(base.sample(train, train, key, lang, text, SAMPLE)))
+    model = docs.sparkSession.sparkContext.broadcast(learnt(train, key, text, lang))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         m = model.value
         for batch in batches:
             texts = batch.column(text)
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
-            for run in spans.runs(texts) if m else ():
+            for run in spans.runs(texts, BYTES, DOCS) if m else ():
                 latin = ((run.data >= 65) & (run.data <= 90)) | ((run.data >= 97) & (run.data <= 122))
                 count = np.append(0, np.cumsum(latin))
                 some = count[run.off[1:]] > count[run.off[:-1]]

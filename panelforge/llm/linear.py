@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -22,19 +24,20 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120, balance
         for side in (-1, 1):
             at = y == side
             weight[at] = 0.5 / max(1, at.sum())
-    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
+    v = np.full(x.shape[1], 1 / math.sqrt(x.shape[1]), x.dtype)
     for _ in range(30):
         v = x.T @ (weight * (x @ v)) + 1e-12
         size = float(np.linalg.norm(v))
         v /= size
     step = 1.0 / (1.0 + 2 * c * (size + 1.0) * 1.1)
+    # Plain numbers beside the arrays, so that these keep their type.
     w, b = np.zeros(x.shape[1], x.dtype), 0.0
     pw, pb, t = w, b, 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ pw + pb))
         g = -2 * c * weight * y * slack
-        nw, nb = pw - step * (pw + x.T @ g), pb - step * g.sum()
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        nw, nb = pw - step * (pw + x.T @ g), pb - step * float(g.sum())
+        nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         pw, pb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
     return w, float(b)

@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "account", "bare", "endpoint")
 STRONG = KINDS[:3]
 
 #: Weak parts; a name can stand behind an underscore (DB_USER=).
-ACCOUNT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
+ACCOUNT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.IGNORECASE | re.ASCII)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|ftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""", re.IGNORECASE | re.ASCII)
 PARAGRAPH = re.compile(r"\n[ \t]*\n")

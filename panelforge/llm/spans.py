@@ -17,23 +17,32 @@ import pyarrow as pa
 
 BLOCK = 4 << 20
 #: Bytes that are hashed at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: A prime, and a base modulo it.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_220_703_125
+#: Powers of BASE and of its inverse modulo 2**64, and of PRIME_BASE and of its inverse modulo PRIME.
+_powers_held = np.ones((4, 1), np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n:
-        def grown(base: int) -> np.ndarray:
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            return np.cumprod(steps, dtype=np.uint64)
+def _powers(n: int) -> np.ndarray:
+    global _powers_held
+    if _powers_held.shape[1] < n:
+        size = 1 << int(n - 1).bit_length()
 
-        _power, _inverse = grown(BASE), grown(pow(BASE, -1, 1 << 64))
-    return _power[:n], _inverse[:n]
+        def grown(base: int, modulus: int) -> np.ndarray:
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, modulus))
+                if modulus == PRIME:
+                    out[done : 2 * done] %= np.uint64(PRIME)
+                done *= 2
+            return out
+
+        _powers_held = np.stack([grown(pow(b, e, m), m) for b, m in ((BASE, 1 << 64), (PRIME_BASE, PRIME)) for e in (1, -1)])
+    return _powers_held[:, :n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,6 +69,8 @@ def table(keep: np.ndarray | list[int], lower: bool = False) -> np.ndarray:
 ALNUM = table([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)], lower=True)
 NONSPACE = table([b for b in range(1, 256) if b not in (0x20, *range(9, 14))])
 NONSPACE[65:91] = np.arange(97, 123)
+#: U+0000 belongs to a word too; 0 means "outside", so it becomes a byte that UTF-8 never has.
+NONSPACE[0] = 0xFD
 
 
 @dataclass
@@ -89,12 +100,12 @@ def column(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[off[0] : off[-1]], off - off[0]
 
 
-def runs(arr: pa.Array, block: int = BLOCK) -> Iterator[Run]:
-    """The column in runs of whole documents, balanced by bytes and not by rows."""
+def runs(arr: pa.Array, block: int = BLOCK, docs: int = 1 << 30) -> Iterator[Run]:
+    """The column in runs of whole documents, balanced by bytes and not by rows; at most `docs` of them."""
     data, off = column(arr)
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + block, "right")) - 1)
+        j = min(i + docs, max(i + 1, int(np.searchsorted(off, off[i] + block, "right")) - 1))
         yield Run(i, data[off[i] : off[j]], off[i : j + 1] - off[i])
         i = j
 
@@ -119,19 +130,28 @@ def document_of(starts: np.ndarray, off: np.ndarray) -> np.ndarray:
 def hashes(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
 
-    The hash is a polynomial in an odd base taken from prefix sums modulo 2**64 and
-    then mixed with the length.  Spans are done in stretches of about STRETCH bytes.
+    Two polynomials make it, one in an odd base modulo 2**64 and one modulo a prime (the
+    first alone is the same for some pairs of texts of two letters, whatever the base),
+    both taken from prefix sums and mixed with the length.  Spans are done in stretches
+    of about STRETCH bytes.
     """
     out = np.empty(len(starts), np.uint64)
+    prime = np.uint64(PRIME)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _powers(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(mapped[lo:hi] * power[: hi - lo], out=sums[1:])
+        power, inverse, power_p, inverse_p = _powers(hi - lo + 1)
+        x = mapped[lo:hi].astype(np.uint64)
         a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(x * power[: hi - lo], out=sums[1:])
+        plain = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x *= power_p[: hi - lo]
+        if hi - lo > 1 << 23:
+            x %= prime  # keeps the sums of a very long span under 2**64
+        np.cumsum(x, out=sums[1:])
+        out[i:j] = plain + mix((sums[b] - sums[a]) % prime * inverse_p[a] % prime)
         i = j
     return mix(out)
 
@@ -156,6 +176,40 @@ def factorize(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, distinct, first
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """codes and where each distinct span appears first; spans lie end to end, from 0 on.
+
+    Hashes find the candidates; each span is then compared with its first, byte by byte,
+    and what differs gets codes of its own, so that equal codes mean equal bytes.
+    """
+    codes, _, first = factorize(hashes(data + np.uint16(1), starts, ends))
+    size, model = ends - starts, first[codes]
+    like = size == size[model]
+    move = np.where(like, starts[model] - starts, 0)
+    # Half a block at a time, so that the places of bytes stay small.
+    bad = [np.flatnonzero(~like)]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK // 2, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        differ = data[np.arange(lo, hi) + np.repeat(move[i:j], size[i:j])] != data[lo:hi]
+        if differ.any():
+            bad.append(i + np.unique(np.searchsorted(ends[i:j] - lo, np.flatnonzero(differ), "right")))
+        i = j
+    bad = np.concatenate(bad)
+    if len(bad):
+        known: dict[bytes, int] = {}
+        first = first.tolist()
+        for k in np.sort(bad).tolist():
+            span = data[starts[k] : ends[k]].tobytes()
+            if span not in known:
+                known[span] = len(first)
+                first.append(k)
+            codes[k] = known[span]
+        first = np.array(first)
+    return codes, first
+
+
 def tiles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut documents where byte-level tokenizers cut them too: before a lone ASCII space
     character that stands between two characters that are no white space.
@@ -189,23 +243,40 @@ def sums(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(docs, weights=values, minlength=n).astype(np.int64)
 
 
+#: What an entry of a memo takes beside its key and value, in bytes.
+ENTRY = 160
+
+
 class Memo:
-    """Values of distinct spans by hash, at most `most` of them; when full it starts anew."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
-
-    def fill(self, distinct: np.ndarray, make) -> list:
-        """The values of `distinct`; make(indices) gives those that aren't known."""
-        known = self.known
-        keys = distinct.tolist()
-        out = [known.get(k) for k in keys]
-        new = [i for i, v in enumerate(out) if v is None]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-            for i, v in zip(new, make(new), strict=True):
+    """Values of distinct spans by their bytes, in at most about `most` bytes.
+
+    Entries are held in two generations; when the newer one has half of the bytes it
+    becomes the older one, and what wasn't asked for since is forgotten.
+    """
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.new, self.old, self.size = most, {}, {}, 0
+
+    def fill(self, keys: list[bytes], make) -> list:
+        """The values of `keys`; make(indices) gives those that aren't known, each with its size."""
+        new, old = self.new, self.old
+        out = [new.get(k) for k in keys]
+        missing = []
+        for i, v in enumerate(out):
+            if v is None:
+                v = out[i] = old.get(keys[i])
+                if v is None:
+                    missing.append(i)
+                else:
+                    self._put(keys[i], v, 0)
+        if missing:
+            for i, (v, size) in zip(missing, make(missing), strict=True):
                 out[i] = v
-                if len(known) < self.most:
-                    known[keys[i]] = v
+                self._put(keys[i], v, size)
         return out
+
+    def _put(self, key: bytes, value, size: int) -> None:
+        self.size += len(key) + size + ENTRY
+        if self.size > self.most // 2:
+            self.old, self.new, self.size = self.new, {}, len(key) + size + ENTRY
+        self.new[key] = value

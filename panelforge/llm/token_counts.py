@@ -2,9 +2,10 @@
 
 Arrow batches are cut into runs of about 4 MB of text, whatever their number of
 rows.  For a byte-level vocabulary each run is split at places that no token
-crosses (spans.tiles), a tile that the worker has not met yet goes through the
-library's batch encoder once, and a text's count is the sum over its tiles; so a
-very long text is never encoded in one piece.  Other kinds of vocabulary
+crosses (spans.tiles), a tile that the worker does not remember goes through the library's
+batch encoder once, and a text's count is the sum over its tiles; so a very long text is
+encoded in pieces wherever it has such a place (a text without any lone space, like one
+base64 string, is one tile).  A tile is known by its bytes.  Other kinds of vocabulary
 (sentencepiece, word-end BPE) get whole texts in the same byte-balanced batches.
 
 Null and empty texts have 0 bytes and 0 tokens.  Repeated rows are counted each on
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from . import base, spans
 
 SCHEMA = "n_bytes long, n_tokens long"
+OWNER = "token counts"
 #: Texts are given to the batch encoder up to so many bytes at a time.
 ENCODE_BYTES = 1 << 20
 
@@ -51,11 +53,6 @@ def _lengths(path: str) -> tuple[bool, Callable[[list[str]], list[int]]]:
     return plain, lambda texts: [len(x) for x in tok.encode_batch(texts, add_special_tokens=False)]
 
 
-@functools.lru_cache(maxsize=4)
-def _memo(path: str) -> spans.Memo:
-    return spans.Memo(1_000_000)
-
-
 def _balanced(texts: list[str], count: Callable[[list[str]], list[int]]) -> list[int]:
     out: list[int] = []
     held: list[str] = []
@@ -72,16 +69,17 @@ def _balanced(texts: list[str], count: Callable[[list[str]], list[int]]) -> list
 def count_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """n_bytes and n_tokens of each text."""
     tiled, count = _lengths(path)
+    memo = base.kept(OWNER, path, spans.Memo)
     tokens = []
     for run in spans.runs(texts):
+        raw = run.data.tobytes()
         if not tiled:
-            raw = run.data.tobytes()
             tokens.append(_balanced([raw[a:b].decode() for a, b in zip(run.off[:-1], run.off[1:], strict=True)], count))
             continue
         a, b = spans.tiles(run.data, run.off)
-        codes, distinct, first = spans.factorize(spans.hashes(run.data + np.uint16(1), a, b))
-        raw = run.data.tobytes()
-        lengths = _memo(path).fill(distinct, lambda new, a=a, b=b, first=first, raw=raw: _balanced([raw[a[first[i]] : b[first[i]]].decode() for i in new], count))
+        codes, first = spans.distinct_spans(run.data, a, b)
+        tiles = [raw[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)]
+        lengths = memo.fill(tiles, lambda new, tiles=tiles: [(n, 32) for n in _balanced([tiles[i].decode() for i in new], count)])
         tokens.append(spans.sums(np.asarray(lengths, np.float64)[codes], spans.document_of(a, run.off), run.docs) if len(a) else np.zeros(run.docs, np.int64))
     _, off = spans.column(texts)
     return np.diff(off), np.concatenate(tokens).astype(np.int64) if tokens else np.zeros(0, np.int64)
@@ -92,6 +90,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     base.arrow(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy(OWNER)
         for batch in batches:
             n_bytes, n_tokens = count_column(batch.column(1), path)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], names=[key, "n_bytes", "n_tokens"])

@@ -10,26 +10,33 @@ bytes more, too: the kernel is the largest over all of them, so that a glued or
 sentence of any length shows the landmarks in it.  Words under ORDER bytes have no
 subsequence of ORDER characters, and so no kernel.
 
-Landmarks.  From labelled training documents (a bounded sample), the words of up to
-LONGEST bytes that speak most for label 1 become landmarks, and some common words of label 0 besides.  A
-sentence's kernel with a landmark is the largest over its words, and the Nystroem map
-turns kernels with the landmarks into features, K^(-1/2) k.
-
-Training.  Sentences inherit their document's label; of a document with label 1 the
-sentence that scores highest is its witness (chosen anew in each of ROUNDS rounds), and
-so is each sentence with a telling word itself; copies of witnesses with characters
-inserted in or taken out of the telling word join them.  A document's score is that of its worst sentence, through a logistic fit.
-
-Whole texts are scored.  A word's kernels are computed once per worker while its memo
-lasts; a bound on the longest common subsequence, exact and bit-parallel, rules out
-most pairs before.  Kernels under FLOOR count as 0.
+Landmarks.  From labelled training documents (a sample of at most SAMPLE a label), the
+words of up to LONGEST bytes that speak most for label 1 become landmarks, and some common
+words of label 0 besides.  A sentence's kernel with a landmark is the largest over its
+words, and the Nystroem map turns kernels with the landmarks into features, K^(-1/2) k.
+
+Training.  Sentences inherit their document's label; of a sampled document of more than
+FITTED characters so many are taken, as whole sentences chosen by a hash.  Of a document
+with label 1 the sentence that scores highest is its witness (chosen anew in each of
+ROUNDS rounds), and so is each sentence with a telling word itself; copies of witnesses
+with characters inserted in or taken out of the telling word join them.  Of clean
+sentences the HARDEST that score highest are fitted on.  A document's score is that of its
+worst sentence, through a logistic fit.
+
+Whole texts are scored.  Kernels under FLOOR count as 0; bounds that are proven (Mark,
+_likeness) rule out most pairs of a word and a landmark before.  A worker remembers the
+kernels of words, by their bytes.
 
 Definitions: null and empty texts have no sentence and score as a text without any
-likeness to a landmark.  Without both labels in training every score is 0.
+likeness to a landmark.  Without both labels in training every score is 0; without any
+word of ORDER bytes in training every text scores alike.  Repeated rows are scored each;
+of labels and texts of one key the smallest count.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +49,8 @@ from . import base, spans
 from .linear import logistic, sigmoid, svm
 
 SAMPLE = 1500
+#: Characters of a document's sample of sentences, and clean sentences in the fit, those that score highest.
+FITTED, HARDEST = 20_000, 20_000
 LANDMARKS, PLAIN = 48, 16
 ORDER, DECAY = 4, 0.8
 FLOOR = 0.25
@@ -121,49 +130,32 @@ def letters(words: list[bytes], width: int = LONGEST) -> np.ndarray:
 def raw_kernel(x: np.ndarray, mark: bytes, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Sum over common subsequences of `order` characters, of all rows of x with one mark.
 
-    The usual recursion over both strings' positions; rows are done at once.
+    The usual recursion over both strings' positions; rows are done at once, and the sums
+    over earlier positions are products with matrices of decay powers.
     """
     n, width = x.shape
     m = len(mark)
-    same = x[:, :, None] == np.frombuffer(mark, np.uint8)[None, None, :]
-    # part[i, j]: subsequences of length p that begin anywhere and are carried, decayed, up to i and j.
-    part = np.ones((n, width + 1, m + 1), np.float32)
-    for p in range(order):
-        total = np.zeros(n, np.float32)
-        new = np.zeros((n, width + 1, m + 1), np.float32)
-        for i in range(width):
-            hit = same[:, i, :] * part[:, i, :m] * (decay * decay)
-            total += hit.sum(1)
-            if p + 1 < order:
-                row = np.zeros((n, m + 1), np.float32)
-                for j in range(m):
-                    row[:, j + 1] = decay * row[:, j] + hit[:, j]
-                new[:, i + 1] = decay * new[:, i] + row
-        part = new
-    return total
+    hit = (x[:, :, None] == np.frombuffer(mark, np.uint8)).astype(np.float32)
+    same = hit * np.float32(decay * decay)
+    earlier = lambda k: np.triu(decay ** np.maximum(np.arange(k)[None] - np.arange(k)[:, None] - 1.0, 0), 1).astype(np.float32)
+    over_x, over_mark = np.ascontiguousarray(earlier(width).T), earlier(m)
+    hit = same
+    for _ in range(order - 1):
+        hit = same * (over_x @ (hit.reshape(n * width, m) @ over_mark).reshape(n, width, m))
+    return hit.reshape(n, -1).sum(1)
 
 
 def own_kernel(x: np.ndarray) -> np.ndarray:
     """Each row's kernel with itself."""
-    out = np.zeros(len(x), np.float32)
-    size = (x != 0).sum(1)
     n, width = x.shape
-    same = (x[:, :, None] == x[:, None, :]) & (x != 0)[:, :, None] & (x != 0)[:, None, :]
-    part = np.ones((n, width + 1, width + 1), np.float32)
-    top = int(size.max()) if n else 0
-    for p in range(ORDER):
-        out[:] = 0
-        new = np.zeros_like(part)
-        for i in range(top):
-            hit = same[:, i, :] * part[:, i, :width] * (DECAY * DECAY)
-            out += hit.sum(1)
-            if p + 1 < ORDER:
-                row = np.zeros((n, width + 1), np.float32)
-                for j in range(top):
-                    row[:, j + 1] = DECAY * row[:, j] + hit[:, j]
-                new[:, i + 1] = DECAY * new[:, i] + row
-        part = new
-    return out
+    if not n:
+        return np.zeros(0, np.float32)
+    same = ((x[:, :, None] == x[:, None, :]) & (x != 0)[:, :, None]).astype(np.float32) * np.float32(DECAY * DECAY)
+    earlier = np.triu(DECAY ** np.maximum(np.arange(width)[None] - np.arange(width)[:, None] - 1.0, 0), 1).astype(np.float32)
+    hit, before = same, np.ascontiguousarray(earlier.T)
+    for _ in range(ORDER - 1):
+        hit = same * (before @ (hit @ earlier))
+    return hit.reshape(n, -1).sum(1)
 
 
 def common(x: np.ndarray, mark: bytes) -> np.ndarray:
@@ -177,59 +169,115 @@ def common(x: np.ndarray, mark: bytes) -> np.ndarray:
     for i in range(x.shape[1]):
         hit = v & bits[x[:, i]]
         v = (v + hit) | (v - hit)
-    v &= np.uint32((1 << m) - 1)
-    out = np.full(len(x), m)
-    for i in range(m):
-        out -= (v >> np.uint32(i) & np.uint32(1)).astype(np.int64)
-    return out
+    return m - np.bitwise_count(v & np.uint32((1 << m) - 1)).astype(np.int64)
 
 
-def _likeness(x: np.ndarray, size: np.ndarray, mark: bytes, own: np.ndarray, mark_own: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x whose normalised kernel with the mark is FLOOR or more, and the kernels; own: of the rows, filled in where needed."""
-    # Rows that share too few characters, in any order and then in order, for the mark's length stay far under FLOOR.
-    need = max(ORDER, int(np.ceil(0.6 * len(mark))))
-    inside = np.zeros(256, np.uint8)
-    inside[list(mark)] = 1
-    shared = np.zeros(len(x), np.uint8)
+#: Bytes in 64 classes, and 0 in none: a set of classes is a 64-bit number.
+_CLASS = np.zeros(256, np.uint64)
+_CLASS[1:] = np.uint64(1) << ((np.arange(1, 256) * 29) % 64).astype(np.uint64)
+_CLASS[48:58] = np.uint64(1) << np.arange(10, dtype=np.uint64)
+_CLASS[97:123] = np.uint64(1) << np.arange(10, 36, dtype=np.uint64)
+_CLASS[128:] = np.uint64(1) << (36 + np.arange(128) % 28).astype(np.uint64)
+#: Classes of a mark that are told apart; the others count as present.
+TOLD = 12
+
+
+def classes(x: np.ndarray) -> np.ndarray:
+    """The set of classes of each row's bytes."""
+    out = np.zeros(len(x), np.uint64)
     for i in range(x.shape[1]):
-        shared += inside[x[:, i]]
-    at = np.flatnonzero((size >= ORDER) & (shared >= need))
-    at = at[common(x[at], mark) >= need]
+        out |= _CLASS[x[:, i]]
+    return out
+
+
+class Mark:
+    """A landmark, and which sets of its characters a word must have for a kernel of FLOOR or more.
+
+    By Cauchy and Schwarz a normalised kernel is at most sqrt(part / own), where own is the
+    mark's kernel with itself and part the share of it that comes from subsequences that
+    the word has too; these lie within the characters that the word has.
+    """
+
+    def __init__(self, mark: bytes):
+        self.mark = mark
+        self.own = float(own_kernel(letters([mark], len(mark)))[0])
+        at = np.frombuffer(mark, np.uint8)
+        self.bits = np.unique(_CLASS[at])[:TOLD]
+        subsets = np.arange(1 << len(self.bits))
+        x = np.tile(at, (len(subsets), 1))
+        for i, bit in enumerate(self.bits):
+            x[np.ix_((subsets >> i & 1) == 0, _CLASS[at] == bit)] = 0
+        part = np.concatenate([raw_kernel(x[i : i + 1024], mark) for i in range(0, len(x), 1024)])
+        self.able = part * (1 + 1e-4) >= FLOOR**2 * self.own
+        self.fewest = min((int(s).bit_count() for s in np.flatnonzero(self.able)), default=len(self.bits) + 1)
+        self.all = np.bitwise_or.reduce(self.bits)
+
+    def may(self, sets: np.ndarray) -> np.ndarray:
+        """Rows, by their classes, whose kernel can be FLOOR or more."""
+        at = np.flatnonzero(np.bitwise_count(sets & self.all) >= self.fewest)
+        code = np.zeros(len(at), np.int64)
+        for i, bit in enumerate(self.bits):
+            code |= ((sets[at] & bit) > 0).astype(np.int64) << i
+        return at[self.able[code]]
+
+
+#: Least kernel with itself of a word of n bytes: that of a word without any byte twice.
+LEAST_OWN = [0.0, *(float(own_kernel(np.arange(1, n + 1, dtype=np.uint8)[None])[0]) for n in range(1, LONGEST + WIDER[-1] + 1))]
+
+
+def _likeness(x: np.ndarray, size: np.ndarray, sets: np.ndarray, mark: Mark, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x whose normalised kernel with the mark is FLOOR or more, and the kernels.
+
+    sets: the rows' classes; own: their kernels with themselves, negative where unknown, filled in where needed.
+    Rows are ruled out by bounds alone: by their characters, by a common subsequence shorter
+    than ORDER, and by the least that a word of their length can have for itself.
+    """
+    at = mark.may(sets)
+    at = at[common(x[at], mark.mark) >= ORDER]
+    raw = np.zeros(len(at), np.float32)
+    for i in range(0, len(at), 2000):
+        s = at[i : i + 2000]
+        raw[i : i + 2000] = raw_kernel(x[s, : int(size[s].max())], mark.mark)
+    least = np.array(LEAST_OWN)[size[at]]
+    keep = raw * (1 + 1e-4) >= FLOOR * np.sqrt(least * mark.own)
+    at, raw = at[keep], raw[keep]
     new = at[own[at] < 0]
-    for i in range(0, len(new), 2000):
-        own[new[i : i + 2000]] = own_kernel(x[new[i : i + 2000]])
-    value = np.zeros(len(at), np.float32)
-    for i in range(0, len(at), 4000):
-        s = at[i : i + 4000]
-        value[i : i + 4000] = raw_kernel(x[s, : int(size[s].max())], mark) / np.sqrt(np.maximum(own[s] * mark_own, 1e-12))
+    for i in range(0, len(new), 1000):
+        s = new[i : i + 1000]
+        own[s] = own_kernel(x[s, : int(size[s].max())])
+    value = raw / np.sqrt(np.maximum(own[at] * mark.own, 1e-12))
     return at[value >= FLOOR], value[value >= FLOOR]
 
 
 def kernels(words: list[bytes], marks: list[bytes]) -> np.ndarray:
     """Normalised kernels of words with marks, the largest over a whole word of up to LONGEST bytes and its windows; under FLOOR they are 0."""
+    return kernels_with(words, [Mark(m) for m in marks])
+
+
+def kernels_with(words: list[bytes], marks: list[Mark]) -> np.ndarray:
     out = np.zeros((len(words), len(marks)), np.float32)
     if not len(marks):
         return out
-    mark_own = own_kernel(letters(marks))
     for lo in range(0, len(words), 20_000):
         part = words[lo : lo + 20_000]
         best = out[lo : lo + 20_000]
         length = np.array([len(w) for w in part])
         some = np.flatnonzero((length >= ORDER) & (length <= LONGEST))
         x, own = letters([part[i] for i in some]), np.full(len(some), -1.0, np.float32)
+        sets = classes(x)
         for k, mark in enumerate(marks):
-            at, value = _likeness(x, length[some], mark, own, mark_own[k])
+            at, value = _likeness(x, length[some], sets, mark, own)
             best[some[at], k] = value
-        _windows(part, length, marks, mark_own, best)
+        _windows(part, length, marks, best)
     return out
 
 
-def _windows(words: list[bytes], length: np.ndarray, marks: list[bytes], mark_own: np.ndarray, best: np.ndarray) -> None:
+def _windows(words: list[bytes], length: np.ndarray, marks: list[Mark], best: np.ndarray) -> None:
     """Raises best (words x marks) to the kernels of all windows of words longer than the window."""
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum(length)
-    for width in sorted({len(m) + more for m in marks for more in WIDER}):
-        mine = [k for k, m in enumerate(marks) if width - len(m) in WIDER]
+    for width in sorted({len(m.mark) + more for m in marks for more in WIDER}):
+        mine = [k for k, m in enumerate(marks) if width - len(m.mark) in WIDER]
         for lo in range(0, len(data) - width + 1, WINDOWS):
             start = np.arange(lo, min(lo + WINDOWS, len(data) - width + 1))
             owner = np.searchsorted(ends, start, "right")
@@ -239,9 +287,9 @@ def _windows(words: list[bytes], length: np.ndarray, marks: list[bytes], mark_ow
                 continue
             codes, _, first = spans.factorize(spans.kgrams(data[start[0] : start[-1] + width].astype(np.uint64), width)[start - start[0]])
             x = data[start[first][:, None] + np.arange(width)]
-            own, size = np.full(len(x), -1.0, np.float32), np.full(len(x), width)
+            own, size, sets = np.full(len(x), -1.0, np.float32), np.full(len(x), width), classes(x)
             for k in mine:
-                at, value = _likeness(x, size, marks[k], own, mark_own[k])
+                at, value = _likeness(x, size, sets, marks[k], own)
                 if len(at):
                     all_ = np.zeros(len(x), np.float32)
                     all_[at] = value
@@ -288,12 +336,12 @@ class Model:
                 seen = codes[ends[i] : ends[i + 1]]
                 sets.append(set(names[seen].tolist()))
                 held.append((seen, names, w.sentence[ends[i] : ends[i + 1]]))
-        self.marks = telling(sets, y, LANDMARKS)
+        told = telling(sets, y, LANDMARKS)
         often = Counter(x for s, v in zip(sets, y, strict=True) if not v for x in s if ORDER <= len(x) <= LONGEST)
-        self.marks += [x for x, _ in sorted(often.items(), key=lambda t: (-t[1], t[0]))[:PLAIN] if x not in self.marks]
+        self.marks = [Mark(x) for x in told + [x for x, _ in sorted(often.items(), key=lambda t: (-t[1], t[0]))[:PLAIN] if x not in told]]
         distinct = sorted({x for s in sets for x in s})
         place = {x: i for i, x in enumerate(distinct)}
-        k = kernels(distinct, self.marks)
+        k = kernels_with(distinct, self.marks)
         bag, of_doc = [], []
         for i, (seen, names, sentence) in enumerate(held):
             rows_ = k[[place[names[c]] for c in seen.tolist()]] if len(seen) else np.zeros((0, len(self.marks)), np.float32)
@@ -302,22 +350,24 @@ class Model:
             bag.append(s)
             of_doc += [i] * len(s)
         x, of_doc = np.concatenate(bag).astype(np.float64), np.array(of_doc)
-        gram = np.maximum(kernels(self.marks, self.marks), np.eye(len(self.marks)))
+        names = [m.mark for m in self.marks]
+        gram = np.maximum(kernels_with(names, self.marks), np.eye(len(names)))
         value, vector = np.linalg.eigh((gram + gram.T) / 2)
         self.root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
         z = x @ self.root
         bad = y[of_doc] == 1
-        sure = x[:, : len(self.marks) - PLAIN].max(1, initial=0) > 0.95
-        worst = x[:, : max(1, len(self.marks) - PLAIN)].max(1)
+        # Without a telling word, any likeness makes a sentence a witness.
+        worst = x[:, : len(told) or None].max(1, initial=0)
+        sure = x[:, : len(told)].max(1, initial=0) > 0.95
         starts = np.flatnonzero(np.append(True, of_doc[1:] != of_doc[:-1]))
         for _ in range(ROUNDS):
             top = np.array([a + int(np.argmax(worst[a:b])) for a, b in zip(starts, np.append(starts[1:], len(of_doc)), strict=True)])
             # Sentences of label 1 with a telling word itself are witnesses whichever scores highest.
-            witness = np.union1d(top[bad[top] & (x[top].max(1) > 0)], np.flatnonzero(bad & sure))
-            gaps = [corrupted(self.marks[int(x[i].argmax())], rng) for i in witness]
-            more = kernels(gaps, self.marks).astype(np.float64) @ self.root if gaps else np.zeros((0, z.shape[1]))
+            witness = np.union1d(top[bad[top] & (x[top].max(1, initial=0) > 0)], np.flatnonzero(bad & sure))
+            gaps = [corrupted(names[int(x[i].argmax())], rng) for i in witness]
+            more = kernels_with(gaps, self.marks).astype(np.float64) @ self.root if gaps else np.zeros((0, z.shape[1]))
             clean = np.flatnonzero(~bad)
-            clean = clean[np.argsort(-worst[clean], kind="stable")[: 20_000]]
+            clean = clean[np.argsort(-worst[clean], kind="stable")[:HARDEST]]
             given = np.concatenate([z[witness], more, z[clean], np.zeros((1, z.shape[1]))])
             side = np.concatenate([np.ones(len(witness) + len(more)), -np.ones(len(clean) + 1)])
             w, b = svm(given, side, c=200.0, steps=400)
@@ -338,14 +388,19 @@ class Model:
 
     def score(self, run: spans.Run) -> np.ndarray:
         if self.memo is None:
-            self.memo = spans.Memo(800_000)
+            self.memo = spans.Memo()
         docs = run.docs
         margin = np.full(docs, self.b)
         w = Words(run)
         if len(w.hash):
-            codes, distinct, first = spans.factorize(w.hash)
-            zero = ()
-            rows = self.memo.fill(distinct, lambda new: [r if r.any() else zero for r in kernels(w.strings(first[new]), self.marks)])
+            codes, _, first = spans.factorize(w.hash)
+            names = w.strings(first)
+
+            def make(new: list[int]) -> list[tuple]:
+                k = kernels_with([names[i] for i in new], self.marks)
+                return [(r, 4 * len(r)) if some else ((), 0) for r, some in zip(k, k.any(1).tolist(), strict=True)]
+
+            rows = self.memo.fill(names, make)
             some = np.array([len(r) > 0 for r in rows])
             if some.any():
                 table = np.stack([r for r in rows if len(r)])
@@ -362,15 +417,44 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     return Model(rows, share) if len({v for _, v in rows}) == 2 else None
 
 
+def sentences(rows: DataFrame) -> DataFrame:
+    """base.picked() rows with at most FITTED characters of text: of a longer one, sentences chosen by a hash, in order."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
+        for batch in batches:
+            texts = batch.column("_t").to_pylist()
+            for i, t in enumerate(texts):
+                if t is not None and len(t) > FITTED:
+                    parts = [p[j : j + FITTED // 4] for p in re.split(r"(?<=[.!?])\s+|\n", t) for j in range(0, len(p), FITTED // 4)]
+                    kept, size = [], 0
+                    for j in sorted(range(len(parts)), key=lambda j: zlib.crc32(f"{j} {parts[j]}".encode())):
+                        if size + len(parts[j]) <= FITTED:
+                            kept.append(j)
+                            size += len(parts[j]) + 1
+                    texts[i] = "\n".join(parts[j] for j in sorted(kept))
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_y"), batch.column("_o"), pa.array(texts, pa.string())], names=["_k", "_y", "_o", "_t"])
+
+    kinds = dict(rows.dtypes)
+    return base.hashed(rows).select("_k", "_y", "_o", "_t").mapInArrow(cut, f"_k {kinds['_k']}, _y {kinds['_y']}, _o long, _t string")
+
+
+def learnt(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Model | None:
+    known = labels.where(F.col(label).isin(0, 1))
+    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    if share is None:
+        return None
+    rows = base.few(sentences(base.picked(known, docs, key, label, text, SAMPLE)).collect(), SAMPLE)
+    return fit([(r["_t"], r["_y"]) for r in rows], share)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """key and score (0 to 1) of every row of docs, learnt from the texts of the keys in `labels` (key, label 0 or 1)."""
     base.arrow(docs.sparkSession)
-    known = labels.where(F.col(label).isin(0, 1))
-    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    fitted = None if share is None else fit(base.sample(known, docs, key, label, text, SAMPLE), share)
-    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    model = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, key, text, label))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base.tidy()
         m = model.value
         for batch in batches:
             parts = [m.score(run) if m else np.zeros(run.docs) for run in spans.runs(batch.column(1))]
