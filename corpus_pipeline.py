@@ -81,9 +81,18 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written to the shared folder and read again."""
-    docs = base.table(spark, sf_dir, "documents")
+    docs, last = base.table(spark, sf_dir, "documents"), None
     out = f"{base.shared(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{out}/{i}-{name}")
-        docs = spark.read.parquet(f"{out}/{i}-{name}")
+        path = f"{out}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            _delete(spark, last)  # no later stage reads it
+        last = path
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
