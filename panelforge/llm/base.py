@@ -34,14 +34,20 @@ def kept(owner: str, name: object, make: Callable[[], object]) -> object:
 
 def tidy(owner: str = "") -> None:
     """At a task's start: forget what this worker holds for other operators, and give freed memory back to the system."""
-    import ctypes
     import gc
 
-    import pyarrow as pa
-
     for k in [k for k in _kept if k[0] != owner]:
         del _kept[k]
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker's size follows what it holds."""
+    import ctypes
+
+    import pyarrow as pa
+
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

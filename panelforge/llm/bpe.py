@@ -36,8 +36,8 @@ OWNER = "bpe"
 NONE = np.int64(1) << 40
 #: Pieces up to so many bytes go through the arrays.
 ROW_BYTES = 64
-#: Leaves of the trees that are worked on at a time.
-CELLS = 200_000
+#: Leaves of the trees that are worked on at a time, and bytes of text.
+CELLS, BLOCK = 100_000, 1 << 20
 
 
 class Vocabulary:
@@ -220,7 +220,7 @@ def encode_column(texts: pa.Array, path: str, pattern: str) -> Iterator[tuple[by
     """
     v = vocabulary(path)
     memo = base.kept(OWNER, (path, pattern), spans.Memo)
-    for run in spans.runs(texts):
+    for run in spans.runs(texts, BLOCK):
         a, b = spans.tiles(run.data, run.off)
         raw = run.data.tobytes()
         codes, first = spans.distinct_spans(run.data, a, b)
@@ -261,6 +261,8 @@ def bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str
                 cols.append(pa.array(tokens, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+            del cols, tokens
+            base.trim()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
     return rows.mapInArrow(apply, f"`{key}` {dict(rows.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

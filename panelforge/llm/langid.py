@@ -182,6 +182,7 @@ def identify(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str =
             new = [pa.array(names, pa.string()), pa.array(scores)]
             old = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*old, *new], names=[*(batch.schema.names if keep else [key]), *into])
+            base.trim()
 
     rows = docs if keep else docs.select(F.col(key), F.col(text).cast("string").alias(text))
     schema = ", ".join(f"`{n}` {t}" for n, t in (rows.dtypes if keep else rows.dtypes[:1]))

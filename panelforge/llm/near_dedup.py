@@ -168,6 +168,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 sketch = (kept & np.uint64(255)).astype(np.uint8)
                 cols = [part.column(0), part.column(1), pa.array(node, mask=none), pa.array(np.diff(run.off)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~none].ravel())), pa.array([None if x else s.tobytes() for s, x in zip(sketch, none, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "rid", "node", "n_bytes", "bands", "sketch"])
+            base.trim()
 
     return rows.mapInArrow(sign, f"key {dict(rows.dtypes)['key']}, rid long, node long, n_bytes long, bands array<long>, sketch binary")
 

@@ -172,6 +172,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", redact: bo
                 new = [redacted(t, f) if f else t for t, f in zip(texts.to_pylist(), found, strict=True)]
                 cols = [pa.array(new, pa.string()) if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                base.trim()
                 continue
             digest = [hashlib.sha256(listed([s for s in f if s[2] in STRONG]).encode()).hexdigest() if f else empty for f in found]
             cols = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in f] for f in found], kind), pa.array(digest), pa.array([listed(f) for f in found])]

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 BLOCK = 4 << 20
@@ -169,11 +168,14 @@ def kgrams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def factorize(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """codes, distinct values in order of appearance, and where each appears first."""
-    codes, distinct = pd.factorize(h)
-    first = np.empty(len(distinct), np.int64)
-    first[codes[::-1]] = np.arange(len(h) - 1, -1, -1)
-    return codes, distinct, first
+    """codes, sorted distinct values, and where each appears first."""
+    order = np.argsort(h)
+    by = h[order]
+    new = np.append(True, by[1:] != by[:-1])[: len(h)]
+    codes = np.empty(len(h), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return codes, by[starts], np.minimum.reduceat(order, starts) if len(h) else order
 
 
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +188,11 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     size, model = ends - starts, first[codes]
     like = size == size[model]
     move = np.where(like, starts[model] - starts, 0)
-    # Half a block at a time, so that the places of bytes stay small.
+    # A stretch at a time, so that the places of bytes stay small.
     bad = [np.flatnonzero(~like)]
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK // 2, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         differ = data[np.arange(lo, hi) + np.repeat(move[i:j], size[i:j])] != data[lo:hi]
         if differ.any():
