@@ -19,7 +19,9 @@ executor.  Counts of all words are gathered besides.
 
 Scoring.  Documents are dealt into groups by a hash; each group sends the distinct
 strings of its texts to the tree's parts, which answer with their probabilities, in the
-order asked.  Strings and answers travel as packed arrays.
+order asked.  Strings and answers travel as packed arrays.  There are as many groups and
+parts as there are shuffle partitions, or more: one for each GROUP training symbols, so
+that neither grows with the corpus.
 
 Base counts.  Words with a share of COMMON or more (at most 1/COMMON of them) go to every
 executor; the counts of all other words are joined by the word's hash, so that the base
@@ -49,26 +51,27 @@ HEAD = 3
 HELD = 4_000_000
 #: Bytes of text in a run of the counting passes.
 RUN = 6 << 20
+#: Symbols of training texts for a part of the tree and a group of texts, if there are more than partitions.
+GROUP = 80 << 20
 #: Bytes of text that are scored together.
 SCORED = 1 << 20
-KEEP, DIVERGENCE = 10.0, 0.01
+KEEP, DIVERGENCE = 5.0, 0.01
 COMMON = 1e-7
-SEGMENT = 256
 #: The end symbol, a byte that UTF-8 texts don't hold; 0xFE stands before a text's start.
 END, START = 0xFF, 0xFE
 
 
 @dataclass
 class Symbols:
-    """A run's bytes as symbols, their documents' bounds, and word hashes with their documents."""
+    """A run's bytes as symbols, their documents' bounds, and word hashes (if asked for) with their documents."""
 
     data: np.ndarray
     off: np.ndarray
-    hash: np.ndarray
+    hash: np.ndarray | None
     doc: np.ndarray
 
 
-def symbols(run: spans.Run) -> Symbols:
+def symbols(run: spans.Run, words: bool = False) -> Symbols:
     mapped = spans.NONSPACE[run.data]
     a, b = spans.words(mapped, run.off)
     doc = spans.document_of(a, run.off)
@@ -82,7 +85,7 @@ def symbols(run: spans.Run) -> Symbols:
     taken[off[1:] - 1] = False
     out[taken] = mapped[mapped != 0]
     out[off[1:] - 1] = END
-    return Symbols(out, off, spans.hashes(mapped, a, b), doc)
+    return Symbols(out, off, spans.hashes(mapped, a, b) if words else None, doc)
 
 
 def strings(s: Symbols) -> np.ndarray:
@@ -97,19 +100,9 @@ def strings(s: Symbols) -> np.ndarray:
         real[first + k] = False
     x = np.full(len(real), START, np.uint8)
     x[real] = s.data
-    out = np.zeros(len(x), np.uint64)
-    for k in range(DEPTH + 1):
-        byte = x[: len(x) - k].astype(np.uint64)
-        byte <<= np.uint64(8 * (7 - k))
-        out[k:] |= byte
-    return out[real]
-
-
-def prefixes(values: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct k-byte prefixes of sorted values, with their counts."""
-    cut = values >> np.uint64(8 * (8 - k))
-    new = np.flatnonzero(np.append(True, cut[1:] != cut[:-1])) if len(cut) else np.zeros(0, np.int64)
-    return cut[new], np.add.reduceat(counts, new) if len(new) else np.zeros(0, np.int64)
+    # A number in little-endian order at each place holds the byte there and the seven after it.
+    every = np.ndarray(max(0, len(x) - DEPTH), "<u8", x, strides=(1,))
+    return every[real[DEPTH:]]
 
 
 def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,13 +161,16 @@ def first_counts(texts: DataFrame) -> DataFrame:
         words, short, total, docs = Tally(), Tally(), 0, 0
         for batch in batches:
             for run in spans.runs(batch.column(0), RUN):
-                s = symbols(run)
+                s = symbols(run, True)
                 words.add(*counted(s.hash))
                 total += len(s.data)
                 docs += run.docs
-                x = strings(s)
-                x = (x << np.uint64(8) >> np.uint64(8 * (9 - HEAD)) << np.uint64(8)) | (x >> np.uint64(56))
-                short.add(*counted(x))
+                # The symbol and HEAD - 1 predecessors fit in 32 bits, which sort faster.
+                x = (strings(s) >> np.uint64(8 * (8 - HEAD))).astype(np.uint32)
+                x, n = counted(x)
+                x = x.astype(np.uint64)
+                at = np.uint64(8 * (HEAD - 1))
+                short.add((x << np.uint64(8)) & np.uint64((1 << 8 * HEAD) - 1) | (x >> at), n)
                 if words.size + len(words.keys) > HELD:
                     yield _batch(0, 0, *words.merge())
                     words = Tally()
@@ -190,6 +186,11 @@ def packed(x: np.ndarray) -> bytes:
     return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
 
 
+def rounded(p: np.ndarray) -> np.ndarray:
+    """float32 with 16 bits of mantissa, an error of 8e-6 of the value at most; the last byte, always 0, packs to nothing."""
+    return ((p.astype(np.float32).view(np.uint32) + np.uint32(0x80)) & np.uint32(0xFFFFFF00)).view(np.float32)
+
+
 def unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     raw = pa.decompress(blob, n * size, "zstd", asbytes=True) if n else b""
@@ -273,12 +274,22 @@ class Part:
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each string's symbol after its longest retained context."""
         out = np.full(len(keys), 1 / 256)
-        for k, (contexts, rest, pairs, p) in enumerate(self.levels):
-            ctx = keys >> np.uint64(8 * (8 - k)) if k else np.zeros(len(keys), np.uint64)
+        share, at = np.ones(len(keys)), np.arange(len(keys))
+        for k in range(len(self.levels) - 1, -1, -1):
+            contexts, rest, pairs, p = self.levels[k]
+            mine = keys[at]
+            ctx = mine >> np.uint64(8 * (8 - k)) if k else np.zeros(len(mine), np.uint64)
             i, known = _find(contexts, ctx)
-            j, seen = _find(pairs, ctx << np.uint64(8) | keys & np.uint64(255))
-            if known.any():
-                out = np.where(seen, p[j], np.where(known, rest[i] * out, out))
+            here = np.flatnonzero(known)
+            j, seen = _find(pairs, ctx[here] << np.uint64(8) | mine[here] & np.uint64(255))
+            out[at[here[seen]]] = p[j[seen]] * share[at[here[seen]]]
+            # What a context hasn't seen goes by its suffix, with the weight that the context leaves for it.
+            rest_at = here[~seen]
+            share[at[rest_at]] *= rest[i[rest_at]]
+            go = np.ones(len(at), bool)
+            go[here[seen]] = False
+            at = at[go]
+        out[at] *= share[at]
         return np.log10(out)
 
 
@@ -299,116 +310,24 @@ def answers(packs: DataFrame, short: tuple[np.ndarray, np.ndarray], parts: int)
         for part, packs_ in open_.items():
             tree = Part(held.value, *counts.pop(part, Tally()).merge())
             for group, n, keys in packs_:
-                p = packed(tree.log10(unpacked(keys, n, np.uint64)).astype(np.float32))
+                p = packed(rounded(tree.log10(unpacked(keys, n, np.uint64))))
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([p], pa.binary())], names=["grp", "part", "n", "p"])
 
     return packs.repartition(parts, "part").mapInArrow(answer, "grp int, part int, n int, p binary")
 
 
-class Tree:
-    """Retained contexts of a small corpus as states: next state and log10 probability for each symbol."""
-
-    def __init__(self, counts: dict[int, dict[int, int]], total: int, docs: int):
-        """counts: by length, of strings (symbol highest, then its predecessors, the latest first); of all symbols and texts."""
-        # Of each context (predecessors, the latest highest), the counts of symbols that follow.
-        after: dict[tuple[int, int], dict[int, int]] = {}
-        for k, strings_ in counts.items():
-            for key, n in strings_.items():
-                after.setdefault((k - 1, key & ((1 << 8 * (k - 1)) - 1)), {})[key >> 8 * (k - 1)] = n
-        active = sorted(counts.get(1, {}))
-        size = len(active) + 1
-        code = np.full(256, size - 1)
-        code[active] = np.arange(size - 1)
-        self.code, self.extra = code.astype(np.uint8 if size <= 256 else np.int16), np.zeros(256)
-        self.extra[code == size - 1] = -np.log10(max(1, 257 - size))
-        known: dict[tuple[int, int], np.ndarray] = {}
-
-        def smoothed(k: int, ctx: int, below: np.ndarray) -> tuple[np.ndarray, int]:
-            seen = after.get((k, ctx), {})
-            start = k and ctx >> 8 * (k - 1) == START
-            n = max(sum(seen.values()), docs if start else counts.get(k, {}).get(ctx, 0) if k else total)
-            # What rare symbols and the weight of `kinds` unseen ones make goes by the shorter context.
-            p = below.astype(np.float64)
-            at = code[list(seen)]
-            p[at] = 0
-            p *= (n - sum(seen.values()) + len(seen) + 1) / p.sum()
-            p[at] = list(seen.values())
-            return (p / p.sum()).astype(np.float32), n
-
-        def longest(k: int, ctx: int) -> tuple[int, int]:
-            while (k, ctx) not in known:
-                k, ctx = k - 1, ctx >> 8
-            return k, ctx
-
-        even = np.full(size, 1 / 256)
-        even[-1] = (257 - size) / 256 + 1e-12
-        known[0, 0] = smoothed(0, 0, even)[0]
-        for k, ctx in sorted(x for x in after if x[0]):
-            below = known[longest(k, ctx)]
-            p, n = smoothed(k, ctx, below)
-            gain = float((p * np.log(p / below)).sum())
-            if gain >= DIVERGENCE and n * gain >= KEEP:
-                known[k, ctx] = p
-        # States: retained contexts, their suffixes and their older parts, so that a state is reached symbol by symbol.
-        states, grow = {(0, 0)}, list(known)
-        while grow:
-            k, ctx = grow.pop()
-            if (k, ctx) not in states:
-                states.add((k, ctx))
-                grow += [(k - 1, ctx >> 8), (k - 1, ctx & ((1 << 8 * (k - 1)) - 1))]
-        place = {x: i for i, x in enumerate(sorted(states))}
-        child: dict[int, list[tuple[int, int]]] = {}
-        for (k, ctx), i in place.items():
-            if k and ctx >> 8 * (k - 1) != START:
-                child.setdefault(place[k - 1, ctx & ((1 << 8 * (k - 1)) - 1)], []).append((int(code[ctx >> 8 * (k - 1)]), i))
-        self.next = np.zeros((len(place), size), np.int32)
-        self.log = np.zeros((len(place), size), np.float32)
-        for (k, ctx), i in place.items():
-            self.log[i] = np.log10(known[longest(k, ctx)])
-            if k:
-                # Without the oldest byte a state is shorter, and done by now.
-                self.next[i] = self.next[place[k - 1, ctx >> 8]]
-            for s, j in child.get(i, ()):
-                self.next[i, s] = j
-        # The state before a text: of the contexts that are START bytes alone, the longest.
-        self.start = place[max((k, ctx) for k, ctx in place if all(ctx >> 8 * i & 255 == START for i in range(k)))]
-
-    def score(self, s: Symbols) -> np.ndarray:
-        """log10 probability of each document's symbols."""
-        n = np.diff(s.off)
-        pieces = -(-n // SEGMENT)
-        doc = np.repeat(np.arange(len(n)), pieces)
-        first = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        lo = s.off[doc] + first * SEGMENT
-        hi = np.minimum(lo + SEGMENT, s.off[doc + 1])
-        warm = np.maximum(lo - DEPTH, s.off[doc])
-        order = np.argsort(-(hi - warm), kind="stable")
-        doc, lo, hi, warm = doc[order], lo[order], hi[order], warm[order]
-        state = np.where(warm == s.off[doc], self.start, 0).astype(np.int64)
-        out = np.zeros(len(doc))
-        length = hi - warm
-        flat_next, flat_log, size = self.next.ravel(), self.log.ravel(), self.next.shape[1]
-        coded, odd = self.code[s.data], np.flatnonzero(self.extra[s.data])
-        for i in range(int(length.max()) if len(length) else 0):
-            live = int(np.searchsorted(-length, -i, "left"))
-            at = state[:live] * size + coded[warm[:live] + i]
-            out[:live] += np.where(warm[:live] + i >= lo[:live], flat_log[at], 0)
-            state[:live] = flat_next[at]
-        out = np.bincount(doc, weights=out, minlength=len(n))
-        return out + np.bincount(np.searchsorted(s.off, odd, "right") - 1, weights=self.extra[s.data[odd]], minlength=len(n))
-
-
-def train(texts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, DataFrame, int]:
-    """Counts of short strings, N (tokens), V (distinct tokens), the counts of all words (key, n), and the number of texts."""
+def train(texts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, int, DataFrame, int]:
+    """Counts of short strings, symbols, N (tokens), V (distinct tokens), the counts of all words (key, n), and the number of texts."""
     first = base.checkpoint(first_counts(texts).groupBy("kind", "len", "key").agg(F.sum("n").alias("n")))
-    docs = {r["key"]: r["n"] for r in first.where("kind = 1").collect()}.get(1) or 0
+    seen = {r["key"]: r["n"] for r in first.where("kind = 1").collect()}
+    total, docs = seen.get(0) or 0, seen.get(1) or 0
     words = first.where("kind = 0").select("key", "n")
     sums = words.agg(F.sum("n"), F.count("*")).first()
     n_tokens, distinct = (sums[0] or 0) + docs, sums[1] + (docs > 0)
     short = first.where("kind = 2").select("key", "n").toArrow()
     keys = short["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return (keys[order], short["n"].to_numpy()[order]), n_tokens, distinct, words, docs
+    return (keys[order], short["n"].to_numpy()[order]), total, n_tokens, distinct, words, docs
 
 
 def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -416,14 +335,14 @@ def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     base.arrow(spark)
     texts = train_docs.select(F.col(text).cast("string").alias("text"))
-    short, n_tokens, distinct, words, n_docs = train(texts)
+    short, n_symbols, n_tokens, distinct, words, n_docs = train(texts)
     common = words.where(F.col("n") >= COMMON * n_tokens).toArrow()
     keys = common["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     held = spark.sparkContext.broadcast((keys[order], common["n"].to_numpy()[order]))
     below = float(n_tokens + 0.1 * (distinct + 1))
     end = float(np.log10((n_docs + 0.1) / below))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_symbols // GROUP + 1)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(9), text).alias("same"), F.col(text).cast("string").alias("text"))
     grouped = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(10), "key", "same"), F.lit(parts)).cast("int")).repartition(parts, "grp")
 
@@ -441,7 +360,7 @@ def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text:
             log[order[ends[part] : ends[part + 1]]] = unpacked(p, n, np.float32)
         out = []
         for run in spans.runs(texts, SCORED):
-            s = symbols(run)
+            s = symbols(run, True)
             # Sorted lookups are far cheaper than those in the text's order.
             mine, place = np.unique(context_first(strings(s)), return_inverse=True)
             score = np.add.reduceat(log[np.searchsorted(distinct_, mine)][place].astype(np.float64), s.off[:-1])

@@ -314,17 +314,56 @@ def test_language_model_counts_and_probabilities(spark):
     assert all(np.isfinite(r.score) and r.n_known == 0 for r in suffix_tree.lm_scores(d, train.limit(0)).collect())
 
 
-def test_tree_walk_is_the_longest_suffix(monkeypatch):
-    texts = ["abcabcabcabd " * 30, "abcab", ""]
-    (run,) = spans.runs(pa.array(texts))
-    s = suffix_tree.symbols(run)
-    x, n = suffix_tree.counted(suffix_tree.strings(s))
-    counts = {k: dict(zip(*(v.tolist() for v in suffix_tree.prefixes(x, n, k)), strict=True)) for k in range(1, suffix_tree.DEPTH + 2)}
-    tree = suffix_tree.Tree(counts, len(s.data), 3)
-    whole = tree.score(s)
-    monkeypatch.setattr(suffix_tree, "SEGMENT", 10)
-    assert tree.score(s) == pytest.approx(whole)
-    assert np.allclose((10.0**tree.log).sum(1), 1, atol=1e-3)
+def slow_tree(texts):
+    """Probabilities by the tree's definition: counts of all contexts in dictionaries, each kept or not from short to long."""
+    def text_symbols(t):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        return [0xFD if c == 0 else c for w in re.findall(r"[^\x20\x09-\x0D]+", low) for c in w.encode() + b" "] + [suffix_tree.END]
+
+    depth = suffix_tree.DEPTH
+    after = [defaultdict(Counter) for _ in range(depth + 1)]
+    for t in texts:
+        x = [suffix_tree.START] * depth + text_symbols(t)
+        for i in range(depth, len(x)):
+            for k in range(depth + 1):
+                after[k][tuple(x[i - k : i])][x[i]] += 1
+    kept = {}
+
+    def prob(context, symbol):
+        for k in range(len(context) + 1):
+            c = context[k:]
+            if c in kept:
+                counts, rest = kept[c]
+                below = prob(c[1:], symbol) if c else 1 / 256
+                return counts[symbol] / (sum(counts.values()) + len(counts)) + rest * below if symbol in counts else rest * below
+        return 1 / 256
+
+    for k in range(depth + 1):
+        for c, counts in after[k].items():
+            total, rest = sum(counts.values()), len(counts) / (sum(counts.values()) + len(counts))
+            below = {s: prob(c[1:], s) if c else 1 / 256 for s in counts}
+            p = {s: n / (total + len(counts)) + rest * below[s] for s, n in counts.items()}
+            gain = sum(p[s] * np.log(p[s] / below[s]) for s in p) + rest * max(0, 1 - sum(below.values())) * np.log(rest)
+            if not k or (gain >= suffix_tree.DIVERGENCE and total * gain >= suffix_tree.KEEP):
+                kept[c] = counts, rest
+
+    def score(t):
+        x = [suffix_tree.START] * depth + text_symbols(t)
+        return sum(np.log10(prob(tuple(x[i - depth : i]), x[i])) for i in range(depth, len(x)))
+
+    return score
+
+
+def test_scores_are_those_of_the_longest_kept_contexts(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(["alpha", "alpine", "beta", "Betamax", "g\0a", "d", "日本"]) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(100, None), (101, "alphabet beta"), (102, "qqq"), (2, "alpha  beta\n")]
+    d = docs(spark, rows)
+    score = slow_tree([t for i, t in rows if i < 50])
+    got = suffix_tree.lm_scores(d, d.where("doc_id < 50")).collect()
+    want = sorted((str(i), score(t)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.score) for r in got) == [(i, pytest.approx(v, rel=2e-5)) for i, v in want]
+    two = [(0, "a\0b c"), (1, "x")]
+    assert {r.doc_id: r.n_tokens for r in suffix_tree.lm_scores(docs(spark, two), docs(spark, two)).collect()} == {0: 3, 1: 2}
 
 
 def test_stages_take_effect(spark, tmp_path):
