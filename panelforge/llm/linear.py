@@ -24,7 +24,7 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120, balance
         for side in (-1, 1):
             at = y == side
             weight[at] = 0.5 / max(1, at.sum())
-    v = np.full(x.shape[1], 1 / math.sqrt(x.shape[1]), x.dtype)
+    v = np.full(x.shape[1], 1 / math.sqrt(max(1, x.shape[1])), x.dtype)
     for _ in range(30):
         v = x.T @ (weight * (x @ v)) + 1e-12
         size = float(np.linalg.norm(v))
