@@ -28,34 +28,39 @@ def edge_stats(panel: DataFrame, signal: str = "sig", ret: str = "ret", lag: int
     return e.withColumn("a", a).withColumn("tstat", F.col("a") * F.sqrt("n"))
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function by Lentz's continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by a continued fraction (Lentz), elementwise."""
+    a, x = np.asarray(a, float), np.asarray(x, float)
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    inside = (z > 0) & (z < 1)
+    z = np.where(inside, z, 0.5)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
     tiny = 1e-300
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
-    out = d
+    c, d = np.ones_like(z), 1 / np.maximum(1 - (p + q) * z / (p + 1), tiny)
+    out = d.copy()
     for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + num * d) or tiny)
-            c = (1 + num / c) or tiny
+        for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / np.where(1 + num * d == 0, tiny, 1 + num * d)
+            c = np.where(1 + num / c == 0, tiny, 1 + num / c)
             out *= c * d
-        if abs(c * d - 1) < 1e-14:
+        if not len(out) or np.abs(c * d - 1).max() < 1e-14:
             break
-    return front * out
+    part = np.where(inside, front * out, (np.where(swap, 1 - x, x) >= 1).astype(float))
+    return np.where(swap, 1 - part, part)
 
 
 def p_values(edges: DataFrame, student: bool = True) -> DataFrame:
     """p: two-sided, by Student's t with n - 1 degrees of freedom or by the normal distribution."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])
         for b in batches:
-            t, n = b.column("tstat").to_pylist(), b.column("n").to_pylist()
-            p = [None if v is None else (_incomplete_beta((k - 1) / 2, 0.5, (k - 1) / (k - 1 + v * v)) if student else math.erfc(abs(v) / math.sqrt(2))) for v, k in zip(t, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p"])
+            none = np.asarray(b.column("tstat").is_null())
+            t, k = np.asarray(b.column("tstat").fill_null(0.0), float), np.maximum(np.asarray(b.column("n"), float) - 1, 1)
+            p = incomplete_beta(k / 2, 0.5, k / (k + t * t)) if student else normal(t)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64(), mask=none)], names=[*b.schema.names, "p"])
 
     return edges.mapInArrow(apply, ", ".join(f"`{n}` {t}" for n, t in edges.dtypes) + ", p double")
 

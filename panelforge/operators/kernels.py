@@ -13,6 +13,13 @@ def ridge(x: np.ndarray, y: np.ndarray, lam: float | np.ndarray) -> np.ndarray:
     return np.stack([np.linalg.solve(gram + np.diag(lam[:, j]), cross[:, j]) for j in range(y.shape[1])], axis=1)
 
 
+def ridge_grid(x: np.ndarray, y: np.ndarray, lams: tuple[float, ...]) -> np.ndarray:
+    """ridge() for every penalty (one p x q matrix each), from one decomposition."""
+    value, vector = np.linalg.eigh(x.T @ x)
+    turned = vector.T @ (x.T @ y)
+    return np.stack([vector @ (turned / (np.maximum(value, 0) + lam)[:, None]) for lam in lams])
+
+
 def ols(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(x, y, rcond=None)[0]
 
@@ -77,11 +84,15 @@ def hard_threshold(w: np.ndarray) -> tuple[np.ndarray, int]:
 
 def first_component(x: np.ndarray) -> np.ndarray:
     """Loadings of the leading principal component; the largest one is positive."""
-    v = np.linalg.eigh(np.cov(x, rowvar=False).reshape(x.shape[1], x.shape[1]))[1][:, -1]
+    return leading(np.cov(x, rowvar=False).reshape(x.shape[1], x.shape[1]))
+
+
+def leading(covariance: np.ndarray) -> np.ndarray:
+    v = np.linalg.eigh(covariance)[1][:, -1]
     return v * np.sign(v[np.argmax(np.abs(v))])
 
 
-def kmeans(x: np.ndarray, k: int, starts: int = 20, seed: int = 3) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, starts: int = 50, seed: int = 3) -> np.ndarray:
     """Labels of the best of several k-means++ starts, numbered by first appearance."""
     rng = np.random.default_rng(seed)
     best = (np.inf, np.zeros(len(x), int))

@@ -85,6 +85,24 @@ def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4, signa
     return train.groupBy(*by).applyInPandas(fit, f"{keys}, src string, tgt string, w double")
 
 
+def fit_grid(train: DataFrame, lams: tuple[float, ...], *by: str, least: int = 4) -> DataFrame:
+    """(by..., lam, src, tgt, w): block ridge for every penalty, from one decomposition of each block."""
+    kinds = dict(train.dtypes)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _standard(_wide(pdf, "x")), _standard(_wide(pdf, "y"))
+        x, y = x.align(y, join="inner", axis=0)
+        names = [*by, "lam", "src", "tgt", "w"]
+        if min(x.shape[1], y.shape[1]) < least:
+            return pd.DataFrame({n: np.zeros(0, object if n in ("src", "tgt") or kinds.get(n) == "string" else float) for n in names})
+        w = kernels.ridge_grid(x.to_numpy(), y.to_numpy(), lams)
+        src, tgt = np.repeat(x.columns, y.shape[1]), np.tile(y.columns, x.shape[1])
+        out = pd.DataFrame({"lam": np.repeat(lams, len(src)), "src": np.tile(src, len(lams)), "tgt": np.tile(tgt, len(lams)), "w": w.ravel()})
+        return _named(out, by, key, names)
+
+    return train.groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", lam double, src string, tgt string, w double")
+
+
 def panel_leave_one_out(train: DataFrame, cols: list[str], y: str, lams: tuple[float, ...]) -> tuple[float, np.ndarray, float]:
     """The ridge penalty with the least leave-one-out error, its coefficients on cols as they are, and its intercept.
 
@@ -155,10 +173,10 @@ def diagonal(pairs: DataFrame, lam: float, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x")) + F.lit(float(lam))).alias("w"), F.count("*").alias("n"))
 
 
-def predict(x: DataFrame, weights: DataFrame, *by: str) -> DataFrame:
-    """(by..., t, tgt, score): signals, already standardised, through the coefficients."""
+def predict(x: DataFrame, weights: DataFrame, *by: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., also..., t, ticker, score): signals, already standardised, through the coefficients; `also` are keys of these alone."""
     j = x.withColumnRenamed("ticker", "src").join(weights, [*by, "src"])
-    return j.groupBy(*by, "t", F.col("tgt").alias("ticker")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
+    return j.groupBy(*by, *also, "t", F.col("tgt").alias("ticker")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
 
 
 def information(scores: DataFrame, *by: str) -> DataFrame:
@@ -183,16 +201,29 @@ def off_diagonal(weights: DataFrame) -> DataFrame:
     return weights.where("src <> tgt")
 
 
-def components_of(long: DataFrame, group: str, row: tuple[str, ...], col: str, value: str) -> DataFrame:
-    """(group, col, loading): the first principal component of each group's rows."""
+def components_of(long: DataFrame, group: str, row: str, col: str, value: str) -> DataFrame:
+    """(group, col, loading): the first principal component of each group's rows; missing cells count as 0.
+
+    Products of a row's cells are summed by partial aggregation; what reaches a group's task is
+    one small matrix of sums.
+    """
+    cells = long.groupBy(group, row).agg(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).alias("v"))).alias("x"))
+    pairs = cells.select(group, F.explode("x").alias("a"), "x").select(group, "a", F.explode("x").alias("b"))
+    sums = pairs.groupBy(group, F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("ab"), F.sum("a.v").alias("s"))
+    sums = sums.join(cells.groupBy(group).agg(F.count("*").alias("n")), group)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index=list(row), columns=col, values=value).fillna(0.0)
-        v = kernels.first_component(m.to_numpy()) if m.shape[1] > 1 else np.ones(1)
-        return pd.DataFrame({group: key[0], col: m.columns, "loading": v})
+        names, n = sorted(pdf["a"].unique()), float(pdf["n"].iloc[0])
+        at = {c: i for i, c in enumerate(names)}
+        gram, mean = np.zeros((len(names), len(names))), np.zeros(len(names))
+        gram[pdf["a"].map(at), pdf["b"].map(at)] = pdf["ab"]
+        own = pdf[pdf["a"] == pdf["b"]]
+        mean[own["a"].map(at)] = own["s"] / n
+        v = kernels.leading((gram - n * np.outer(mean, mean)) / max(1.0, n - 1)) if len(names) > 1 else np.ones(1)
+        return pd.DataFrame({group: [key[0]] * len(names), col: names, "loading": v})
 
     kinds = dict(long.dtypes)
-    return long.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, {col} {kinds[col]}, loading double")
+    return sums.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, {col} {kinds[col]}, loading double")
 
 
 def biclusters(edges: DataFrame, value: str, how: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], *by: str) -> DataFrame:

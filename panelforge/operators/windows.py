@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,17 +81,20 @@ def running(agg: Column, *keys: str, order: str = "date") -> Column:
 
 def ema(grid: DataFrame, x: str, alpha: float) -> DataFrame:
     """Exponential smoothing along a dense (date, ticker) grid; a missing value ends a stretch, and the
-    next value starts anew.  Rows without a value stay out."""
+    next value starts anew.  Rows without a value stay out.
+
+    A stretch, part of one ticker's daily series, is smoothed in one pass.
+    """
     w = by_ticker()
     island = F.sum(F.col(x).isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = grid.withColumn("island", island).where(F.col(x).isNotNull())
-    so_far = F.collect_list(x).over(Window.partitionBy("ticker", "island").orderBy("date").rowsBetween(-EMA_REACH, 0))
-    fold = F.aggregate(so_far, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(alpha * v + (1 - alpha) * a))
-    return rows.withColumn("ema", fold).drop("island")
 
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        return pdf.assign(ema=pdf[x].astype(float).ewm(alpha=alpha, adjust=False).mean())
 
-#: Rows back that an average looks; older ones weigh less than rounding for alpha of 0.1 and more.
-EMA_REACH = 400
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, ("ema", "double")])
+    return rows.groupBy("ticker", "island").applyInPandas(smooth, schema).drop("island")
 
 
 def centred_mean(x: str, order: str, n: int, *keys: str) -> Column:

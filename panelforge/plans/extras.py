@@ -15,7 +15,7 @@ from ..operators import portfolio as P
 from ..operators import windows as W
 from ..sources import panels
 from .catalog import query, rd, sql
-from .research import _EDGE, _TURN, aligned, scored
+from .research import _EDGE, _TURN, aligned, ranked_penalties, scored
 
 
 @query(sql("sc", _TURN + "SELECT round(avg(oneway), 6) + 0 AS mean, round(median(oneway), 6) + 0 AS median FROM tv"))
@@ -106,15 +106,7 @@ def _holdout(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
     """The penalty whose fit on the earlier dates of each window ranks its last dates best."""
     train, ranges = aligned(spark, sf_dir)
     train = train.join(F.broadcast(ranges.select("window", "tr1")), "window")
-    early, late = train.where(F.col("t") < F.col("tr1") - last), train.where(F.col("t") >= F.col("tr1") - last)
-    stats = M.standardised(early, "x", "window", "ticker").drop("n")
-    z = late.join(stats, ["window", "ticker"]).select("window", "t", "ticker", ((F.col("x") - F.col("mean")) / F.col("sd")).alias("x"))
-    out = None
-    for lam in (1.0, 100.0):
-        p = M.predict(z, M.fit_blocks(early, partial(K.ridge, lam=lam), "window", "sector"), "window").join(late.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
-        ic = M.information(p, "window").withColumn("lam", F.lit(lam))
-        out = ic if out is None else out.unionByName(ic)
-    return M.choose(out, "ic", "lam", "window")
+    return ranked_penalties(train.where(F.col("t") < F.col("tr1") - last), train.where(F.col("t") >= F.col("tr1") - last))
 
 
 @query()

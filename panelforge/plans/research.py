@@ -162,13 +162,10 @@ def edge_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.significant(E.edge_stats(panels.weekly(spark, sf_dir)), 1.5, 30).select("tgt", "src", "n")
 
 
-@query("""WITH p AS (SELECT 'k' || CAST(i // 20 AS VARCHAR) AS tgt, 's' || CAST(i % 20 AS VARCHAR) AS src, ((i * 7919) % 1000) / 1000.0::DOUBLE * (CASE WHEN i % 4 = 0 THEN 0.01::DOUBLE ELSE 1 END) AS p FROM (SELECT unnest(range(400)) AS i)),
-r AS (SELECT *, row_number() OVER (ORDER BY p, tgt, src) AS r, count(p) OVER () AS m FROM p)
-SELECT tgt, src, p <= (SELECT max(p) FROM r WHERE p <= 0.1::DOUBLE * r / m) AS keep FROM r""")
+@query()
 def bh_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    p = spark.range(400).select(F.concat(F.lit("k"), F.floor(i / 20).cast("string")).alias("tgt"), F.concat(F.lit("s"), (i % 20).cast("string")).alias("src"), ((i * 7919) % 1000 / 1000.0 * F.when(i % 4 == 0, 0.01).otherwise(1.0)).alias("p"))
-    return E.false_discovery(p, 0.1).select("tgt", "src", "keep")
+    """Edges of the whole panel kept at a false discovery rate of 0.1, by normal p values."""
+    return E.false_discovery(E.p_values(E.edge_stats(panels.weekly(spark, sf_dir)), False), 0.1).select("tgt", "src", "n", "tstat", "p", "keep")
 
 
 @query(sql("pt", _EDGE + "SELECT tgt, src, round(coalesce(a / nullif(sqrt(sum(abs(a)) OVER (PARTITION BY tgt) * sum(abs(a)) OVER (PARTITION BY src)), 0), 0), 6) + 0 AS scaled FROM es"))
@@ -360,18 +357,23 @@ def gd_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.denoised(dense_ridge(spark, sf_dir), lambda w: K.hard_threshold(w)[0], "window")
 
 
+#: Penalties that are tried.
+GRID = (0.1, 1.0, 10.0, 100.0, 1000.0)
+
+
+def ranked_penalties(train: DataFrame, judge: DataFrame) -> DataFrame:
+    """(window, lam, ic): of each window, the penalty whose fit on `train` ranks the dates of `judge` best; the smaller of equals."""
+    z = judge.join(M.standardised(train, "x", "window", "ticker").drop("n"), ["window", "ticker"]).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd"))
+    w = M.fit_grid(train, GRID, "window", "sector").drop("sector")
+    p = M.predict(z.select("window", "t", "ticker", "x"), w, "window", also=("lam",)).join(judge.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
+    return M.choose(M.information(p, "window", "lam").withColumn("ic", F.round("ic", 9)), "ic", "lam", "window")
+
+
 @query()
 def lambda_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The penalty with the highest in-sample rank correlation in each window."""
     train, _ = aligned(spark, sf_dir)
-    out = None
-    for lam in (0.1, 1.0, 10.0, 100.0):
-        w = M.fit_blocks(train, partial(K.ridge, lam=lam), "window", "sector")
-        z = train.join(M.standardised(train, "x", "window", "ticker").drop("n"), ["window", "ticker"]).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd"))
-        p = M.predict(z.select("window", "t", "ticker", "x"), w, "window").join(train.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
-        ic = M.information(p, "window").withColumn("lam", F.lit(lam))
-        out = ic if out is None else out.unionByName(ic)
-    return M.choose(out, "ic", "lam", "window")
+    return ranked_penalties(train, train)
 
 
 def walk_forward(spark: SparkSession, sf_dir: str, lam: float = 10.0) -> DataFrame:
@@ -400,14 +402,22 @@ def walkforward_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of a penalty grid by portfolio quantile, best first."""
-    out = None
-    for lam in (1.0, 100.0):
-        p = walk_forward(spark, sf_dir, lam)
-        for q in (0.1, 0.2):
-            r = X.performance(P.gross_spread(p, q), "spread").withColumns({"lam": F.lit(lam), "q": F.lit(q)})
-            out = r if out is None else out.unionByName(r)
-    return out.orderBy(F.desc_nulls_last("sharpe"), "lam", "q")
+    """Summaries of 64 runs, best first: four penalties by four portfolio quantiles by four rebalancing intervals."""
+    train, ranges = aligned(spark, sf_dir)
+    s = scored(spark, sf_dir)
+    stats = M.standardised(train, "x", "window", "ticker").drop("n")
+    test = M.in_window(s, ranges, "te0", "te1").join(stats, ["window", "ticker"]).select("window", "t", "ticker", ((F.col("score") - F.col("mean")) / F.col("sd")).alias("x"))
+    w = M.fit_grid(train, (0.1, 1.0, 10.0, 100.0), "window", "sector").drop("sector")
+    p = M.predict(test, w, "window", also=("lam",)).groupBy("lam", "t", "ticker").agg(F.max_by("score", "window").alias("score"))
+    p = p.join(s.select("t", "ticker", "ret"), ["t", "ticker"])
+    held = None
+    for q in (0.05, 0.1, 0.2, 0.3):
+        one = P.sides(p, q, "lam", "t").where("side <> 0").select("lam", F.lit(q).alias("q"), F.col("t").alias("t0"), "ticker", (F.col("side") / F.col("k")).alias("w"))
+        held = one if held is None else held.unionByName(one)
+    # Weights of the last rebalance earn the returns of the dates up to the next one.
+    returns = p.select("lam", "t", "ticker", "ret").withColumn("every", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
+    pnl = returns.withColumn("t0", F.col("t") - F.col("t") % F.col("every")).join(held, ["lam", "t0", "ticker"]).groupBy("lam", "q", "every", "t").agg(F.sum(F.col("w") * F.col("ret")).alias("pnl"))
+    return X.performance(pnl, "pnl", "lam", "q", "every").orderBy(F.desc_nulls_last("sharpe"), "lam", "q", "every")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,11 +487,11 @@ def panel_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.regression import RandomForestRegressor
 
-    return _ml(spark, sf_dir, RandomForestRegressor(numTrees=20, maxDepth=4, minInstancesPerNode=20, featureSubsetStrategy="0.5", seed=3))
+    return _ml(spark, sf_dir, RandomForestRegressor(numTrees=200, maxDepth=6, minInstancesPerNode=50, featureSubsetStrategy="0.5", seed=3))
 
 
 @query()
 def panel_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.regression import GBTRegressor
 
-    return _ml(spark, sf_dir, GBTRegressor(maxIter=10, maxDepth=4, stepSize=0.05, seed=3))
+    return _ml(spark, sf_dir, GBTRegressor(maxIter=200, maxDepth=4, minInstancesPerNode=50, stepSize=0.05, seed=3))

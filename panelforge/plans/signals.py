@@ -11,12 +11,14 @@ from ..operators import windows as W
 from ..sources import files, panels
 from .catalog import query, rd, sql, whole
 
-NAMES = [("GOOD_2012-01-03_2012-12-31_10.7z",), ("x__PRE_2013-01-02_2013-06-28_5.7z",), ("BRK.B_2012-01-03_2012-12-31_10.7z",), ("unparsable.7z",), ("ZED_2014-02-03_2014-03-31.zip",)]
+NAMES = [("GOOD_2012-01-03_2012-12-31_10.7z",), ("x__PRE_2013-01-02_2013-06-28_5.7z",), ("BRK.B_2012-01-03_2012-12-31_10.7z",), ("unparsable.7z",), ("BF-B_2013-01-02_2013-12-31_10.7z",), ("C3_2012-01-03_2012-06-29_5.7z",), ("ZED_2014-02-03_2014-03-31.zip",)]
+#: Minutes of a trading day; what comes later counts in the last one.
+DAY = 390
 _NAMES_SQL = ", ".join(f"('{n[0]}')" for n in NAMES)
 
 
 @query(rf"""
-WITH n AS (SELECT archive, regexp_extract(archive, '^(?:.*__)?([A-Z][A-Z.]*)_(\d{{4}}-\d{{2}}-\d{{2}})_(\d{{4}}-\d{{2}}-\d{{2}})(?:_.*)?\.(?:7z|zip)$', ['a', 'b', 'c']) AS r FROM (VALUES {_NAMES_SQL}) v(archive))
+WITH n AS (SELECT archive, regexp_extract(archive, '^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{{4}}-\d{{2}}-\d{{2}})_(\d{{4}}-\d{{2}}-\d{{2}})(?:_.*)?\.(?:7z|zip)$', ['a', 'b', 'c']) AS r FROM (VALUES {_NAMES_SQL}) v(archive))
 SELECT nullif(r.a, '') AS ticker, CAST(nullif(r.b, '') AS DATE) AS start, CAST(nullif(r.c, '') AS DATE) AS "end", archive, nullif(r.a, '') || '_ofi_daily.csv' AS daily
 FROM n WHERE r.a NOT LIKE '%.%'""")
 def index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +74,10 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.table(spark, sf_dir, "events").select(text.alias("s")).groupBy(F.expr("try_cast(s as double) is null").alias("bad")).agg(F.count("*").alias("n"))
 
 
-@query(sql("pt", "SELECT w AS \"window\", ticker, count(*) AS n, round(var_pop(sig), 6) + 0 AS v FROM pt JOIN (SELECT CAST(unnest(range(3)) AS INTEGER) AS w) ON t BETWEEN w * 60 AND w * 60 + 103 GROUP BY 1, 2 HAVING count(*) >= 30 AND var_pop(sig) > 0"))
+@query(sql("pt", "SELECT w AS \"window\", ticker, count(*) AS n, round(var_pop(sig), 6) + 0 AS v FROM pt JOIN (SELECT CAST(k AS INTEGER) AS w FROM (SELECT unnest(range(100000)) AS k), (SELECT max(t) AS m FROM pt) WHERE 104 + 60 * k <= m) ON t BETWEEN w * 60 AND w * 60 + 103 GROUP BY 1, 2 HAVING count(*) >= 30 AND var_pop(sig) > 0"))
 def block_coverage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = spark.createDataFrame([(i, i * 60, i * 60 + 104) for i in range(3)], "window int, tr0 int, tr1 int")
-    p = M.in_window(W.ordinal(panels.weekly(spark, sf_dir)), w, "tr0", "tr1")
+    p = W.ordinal(panels.weekly(spark, sf_dir))
+    p = M.in_window(p, M.windows(p, 104, 60), "tr0", "tr1")
     return p.groupBy("window", "ticker").agg(F.count("*").alias("n"), rd(F.var_pop("sig"), "v")).where("n >= 30 and v > 0")
 
 
@@ -95,9 +97,9 @@ def top_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.weekly(spark, sf_dir).where("sig > 0").groupBy("ticker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ticker").limit(10)
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = panels.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey")
+    jobs = panels.table(spark, sf_dir, "orders").select("o_orderkey")
     return files.unless_done(jobs, panels.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
@@ -135,15 +137,16 @@ def calendar_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(p, ["date", "ticker"], "left").groupBy("ticker").agg(F.count("*").alias("days"), F.count("sig").alias("have"))
 
 
-@query(sql("mi", "SELECT date, ticker, " + ", ".join(f"round(sum(CASE WHEN minute = {k} THEN iofi END), 6) + 0 AS minute_{k}" for k in range(1, 6)) + " FROM mi GROUP BY 1, 2"))
+@query(sql("mi", "SELECT date, ticker, " + ", ".join(f"round(sum(CASE WHEN minute = {k} THEN iofi END), 6) + 0 AS minute_{k}" for k in range(1, DAY + 1)) + " FROM (SELECT date, ticker, least(minute, 390) AS minute, iofi FROM mi) GROUP BY 1, 2"))
 def pivot_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panels.minutes(spark, sf_dir).groupBy("date", "ticker").pivot("minute", list(range(1, 6))).agg(F.sum("iofi"))
-    return p.select("date", "ticker", *(rd(str(k), f"minute_{k}") for k in range(1, 6)))
+    m = panels.minutes(spark, sf_dir).withColumn("minute", F.least("minute", F.lit(DAY)))
+    p = m.groupBy("date", "ticker").pivot("minute", list(range(1, DAY + 1))).agg(F.sum("iofi"))
+    return p.select("date", "ticker", *(rd(str(k), f"minute_{k}") for k in range(1, DAY + 1)))
 
 
-@query(sql("pw", "SELECT date, sum(CASE WHEN sector = 0 THEN sig END) AS s0, sum(CASE WHEN sector = 1 THEN sig END) AS s1, sum(CASE WHEN sector = 2 THEN sig END) AS s2 FROM pw GROUP BY date"))
+@query(sql("pw", "SELECT date, " + ", ".join(f"sum(CASE WHEN sector = {k} THEN sig END) AS s{k}" for k in range(5)) + " FROM pw GROUP BY date"))
 def pivot_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.weekly(spark, sf_dir).groupBy("date").pivot("sector", [0, 1, 2]).agg(F.sum("sig")).toDF("date", "s0", "s1", "s2")
+    return panels.weekly(spark, sf_dir).groupBy("date").pivot("sector", list(range(5))).agg(F.sum("sig")).toDF("date", *(f"s{k}" for k in range(5)))
 
 
 @query(sql("pw", "SELECT date, ticker, signal, v AS value FROM (SELECT date, ticker, 'sig' AS signal, sig AS v FROM pw UNION ALL SELECT date, ticker, 'ret', round(ret, 6) + 0 FROM pw) WHERE v <> 0"))
@@ -153,19 +156,20 @@ def melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unpivot(["date", "ticker"], ["sig", "ret"], "signal", "value").where("value is not null and value <> 0")
 
 
-@query(sql("pt", """WITH b AS (SELECT date, ticker, sig + w AS v, w FROM pt JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS w) ON t >= w * 40 AND t < w * 40 + 60), r AS (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY w DESC) AS k FROM b)
+@query(sql("pt", """WITH b AS (SELECT date, ticker, sig + w AS v, w FROM pt JOIN (SELECT CAST(k AS INTEGER) AS w FROM (SELECT unnest(range(100000)) AS k), (SELECT max(t) AS m FROM pt) WHERE 40 * k <= m) ON t >= w * 40 AND t < w * 40 + 60), r AS (SELECT *, row_number() OVER (PARTITION BY date, ticker ORDER BY w DESC) AS k FROM b)
 SELECT date, ticker, v, w AS block FROM r WHERE k = 1"""))
 def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping blocks one under the other; the later block's row stays."""
-    ranges = spark.createDataFrame([(i, i * 40, i * 40 + 60) for i in range(8)], "window int, te0 int, te1 int")
-    b = M.in_window(W.ordinal(panels.weekly(spark, sf_dir)), ranges, "te0", "te1").withColumn("v", F.col("sig") + F.col("window"))
+    p = W.ordinal(panels.weekly(spark, sf_dir))
+    starts = p.agg(F.max("t").alias("m")).select(F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 40).cast("int"))).alias("window"))
+    ranges = starts.select("window", (F.col("window") * 40).alias("te0"), (F.col("window") * 40 + 60).alias("te1"))
+    b = M.in_window(p, ranges, "te0", "te1").withColumn("v", F.col("sig") + F.col("window"))
     return b.groupBy("date", "ticker").agg(F.max_by("v", "window").alias("v"), F.max("window").alias("block"))
 
 
-@query(sql("pt", "SELECT date, sector, ticker, CAST(rank() OVER (PARTITION BY date, sector ORDER BY ticker) - 1 AS INTEGER) AS pos, array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN list(sig) OVER (PARTITION BY date, sector ORDER BY ticker ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)], ',') AS features FROM pt WHERE t < 20"))
+@query(sql("pt", "SELECT date, sector, ticker, CAST(rank() OVER (PARTITION BY date, sector ORDER BY ticker) - 1 AS INTEGER) AS pos, array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN list(sig) OVER (PARTITION BY date, sector ORDER BY ticker ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)], ',') AS features FROM pt"))
 def sector_flattened_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = W.ordinal(panels.weekly(spark, sf_dir)).where("t < 20")
-    flat = p.groupBy("date", "sector").agg(F.sort_array(F.collect_list(F.struct("ticker", F.col("sig").cast("long").cast("string").alias("s")))).alias("f"))
+    flat = panels.weekly(spark, sf_dir).groupBy("date", "sector").agg(F.sort_array(F.collect_list(F.struct("ticker", F.col("sig").cast("long").cast("string").alias("s")))).alias("f"))
     rows = flat.select("date", "sector", F.posexplode("f").alias("pos", "x"), F.array_join("f.s", ",").alias("features"))
     return rows.select("date", "sector", F.col("x.ticker").alias("ticker"), "pos", "features")
 
@@ -219,10 +223,11 @@ def kernel(spark: SparkSession, half_lives: tuple[int, ...], minutes: int) -> Da
     return rows.withColumn("raw", raw).withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy("half_life")))
 
 
-@query(sql("mi", "WITH k AS (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS minute), w AS (SELECT minute, exp(-(21 - minute) * (ln(2) / 5)) / sum(exp(-(21 - minute) * (ln(2) / 5))) OVER () AS w FROM k) SELECT date, ticker, round(sum(iofi * w), 6) + 0 AS signal FROM mi JOIN w USING (minute) GROUP BY 1, 2"))
+@query(sql("mi", "WITH k AS (SELECT CAST(unnest(range(1, 391)) AS INTEGER) AS minute), w AS (SELECT minute, exp(-(391 - minute) * (ln(2) / 195)) / sum(exp(-(391 - minute) * (ln(2) / 195))) OVER () AS w FROM k) SELECT date, ticker, round(sum(iofi * w), 6) + 0 AS signal FROM (SELECT date, ticker, least(minute, 390) AS minute, iofi FROM mi) JOIN w USING (minute) GROUP BY 1, 2"))
 def exp_decay_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = kernel(spark, (5,), 20).select("minute", "w")
-    return panels.minutes(spark, sf_dir).join(F.broadcast(w), "minute").groupBy("date", "ticker").agg(rd(F.sum(F.col("iofi") * F.col("w")), "signal"))
+    w = kernel(spark, (195,), DAY).select("minute", "w")
+    m = panels.minutes(spark, sf_dir).withColumn("minute", F.least("minute", F.lit(DAY)))
+    return m.join(F.broadcast(w), "minute").groupBy("date", "ticker").agg(rd(F.sum(F.col("iofi") * F.col("w")), "signal"))
 
 
 @query(sql("mi", "SELECT date, ticker, round(sum(iofi), 6) + 0 AS day_sum, count(*) AS n FROM mi GROUP BY 1, 2"))
@@ -237,9 +242,9 @@ def bucket_sums_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.minutes(spark, sf_dir).groupBy("date", "ticker").agg(rd(part(m.between(1, 2)), "b1"), rd(part(m.between(3, 6)), "b2"), rd(part(m >= 7), "b3"))
 
 
-@query(sql("mi", "WITH b AS (SELECT date, ticker, (minute - 1) * 5 // 10 AS b, iofi FROM mi WHERE minute <= 10) SELECT ticker, CAST(b AS INTEGER) AS bucket, round(sum(iofi), 6) + 0 AS total FROM b GROUP BY 1, 2"))
+@query(sql("mi", "WITH b AS (SELECT date, ticker, least((minute - 1) * 5 // 390, 4) AS b, iofi FROM mi) SELECT ticker, CAST(b AS INTEGER) AS bucket, round(sum(iofi), 6) + 0 AS total FROM b GROUP BY 1, 2"))
 def bucket_sums_equal5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = panels.minutes(spark, sf_dir).where("minute <= 10").withColumn("bucket", F.floor((F.col("minute") - 1) * 5 / 10).cast("int"))
+    b = panels.minutes(spark, sf_dir).withColumn("bucket", F.least(F.floor((F.col("minute") - 1) * 5 / DAY), F.lit(4)).cast("int"))
     return b.groupBy("ticker", "bucket").agg(rd(F.sum("iofi"), "total"))
 
 
@@ -302,10 +307,11 @@ def ema_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.ema(grid, "sig", 0.5).select("date", "ticker", rd("ema"))
 
 
-@query("""WITH s AS (SELECT CAST(unnest(range(1, 60)) AS INTEGER) AS minute), v AS (SELECT minute, CAST((minute * 37) % 23 AS DOUBLE) AS x FROM s), m AS (SELECT minute, sum(x) OVER (ORDER BY minute ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 AS y FROM v)
-SELECT minute, round(y, 6) + 0 AS smooth, arg_max(minute, round(y, 6) * 1000 - minute / 1e6) OVER () AS peak FROM m""")
+@query(sql("mi", """WITH v AS (SELECT minute, round(avg(iofi), 9) AS x FROM mi GROUP BY minute), m AS (SELECT minute, sum(x) OVER (ORDER BY minute ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11 AS y FROM v)
+SELECT minute, round(y, 6) + 0 AS smooth, arg_max(minute, round(y, 6) * 1000 - minute / 1e6) OVER () AS peak FROM m"""))
 def centred_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.range(1, 60).select(F.col("id").cast("int").alias("minute")).withColumn("x", ((F.col("minute") * 37) % 23).cast("double"))
+    """The mean profile of the day, smoothed over eleven minutes, and its peak."""
+    v = panels.minutes(spark, sf_dir).groupBy("minute").agg(F.round(F.avg("iofi"), 9).alias("x"))
     y = v.select("minute", W.centred_mean("x", "minute", 11, F.lit(0)).alias("y"))
     peak = y.agg(F.max_by("minute", F.round("y", 6) * 1000 - F.col("minute") / 1e6).alias("peak"))
     return y.select("minute", rd("y", "smooth")).join(F.broadcast(peak))
@@ -323,7 +329,7 @@ def name_and_scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iofi_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First principal component of the levels' imbalances of each ticker, and the integrated signal."""
     s = panels.snapshots(spark, sf_dir).withColumn("ofi", F.coalesce(S.finite(S.flow_imbalance()), F.lit(0.0)))
-    load = M.components_of(s.select("ticker", "seq", "level", "ofi"), "ticker", ("seq",), "level", "ofi")
+    load = M.components_of(s.select("ticker", "seq", "level", "ofi"), "ticker", "seq", "level", "ofi")
     return s.join(F.broadcast(load), ["ticker", "level"]).groupBy("ticker", "seq").agg(F.sum(F.col("ofi") * F.col("loading")).alias("iofi"))
 
 

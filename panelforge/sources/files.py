@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import re
+import zipfile
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: TICKER_start_end.suffix, with an optional prefix that ends in two underscores.
-ARCHIVE = r"^(?:.*__)?([A-Z][A-Z.]*)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})(?:_.*)?\.(?:7z|zip)$"
+ARCHIVE = r"^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})(?:_.*)?\.(?:7z|zip)$"
 
 
 def archive_index(names: DataFrame, name: str = "archive") -> DataFrame:
@@ -41,6 +49,42 @@ def read_snapshots(spark: SparkSession, path: str, levels: int = 10) -> DataFram
     return raw.select("file", "time", F.explode(book).alias("b")).select("file", "time", "b.*")
 
 
+def read_daily_zips(spark: SparkSession, path: str, ticker: str, values: dict[str, str], start: str, end: str, tickers: list[str]) -> DataFrame:
+    """(date, ticker, value...) of the members YYYYMMDD.csv.gz of YYYY.zip archives, from start to end.
+
+    values: of each value column its name in the files; what is no number becomes null.  The
+    archives are read by the tasks, one each; years, dates and tickers outside are passed over.
+    """
+    fields = ", ".join(f"`{v}` double" for v in values)
+    wanted = set(tickers)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column("content"):
+                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
+                    for name in sorted(z.namelist()):
+                        day = re.fullmatch(r"(?:.*/)?(\d{4})(\d{2})(\d{2})\.csv\.gz", name)
+                        if not day or not start <= (date := "-".join(day.groups())) <= end:
+                            continue
+                        t = csv.read_csv(pa.BufferReader(gzip.decompress(z.read(name))), convert_options=csv.ConvertOptions(include_columns=[ticker, *values.values()], column_types={c: pa.string() for c in (ticker, *values.values())}, strings_can_be_null=True))
+                        t = t.filter(pc.is_in(t[ticker], pa.array(sorted(wanted), pa.string())))
+                        if t.num_rows:
+                            numbers = [pa.array([number(v) for v in t[c].to_pylist()], pa.float64()) for c in values.values()]
+                            yield pa.RecordBatch.from_arrays([pa.array([date] * t.num_rows), t[ticker].combine_chunks(), *numbers], names=["date", "ticker", *values])
+
+    years = F.regexp_extract("path", r"(\d{4})\.zip$", 1)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(years.between(start[:4], end[:4]))
+    return rows.select("content").mapInArrow(members, f"date string, ticker string, {fields}").withColumn("date", F.to_date("date"))
+
+
+def number(text: str | None) -> float | None:
+    try:
+        value = float(text)
+    except (TypeError, ValueError):
+        return None
+    return None if value != value else value
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(date, ticker, value) from a wide CSV or Parquet, or (row, col, value) from .npy / .npz of two dimensions."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -49,14 +93,11 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     elif kind == "csv":
         wide = spark.read.option("header", True).csv(path)
     elif kind in ("npy", "npz"):
-        raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-        m = np.load(io.BytesIO(raw), allow_pickle=False)
-        m = m[m.files[0]] if kind == "npz" else m
-        if m.ndim != 2:
-            raise ValueError(f"a matrix of two dimensions is needed, not {m.ndim}")
-        i, j = np.indices(m.shape)
-        rows = [(int(a), int(b), None if np.isnan(v) else float(v)) for a, b, v in zip(i.ravel(), j.ravel(), m.ravel().astype(float), strict=True)]
-        return spark.createDataFrame(rows, "row int, col int, value double")
+        raw = spark.read.format("binaryFile").load(path).select("content")
+        wrong = [r[0] for r in raw.mapInArrow(partial(_dimensions, kind), "n int").collect() if r[0] != 2]
+        if wrong:
+            raise ValueError(f"a matrix of two dimensions is needed, not {wrong[0]}")
+        return raw.mapInArrow(partial(_cells, kind), "row int, col int, value double")
     else:
         raise ValueError(f"no reader for .{kind}")
     date, *cols = wide.columns
@@ -65,6 +106,28 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.expr("try_cast(date as date)").alias("date"), "ticker", F.when(~F.isnan(value), value).alias("value"))
 
 
+def _loaded(kind: str, raw: bytes) -> np.ndarray:
+    m = np.load(io.BytesIO(raw), allow_pickle=False)
+    return m[m.files[0]] if kind == "npz" else m
+
+
+def _dimensions(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_loaded(kind, raw.as_py()).ndim for raw in b.column("content")], pa.int32())], names=["n"])
+
+
+def _cells(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of a binary matrix, a stretch of rows at a time; NaN is null."""
+    for b in batches:
+        for raw in b.column("content"):
+            m = _loaded(kind, raw.as_py())
+            step = max(1, 100_000 // max(1, m.shape[1]))
+            for i in range(0, len(m), step):
+                part = m[i : i + step].astype(float)
+                row, col = np.indices(part.shape)
+                yield pa.RecordBatch.from_arrays([pa.array((row + i).ravel().astype(np.int32)), pa.array(col.ravel().astype(np.int32)), pa.array(part.ravel(), from_pandas=True)], names=["row", "col", "value"])
+
+
 def unless_done(jobs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Jobs whose output doesn't exist yet."""
     return jobs.join(done.select(*keys).distinct(), list(keys), "left_anti")
