@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .edges import edge_matrix
-from .windows import average_rank
+from .windows import average_rank, correlation
 
 Solver = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -182,7 +182,7 @@ def predict(x: DataFrame, weights: DataFrame, *by: str, also: tuple[str, ...] =
 def information(scores: DataFrame, *by: str) -> DataFrame:
     """Mean over dates of the rank correlation of score and y."""
     r = scores.withColumns({"_a": average_rank("score", *by, "t"), "_b": average_rank("y", *by, "t")})
-    daily = r.groupBy(*by, "t").agg(F.corr("_a", "_b").alias("ic"))
+    daily = r.groupBy(*by, "t").agg(correlation("_a", "_b").alias("ic"))
     return daily.groupBy(*by).agg(F.avg("ic").alias("ic"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, ordinal, percentile_rank
+from .windows import average_rank, correlation, ordinal, percentile_rank
 
 
 def sides(scores: DataFrame, q: float, *by: str, score: str = "score") -> DataFrame:
@@ -96,7 +96,7 @@ def daily_ic(scores: DataFrame, least: int = 2) -> DataFrame:
     """Spearman correlation of score and return on each date."""
     both = scores.where("score is not null and ret is not null")
     r = both.withColumns({"a": average_rank("score", "date"), "b": average_rank("ret9", "date")}) if "ret9" in both.columns else both.withColumns({"a": average_rank("score", "date"), "b": average_rank("ret", "date")})
-    return r.groupBy("date").agg(F.count("*").alias("n"), F.corr("a", "b").alias("ic")).where(F.col("n") >= least)
+    return r.groupBy("date").agg(F.count("*").alias("n"), correlation("a", "b").alias("ic")).where(F.col("n") >= least)
 
 
 def factor_positions(signal: DataFrame, weights: DataFrame, loads: DataFrame) -> DataFrame:

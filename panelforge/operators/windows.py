@@ -74,6 +74,11 @@ def demeaned(x: str, *by: str) -> Column:
     return F.col(x) - F.avg(x).over(Window.partitionBy(*by))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Their correlation over a group, null where either doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def running(agg: Column, *keys: str, order: str = "date") -> Column:
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return agg.over(w)

@@ -265,7 +265,7 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.weekly(spark, sf_dir)
     j = p.select("date", F.col("ticker").alias("a"), F.col("sig").alias("x")).join(p.select("date", F.col("ticker").alias("b"), F.col("sig").alias("y")), "date").where("a <= b")
-    return j.groupBy("a", "b").agg(F.count("*").alias("n"), (F.round(F.covar_samp("x", "y"), 3) + F.lit(0.0)).alias("cov"), rd(F.corr("x", "y"), "corr"))
+    return j.groupBy("a", "b").agg(F.count("*").alias("n"), (F.round(F.covar_samp("x", "y"), 3) + F.lit(0.0)).alias("cov"), rd(W.correlation("x", "y"), "corr"))
 
 
 @query(sql("sc", _WEIGHTS + ", dg AS (SELECT d.date, d.t, n.ticker, coalesce(w, 0) AS w FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM gw)) d CROSS JOIN (SELECT DISTINCT ticker FROM gw) n LEFT JOIN gw ON gw.date = d.date AND gw.ticker = n.ticker), h AS (SELECT a.date, a.ticker, b.w FROM dg a JOIN dg b ON a.ticker = b.ticker AND b.t = a.t - a.t % 4) SELECT date, ticker, round(w, 6) + 0 AS w FROM h WHERE w <> 0"))
@@ -414,9 +414,10 @@ def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     for q in (0.05, 0.1, 0.2, 0.3):
         one = P.sides(p, q, "lam", "t").where("side <> 0").select("lam", F.lit(q).alias("q"), F.col("t").alias("t0"), "ticker", (F.col("side") / F.col("k")).alias("w"))
         held = one if held is None else held.unionByName(one)
-    # Weights of the last rebalance earn the returns of the dates up to the next one.
-    returns = p.select("lam", "t", "ticker", "ret").withColumn("every", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
-    pnl = returns.withColumn("t0", F.col("t") - F.col("t") % F.col("every")).join(held, ["lam", "t0", "ticker"]).groupBy("lam", "q", "every", "t").agg(F.sum(F.col("w") * F.col("ret")).alias("pnl"))
+    # Weights of the last rebalance earn the returns of the dates up to the next one; a missing return counts as 0.
+    dates = p.select("lam", "t").distinct().withColumn("every", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
+    book = dates.withColumn("t0", F.col("t") - F.col("t") % F.col("every")).join(held, ["lam", "t0"])
+    pnl = book.join(p.select("lam", "t", "ticker", "ret"), ["lam", "t", "ticker"], "left").groupBy("lam", "q", "every", "t").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("pnl"))
     return X.performance(pnl, "pnl", "lam", "q", "every").orderBy(F.desc_nulls_last("sharpe"), "lam", "q", "every")
 
 
