@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def session(master: str | None = None, partitions: int | None = None) -> SparkSession:
     """Adaptive execution with skew joins, UTC, Arrow exchange; a cluster's own settings win where it has any."""
     b = SparkSession.builder.appName("panelforge")
@@ -12,10 +20,9 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    return (
-        b.config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
+    spark = b.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for name, value in DEFAULTS.items():
+        if not given.contains(name):
+            spark.conf.set(name, value)
+    return spark
