@@ -20,8 +20,16 @@ a register) make clusters; buckets that still hold several clusters are compared
 blocks, where likely pairs just join clusters.  Likely links are then verified from the
 texts and make classes; in clusters that still hold several classes, members outside
 the largest class are compared with all, again in blocks, exactly, until joined.  A
-block gives fewer pairs than it has rows, so a group of any size gives rows in
-proportion to it, and no link is lost between texts that meet in a band.
+block gives fewer pairs than it has rows, and no link is lost between texts that meet in
+a band.
+
+Wide buckets.  Blocks of a bucket in which r nodes lie outside the largest cluster make
+rows in proportion to its nodes times r / HOME.  Where r is over WIDE, as when unlike
+documents meet by one common passage, dealing each node into TABLES narrower buckets
+costs less: one for each of TABLES sets of NARROW further registers of the sketch.  Two
+sketches of similarity 0.8 miss all of them with probability 4e-6; of similarity 0.3 they
+meet in any with probability 0.001.  Buckets that are still wide are dealt again, by
+other registers, LEVELS times at most; blocks then take whatever remains, of any size.
 
 A link is an exact similarity of at least 0.8, from the texts.  Sketches rule out
 pairs only below 0.7, four standard deviations away.
@@ -48,6 +56,9 @@ REGISTERS = 256
 ROWS, BANDS = 6, 42
 PLAUSIBLE = 0.7
 HOME, BYTES = 128, 4 << 20
+NARROW, TABLES, LEVELS = 10, 192, 3
+#: Guests of a bucket from which narrower buckets make fewer rows than blocks do.
+WIDE = HOME * TABLES // 2
 #: Rows up to which a table of (long, long) is sent to every executor: 32 MB.
 SMALL = 2_000_000
 
@@ -222,18 +233,42 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return base.checkpoint(both.mapInArrow(check, "a long, b long"))
 
 
-def blocks(rows: DataFrame, group: str, kind: str) -> DataFrame:
-    """Rows (node, `group`, `kind`, n_bytes) of groups with several kinds, dealt into blocks (group, i, j).
+def mixed(rows: DataFrame, group: str, kind: str) -> DataFrame:
+    """Groups with several kinds: the commonest kind, how many rows are of others, and the numbers of blocks."""
+    sizes = rows.groupBy(group, kind).agg(F.count("*").alias("c"), F.sum("n_bytes").alias("b"))
+    top = sizes.groupBy(group).agg(F.max(F.struct("c", F.col(kind).alias("k"), "b")).alias("m"), F.sum("c").alias("n"), F.sum("b").alias("b"), F.count("*").alias("kinds"))
+    many = lambda n, b: F.ceil(n / F.lit(HOME) + b / F.lit(BYTES)).cast("int")
+    guests = F.col("n") - F.col("m.c")
+    return base.checkpoint(top.where("kinds > 1").select(group, F.col("m.k").alias("major"), guests.alias("guests"), many(F.col("n"), F.col("b")).alias("ki"), many(guests, F.col("b") - F.col("m.b")).alias("kj")))
+
+
+def narrowed(rows: DataFrame, wide: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """Rows (node, n_bytes, bucket, cluster), those of wide buckets dealt into TABLES narrower ones each."""
+    names = ["node", "n_bytes", "bucket", "cluster"]
+    at = np.stack([np.random.default_rng([level, t]).choice(REGISTERS, NARROW, replace=False) for t in range(TABLES)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                sketch = _matrix(b.column("sketch")).astype(np.uint64)
+                old = np.asarray(b.column("bucket"), np.int64).view(np.uint64)
+                for t, places in enumerate(at):
+                    new = spans.mix(_chain(sketch[:, places]) ^ spans.mix(old + np.uint64(t + 1))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n_bytes"), pa.array(new), b.column("cluster")], names=names)
+
+    told = rows.join(wide.withColumn("wide", F.lit(True)), "bucket", "left")
+    dealt = told.where("wide").join(nodes.select("node", "sketch"), "node").select(*names, "sketch")
+    return told.where("wide is null").select(*names).union(dealt.mapInArrow(deal, "node long, n_bytes long, bucket long, cluster long"))
+
+
+def blocks(rows: DataFrame, top: DataFrame, group: str, kind: str) -> DataFrame:
+    """Rows (node, `group`, `kind`, n_bytes) of groups with several kinds (top: mixed()), dealt into blocks (group, i, j).
 
     A row of any kind is at home in one block i of its group; rows that aren't of the
     group's commonest kind are guests as well, in one block j each, and blocks i and j
     meet once.  So a group of n rows with r guests makes about n * r / HOME + r * n / HOME
     rows and no more than HOME rows, or BYTES of text, of either side come together.
     """
-    sizes = rows.groupBy(group, kind).agg(F.count("*").alias("c"), F.sum("n_bytes").alias("b"))
-    top = sizes.groupBy(group).agg(F.max(F.struct("c", F.col(kind).alias("k"), "b")).alias("m"), F.sum("c").alias("n"), F.sum("b").alias("b"), F.count("*").alias("kinds"))
-    many = lambda n, b: F.ceil(n / F.lit(HOME) + b / F.lit(BYTES)).cast("int")
-    top = top.where("kinds > 1").select(group, F.col("m.k").alias("major"), many(F.col("n"), F.col("b")).alias("ki"), many(F.col("n") - F.col("m.c"), F.col("b") - F.col("m.b")).alias("kj"))
     member = rows.join(top, group)
     i, j = F.pmod(F.xxhash64("node"), "ki").cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), "kj").cast("int")
     home = member.select(*rows.columns, i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("kj") - 1)).alias("j"), F.lit(True).alias("home"))
@@ -342,14 +377,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Clusters: what likely links connect, within and across the stars of all buckets.
     clusters = components(likely)
     rows = shared.join(clusters, "node", "left").select("node", "n_bytes", "bucket", named(clusters).alias("cluster"))
-    met = base.checkpoint(joined(blocks(rows, "bucket", "cluster").join(nodes.select("node", "sketch"), "node"), "bucket", "cluster", False))
+    top = mixed(rows, "bucket", "cluster")
+    for level in range(LEVELS):
+        wide = top.where(F.col("guests") > WIDE).select("bucket")
+        if wide.isEmpty():
+            break
+        rows = base.checkpoint(narrowed(rows, wide, nodes, level))
+        top = mixed(rows, "bucket", "cluster")
+    met = base.checkpoint(joined(blocks(rows, top, "bucket", "cluster").join(nodes.select("node", "sketch"), "node"), "bucket", "cluster", False))
     if not met.isEmpty():
         clusters = components(likely.union(met))
     # Classes: what verified links connect; all likely pairs lie within a cluster.
     links = verified(likely.union(met).distinct(), nodes, docs, key, text)
     classes = components(links)
     rows = clusters.withColumnRenamed("class", "cluster").join(classes, "node", "left").join(nodes.select("node", "n_bytes"), "node")
-    dealt = base.checkpoint(blocks(rows.select("node", "n_bytes", "cluster", named(classes).alias("kind")), "cluster", "kind"))
+    rows = rows.select("node", "n_bytes", "cluster", named(classes).alias("kind"))
+    dealt = base.checkpoint(blocks(rows, mixed(rows, "cluster", "kind"), "cluster", "kind"))
     if not dealt.isEmpty():
         texts = base.checkpoint(texts_of(dealt.select("node").distinct(), nodes, docs, key, text))
         more = base.checkpoint(joined(dealt.join(nodes.select("node", "sketch"), "node").join(texts, "node"), "cluster", "kind", True))

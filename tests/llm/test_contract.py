@@ -439,6 +439,38 @@ def test_recall_against_all_pairs_of_a_table(spark):
     assert len({find(i) for i in cls}) <= len(set(cls.values())) + sum(len(v) >= 300 for v in where.values())
 
 
+def test_wide_buckets_are_dealt_into_narrow_ones(spark, monkeypatch):
+    """Unlike documents that meet by one passage, near copies among them: fewer pairs are tried and no link is lost."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(100)]
+    rows, want = [], {}
+    for k in range(160):
+        own = [f"u{rnd.randint(0, 10**6)}" for _ in range(40)]
+        for copy in range(2 if k % 4 == 0 else 1):
+            v = own[:-2] + [f"e{copy}{k}", "end"] if copy else own
+            want[len(rows)] = k
+            rows.append((len(rows), " ".join(passage + v)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, k in want.items():
+        first.setdefault(k, i)
+    levels, narrowed = [], near_dedup.narrowed
+
+    def spy(rows, wide, nodes, level):
+        levels.append(level)
+        out = narrowed(rows, wide, nodes, level)
+        before = rows.join(wide, "bucket").groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        after = out.join(rows.select("bucket").distinct(), "bucket", "left_anti").groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        assert out.join(wide, "bucket", "left_semi").isEmpty() and (level or after < before)
+        return out
+
+    monkeypatch.setattr(near_dedup, "narrowed", spy)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()} == {i: first[k] for i, k in want.items()} and not levels
+    monkeypatch.setattr(near_dedup, "WIDE", 20)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(d).collect()} == {i: first[k] for i, k in want.items()}
+    assert levels
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     """Empty tables, a very long text and names that the stages use themselves."""
     import corpus_pipeline as C
