@@ -40,6 +40,19 @@ def in_window(panel: DataFrame, ranges: DataFrame, lo: str, hi: str) -> DataFram
     return panel.join(t, (panel["t"] >= t["_lo"]) & (panel["t"] < t["_hi"])).drop("_lo", "_hi")
 
 
+def covered(panel: DataFrame, ranges: DataFrame, least: int = 30) -> DataFrame:
+    """(window, ticker): the names that a window's fit may use.
+
+    A name needs `least` dates with both x and y from the window's training range through its
+    test range, and an x and a y that vary within training.
+    """
+    early = F.col("t") < F.col("tr1")
+    spread = lambda c: F.coalesce(F.stddev_pop(F.when(early, F.col(c))), F.lit(0.0)) > 1e-12
+    rows = in_window(panel, ranges, "tr0", "te1").join(F.broadcast(ranges.select("window", "tr1")), "window")
+    seen = rows.groupBy("window", "ticker").agg(F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("n"), spread("x").alias("vx"), spread("y").alias("vy"))
+    return seen.where((F.col("n") >= least) & F.col("vx") & F.col("vy")).select("window", "ticker")
+
+
 def standardised(train: DataFrame, x: str, *by: str) -> DataFrame:
     """mean and population deviation of each group's training values; a deviation of 0 counts as 1."""
     return train.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))

@@ -307,10 +307,10 @@ def factor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aligned(spark: SparkSession, sf_dir: str, train: int = 104, test: int = 52) -> tuple[DataFrame, DataFrame]:
-    """The panel as (t, ticker, sector, x, y) in windows, and the windows."""
+    """The panel as (t, ticker, sector, x, y) in windows, of the names that each window covers, and the windows."""
     s = scored(spark, sf_dir).select("t", "ticker", "sector", F.col("score").alias("x"), F.col("ret").alias("y"))
     ranges = M.windows(s, train, test)
-    return M.in_window(s, ranges, "tr0", "tr1"), ranges
+    return M.in_window(s, ranges, "tr0", "tr1").join(M.covered(s, ranges), ["window", "ticker"], "left_semi"), ranges
 
 
 def _fit(spark: SparkSession, sf_dir: str, solver: M.Solver) -> DataFrame:

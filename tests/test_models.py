@@ -190,3 +190,15 @@ def test_minute_profile_has_every_minute(spark, sf):
     wide = panels.minutes(spark, sf).toPandas().pivot_table(index=["date", "ticker"], columns="minute", values="iofi").fillna(0.0).to_numpy()
     v = np.linalg.eigh(np.corrcoef(wide, rowvar=False))[1][:, -1]
     assert abs(sum(v[k - 1] * got[k][0] for k in got)) == pytest.approx(1, abs=1e-6)
+
+
+def test_windows_use_covered_names_that_vary(spark):
+    rows = [(t, k, 0, float((t * 7 + i) % 11), float((t * 5 + i) % 7)) for i, k in enumerate("abcd") for t in range(60)]
+    rows = [(t, k, s, 1.0 if k == "b" and t < 40 else x, 2.0 if k == "c" and t < 40 else y) for t, k, s, x, y in rows]
+    rows = [(t, k, s, x, None if k == "d" and t % 3 else y) for t, k, s, x, y in rows]
+    rows += [(t, "e", 0, float(t % 5), float(t % 3)) for t in range(15, 45)] + [(t, "f", 0, float(t % 5), float(t % 3)) for t in range(16, 45)]
+    panel = spark.createDataFrame(rows, "t int, ticker string, sector int, x double, y double")
+    got = M.covered(panel, M.windows(panel, 40, 20)).collect()
+    # b and c are constant while training, d and f have 20 and 29 dates; the dates of e reach into the test range.
+    assert {(r.window, r.ticker) for r in got} == {(0, "a"), (0, "e")}
+    assert M.covered(panel.where("t < 0"), M.windows(panel.where("t < 0"), 40, 20)).count() == 0
