@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .windows import ordinal
 
+#: Ranges of ranks in which p values are counted.
+CHUNKS = 4096
+
 
 def edge_stats(panel: DataFrame, signal: str = "sig", ret: str = "ret", lag: int = 1, *by: str) -> DataFrame:
     """(tgt, src, n, mu, sd, a, t): statistics of ret[tgt, t] * signal[src, t - lag].
@@ -65,12 +68,32 @@ def p_values(edges: DataFrame, student: bool = True) -> DataFrame:
     return edges.mapInArrow(apply, ", ".join(f"`{n}` {t}" for n, t in edges.dtypes) + ", p double")
 
 
+def _beside(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """df with the other's columns where all keys are the same, null being the same as null; without keys `other` is one row."""
+    named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    if not keys:
+        return df.join(F.broadcast(named), how="cross")
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(named, on, "left").drop(*(f"_{k}" for k in keys))
+
+
 def false_discovery(edges: DataFrame, q: float = 0.1, p: str = "p", *by: str) -> DataFrame:
-    """keep: Benjamini-Hochberg at level q over the edges with a p value."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    rank, m = F.row_number().over(w.orderBy(F.col(p).asc_nulls_last(), "tgt", "src")), F.count(p).over(w)
-    cut = F.max(F.when(F.col(p) <= q * F.col("_r") / F.col("_m"), F.col(p))).over(w)
-    return edges.withColumns({"_r": rank, "_m": m}).withColumn("keep", F.coalesce(F.col(p) <= cut, F.lit(False))).drop("_r", "_m")
+    """keep: Benjamini-Hochberg at level q over the edges with a p value.
+
+    A p value passes from rank k = ceil(p m / q) on.  Values are counted by k, and k in CHUNKS ranges, so
+    that no task sorts a group; r values lie up to the last k that has k of them, and the cut is q r / m.
+    """
+    x = F.col(p)
+    given = edges.where(x.isNotNull()).select(*by, p)
+    ranked = _beside(given, given.groupBy(*by).agg(F.count("*").alias("_m")), *by).where(~F.isnan(p))
+    k = F.when(x <= 0, F.lit(1).cast("long")).otherwise(F.ceil(F.try_divide(x * F.col("_m"), F.lit(float(q)))))
+    levels = ranked.withColumn("_k", k).where("_k <= _m").groupBy(*by, "_k").agg(F.count("*").alias("_c"), F.first("_m").alias("_m"))
+    levels = levels.withColumn("_chunk", F.floor((F.col("_k") - 1) * F.lit(float(CHUNKS)) / F.col("_m")))
+    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_chunk")
+    before = levels.groupBy(*by, "_chunk").agg(F.sum("_c").alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).drop("_n")
+    rank = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_chunk").orderBy("_k"))
+    cut = _beside(levels, before, *by, "_chunk").withColumn("_r", rank).where("_r >= _k").groupBy(*by).agg(F.max(q * F.col("_r") / F.col("_m")).alias("_cut"))
+    return _beside(edges, cut, *by).withColumn("keep", F.coalesce(x <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
 def significant(edges: DataFrame, t: float = 2.0, n: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from panelforge.operators import edges
 from panelforge.operators import kernels as K
 from panelforge.operators import windows as W
 from panelforge.plans import extras, research, signals
@@ -258,6 +259,23 @@ def test_edge_p_values_and_false_discovery(spark, sf, week):
     assert {k: r.keep for k, r in rows.items()} == kept({k: r.p for k, r in rows.items()})
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_false_discovery_with_ties_nulls_and_none(spark, by):
+    rng = np.random.default_rng(1)
+    rows = []
+    for g in (None, "a", "b"):
+        p = [*(rng.random(200) ** 3).tolist(), *np.round(rng.random(40), 2).tolist(), 0.0, 0.0, None, None]
+        rows += [(g, f"t{i}", "s", v) for i, v in enumerate(p)]
+    schema = "g string, tgt string, src string, p double"
+    for some in (rows, [(*r[:3], None) for r in rows], []):
+        out = edges.false_discovery(spark.createDataFrame(some, schema), 0.1, "p", *by).collect()
+        assert len(out) == len(some)
+        got = {(r.g or "null", r.tgt): r.keep for r in out}
+        for g in {r[0] if by else "all" for r in some}:
+            mine = {(r[0] or "null", r[1]): r[3] for r in some if not by or r[0] == g}
+            assert {k: got[k] for k in mine} == kept(mine)
+
+
 def matrices(week, size, stat, lag=1):
     """Windows' matrices of targets by sources, and their names."""
     e = slow_edges(week, size, lag)
