@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from . import base
 from .bpe import bpe
 from .decontaminate import contamination, is_contaminated
+from .fill_middle import fill_in_middle, restore
+from .jaccard_join import ngram_components
 from .langid import identify
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .quality import CUT, quality
 from .secrets import secrets
+from .spelling import spelling_variants
 from .suffix_tree import lm_scores
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -76,6 +80,21 @@ def op10_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_sha256", "spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(base.table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(base.table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    again = restore("output", "form")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(again).alias("restored_sha256"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(base.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def _is(kind: str) -> Callable[[Column], Column]:
     return lambda x: x == kind
 
@@ -84,18 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
-OP3_SQL = """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op3_threshold_top_k": OP3_SQL}
+    return dict(ORACLES)

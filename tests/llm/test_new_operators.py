@@ -1,0 +1,287 @@
+"""Spelling variants, fill-in-the-middle and the n-gram join against brute force on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.llm import fill_middle, jaccard_join, oracles, queries, spans, spelling
+
+RND = random.Random(5)
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def words_of(n, vocabulary=400):
+    return [f"w{RND.randrange(vocabulary)}x" for _ in range(n)]
+
+
+def near_copies():
+    """Families: a text, exact copies, copies with a few words changed, and unlike texts that share passages."""
+    out = []
+    passage = words_of(40)
+    for _ in range(12):
+        base = words_of(RND.randint(5, 90), 100_000)
+        for _ in range(RND.randint(1, 9)):
+            copy = list(base)
+            for _ in range(RND.randint(0, 3)):
+                copy[RND.randrange(len(copy))] = "changed"
+            out.append(" ".join(copy))
+        out.append(" ".join(words_of(RND.randint(5, 60), 100_000) + passage))
+    # Short texts made of a few phrases each, so that every shingle is frequent.
+    phrases = [words_of(12, 100_000) for _ in range(5)]
+    out += [" ".join(sum(RND.sample(phrases, 3), [])) for _ in range(40)]
+    base = words_of(60, 100_000)
+    out += [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(60)]
+    return out
+
+
+ODD = [None, "", "   \n\t ", "one", "one two three", "One TWO three", "five words are just here", "a\x00b c", "<P> marked text here", "tail  \n ", " \x0b lead", "é" * 7, "Straße Émile NAÏVE naïve " * 3, "word " * 3000, "ab" * 200_000]
+SPELL = " ".join(w for w in ["garden", "gardens", "gardan", "grden", "garten", "kitten", "mitten", "kitchen", "élève", "éleve", "élèves"] for _ in range(RND.randint(3, 30)))
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("new"))
+    texts = [*ODD, *near_copies(), *([SPELL] * 30), *(" ".join(RND.choice(SPELL.split()) for _ in range(50)) for _ in range(60))]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(3, "one", "clash"), (3, "other text", "clash"), (None, texts[20], "clash"), (None, None, "clash")]
+    spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(5).write.parquet(f"{at}/documents.parquet")
+    return at, [r[:2] for r in rows]
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_fill_in_middle", "op13_ngram_jaccard_join"])
+def test_queries_equal_their_sql(spark, tables, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tables[0]}/documents.parquet/*.parquet')")
+    want = con.execute(oracles.ORACLES[name])
+    cols = [c[0] for c in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in getattr(queries, name)(spark, tables[0]).select(*cols).collect())
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_fill_in_middle", "op13_ngram_jaccard_join"])
+def test_queries_take_empty_tables(spark, tmp_path, name):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert getattr(queries, name)(spark, str(tmp_path)).collect() == []
+
+
+# Fill-in-the-middle
+
+
+def test_forms_by_hand(spark, tables):
+    want = []
+    for d, t in tables[1]:
+        t = t or ""
+        units = UNIT.findall(t)
+        assert "".join(units) == t
+        h = hashlib.sha256(f"42:{'' if d is None else d}".encode()).hexdigest()
+        h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in (0, 8, 16, 24))
+        lo, hi = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+        a, b, c = "".join(units[:lo]), "".join(units[lo:hi]), "".join(units[hi:])
+        if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+            want.append((d, len(units), "plain", None, None, sha(t), sha(t)))
+        elif h4 % 100 < 80:
+            want.append((d, len(units), "spm", len(a), len(b), sha(f"<S>{c}<P>{a}<M>{b}"), sha(t)))
+        else:
+            want.append((d, len(units), "psm", len(a), len(b), sha(f"<P>{a}<S>{c}<M>{b}"), sha(t)))
+    got = [tuple(r) for r in queries.op12_fill_in_middle(spark, tables[0]).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {w[2] for w in want} == {"plain", "spm", "psm"}
+
+
+def test_ranks_stop_where_units_end():
+    for t in [t for t in ODD if t] + ["a b", " a", "a "]:
+        ends = [0, *(m.end() for m in UNIT.finditer(t))][:200]
+        n = fill_middle.count_units(t)
+        for lo, hi in [(0, 0), (0, min(n, 3)), (min(n, 1), min(n, 2)), (min(n, 150), min(n, 150))]:
+            assert fill_middle.ends_at(t, lo, hi) == (ends[lo], ends[hi])
+        assert fill_middle.ends_at(t, n, n) == (len(t), len(t))
+
+
+def test_no_unit_array_is_held():
+    import tracemalloc
+
+    text = "ab " * 1_000_000
+    tracemalloc.start()
+    n = fill_middle.count_units(text)
+    fill_middle.ends_at(text, n // 3, n - 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000_001 and peak < 100_000
+
+
+def test_every_form_restores_and_clashing_names_are_kept_apart(spark):
+    texts = ["", "<", "a <P b", "S> x <", "x" * 50 + " <M", "<<S <S", "é ü\n\nz"]
+    rows = [(f"{i}", t) for i in range(60) for t in texts]
+    docs = spark.createDataFrame(rows, "form string, output string")
+    made = fill_middle.fill_in_middle(docs, "form", "output", rate=100)
+    assert made.columns == ["form", "n", "_form", "prefix_chars", "middle_chars", "output"]
+    back = made.select("form", fill_middle.restore("output", "_form").alias("t"), "_form").collect()
+    assert sorted((r.form, r.t) for r in back) == sorted(rows)
+    assert {r._form for r in back} == {"plain", "spm", "psm"}
+
+
+# Spelling
+
+
+def kept_words(rows):
+    out = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            out[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    return {w: n for w, n in out.items() if len(w) >= 5 and n >= 3}
+
+
+def test_spelling_by_brute_force(spark, tables):
+    words = kept_words(tables[1])
+    near = {w: [v for v in words if v != w and spelling.near(v, w)] for w in words}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best and words[best] >= 2 * words[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    want = [(w, form[w], root(w), n, len(near[w]), form[w] and words[form[w]]) for w, n in words.items()]
+    got = [tuple(r) for r in queries.op11_spelling_variants(spark, tables[0]).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert any(f for f in form.values()) and any(root(w) != (form[w] or w) for w in words) is not None
+
+
+def test_wide_groups_are_split_without_loss(spark, monkeypatch):
+    alphabet = "abé"
+    words = sorted({"".join(RND.choice(alphabet) for _ in range(RND.randint(5, 9))) for _ in range(900)})
+    rows = spark.createDataFrame([(w, RND.randint(3, 9)) for w in words], "word string, n long")
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if spelling.near(a, b)}
+    for wide in (4, 40, 2048):
+        entries, rounds = spelling.rare_entries(rows, spelling.bigram_ranks(rows)).cache(), 0
+        while True:
+            big = entries.where("rest < 0 or rest > 1").groupBy("bucket").count().where(F.col("count") > wide).select("bucket").cache()
+            if big.isEmpty():
+                break
+            entries, rounds = spelling.narrowed(entries, big).cache(), rounds + 1
+        assert {(r.a, r.b) for r in spelling.near_pairs(entries).collect()} == want
+        assert rounds == 0 or wide < 2048
+        assert entries.where("rest > 1").groupBy("bucket").count().where(F.col("count") > wide).isEmpty()
+
+
+def test_near_means_exactly_one_edit():
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            new = [i + 1]
+            for j, b in enumerate(y):
+                new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    words = ["".join(RND.choice("ab") for _ in range(RND.randint(1, 6))) for _ in range(60)]
+    assert all(spelling.near(x, y) == (distance(x, y) == 1) for x in words for y in words)
+
+
+def test_digests_are_put_together_from_parts():
+    heads = [f"{i}:".encode() for i in range(50)]
+    tails = ["é" * RND.randint(1, 60) for _ in heads]
+    got = spelling.digests(np.array([zlib.crc32(h) for h in heads], np.uint32), np.array([zlib.crc32(t.encode()) for t in tails], np.uint32), np.array([len(t.encode()) for t in tails]))
+    assert got.tolist() == [zlib.crc32(h + t.encode()) for h, t in zip(heads, tails, strict=True)]
+
+
+# N-gram join
+
+
+def shingle_sets(rows):
+    out = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        out.append((d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()))
+    return out
+
+
+def test_components_by_brute_force(spark, tables):
+    sets = shingle_sets(tables[1])
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, x) in enumerate(sets):
+        for j, (_, y) in enumerate(sets[:i]):
+            if x & y and 100 * len(x & y) >= 80 * len(x | y):
+                up[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(sets):
+        least[find(i)].append(d)
+    want = [(d, len(s), min((k for k in least[find(i)] if k is not None), default=None)) for i, (d, s) in enumerate(sets)]
+    got = [tuple(r) for r in queries.op13_ngram_jaccard_join(spark, tables[0]).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_combinations_join_in_place_of_single_tokens(spark, tables, monkeypatch):
+    """The same components where every token that two sets share counts as frequent, and where hot ones are told apart."""
+    monkeypatch.setattr(jaccard_join, "RARE", 1)
+    test_components_by_brute_force(spark, tables)
+    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    monkeypatch.setattr(jaccard_join, "SHARE", 10)
+    monkeypatch.setattr(jaccard_join, "HOME", 4)
+    test_components_by_brute_force(spark, tables)
+
+
+def test_windows_and_prefixes_always_suffice():
+    n = np.arange(1, 5000)
+    e, size = jaccard_join.spare(n), jaccard_join.window(n)
+    assert (np.diff(e) >= 0).all() and (size <= n).all()
+    for k in range(1, 5000):
+        assert all(b <= e[k - 1] for b in jaccard_join.bands(k))
+        # The smallest partner's own number of subclasses is among them.
+        assert all(set(jaccard_join.bands(m)) & set(jaccard_join.bands(k)) for m in (k, -(-4 * k // 5)))
+
+
+def test_linked_sets_share_a_combination():
+    """Random sets over few tokens, linked as loosely as can be."""
+    rng = np.random.default_rng(3)
+    universe = np.sort(spans.mix(np.arange(1, 400, dtype=np.uint64)) >> np.uint64(14))
+    frequency = dict(zip(universe.tolist(), rng.integers(2, 200, len(universe)).tolist(), strict=True))
+
+    def keys(x):
+        n = len(x)
+        w = np.sort(x)[: int(jaccard_join.window(np.int64(n)))]
+        rows = sorted((frequency[t], t) for t in w.tolist())
+        return set(jaccard_join.combos(n, np.array([t for _, t in rows], np.uint64), np.array([c for c, _ in rows]), 0).tolist())
+
+    met = 0
+    for _ in range(1500):
+        n = int(rng.integers(4, 150))
+        x = rng.choice(universe, n, replace=False)
+        inter = int(rng.integers(-(-4 * n // 5), n + 1))
+        extra = rng.choice(np.setdiff1d(universe, x), int(rng.integers(0, max(1, inter * 5 // 4 - n + 1))), replace=False)
+        y = np.concatenate([rng.choice(x, inter, replace=False), extra])
+        if 100 * inter >= 80 * (n + len(extra)):
+            met += 1
+            assert keys(x) & keys(y)
+    assert met > 500
+
+
+def test_tokens_of_a_text_do_not_depend_on_its_run():
+    texts = near_copies()[:40]
+    t, off = jaccard_join.token_sets(next(spans.runs(pa.array(texts))))
+    for i, text in enumerate(texts):
+        alone, _ = jaccard_join.token_sets(next(spans.runs(pa.array([text]))))
+        assert alone.tolist() == t[off[i] : off[i + 1]].tolist()
