@@ -50,7 +50,7 @@ def near_copies():
     return out
 
 
-ODD = [None, "", "   \n\t ", "one", "one two three", "One TWO three", "five words are just here", "a\x00b c", "<P> marked text here", "tail  \n ", " \x0b lead", "é" * 7, "Straße Émile NAÏVE naïve " * 3, "word " * 3000, "ab" * 200_000]
+ODD = [None, "", "   \n\t ", "one", "one two three", "One TWO three", "five words are just here", "a\x00b c", "<P> marked text here", "tail  \n ", " \x0b lead", "é" * 7, "Straße Émile NAÏVE naïve " * 3, "word " * 3000, "ab" * 2_000]
 SPELL = " ".join(w for w in ["garden", "gardens", "gardan", "grden", "garten", "kitten", "mitten", "kitchen", "élève", "éleve", "élèves"] for _ in range(RND.randint(3, 30)))
 
 
@@ -78,6 +78,22 @@ def test_queries_take_empty_tables(spark, tmp_path, name):
     assert getattr(queries, name)(spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_fill_in_middle", "op13_ngram_jaccard_join"])
+def test_queries_take_very_long_texts(spark, tmp_path, name):
+    """Words of 300,000 letters that are near each other, and texts of 300,000 words that link."""
+    a = "ab" * 150_000
+    many = [f"w{i}" for i in range(300_000)]
+    rows = [(1, f"{a} {a} {a}"), (2, f"{a}c {a}c {a}c"), (3, " ".join(many)), (4, " ".join(many[:250_000]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = getattr(queries, name)(spark, str(tmp_path)).collect()
+    if name.startswith("op11"):
+        assert sorted((len(r.word), r.n, r.n_near, r.form) for r in got) == [(300_000, 3, 1, None), (300_001, 3, 1, None)]
+    elif name.startswith("op12"):
+        assert sorted((r.doc_id, r.n, r.restored_sha256) for r in got) == [(d, len(UNIT.findall(t)), sha(t)) for d, t in rows]
+    else:
+        assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 299_996, 3), (4, 249_996, 3)]
+
+
 # Fill-in-the-middle
 
 
