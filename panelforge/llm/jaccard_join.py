@@ -27,9 +27,9 @@ never moved again: most sets have more than D of those, and no combination at al
 
 Verification without all pairs.  Each bucket (a combination's sets) has a star, the set with
 most copies.  Every set is first compared with its best star, then the ones outside its
-component with all stars of their buckets; what buckets still hold several
-components is compared in blocks, members outside the largest component with all, until
-joined.  All comparisons are exact, on whole sets, and a set is sent once to its star's
+component with all stars of their buckets.  What buckets still hold several components is compared
+in blocks, members outside the largest component with all, until joined, either bucket by
+bucket or in a cluster of buckets at once, where that makes fewer blocks.  All comparisons are exact, on whole sets, and a set is sent once to its star's
 group.  Buckets with the same members are one.
 
 Tokens in so many windows that they would weigh on one task (at least a hundred-thousandth
@@ -319,6 +319,30 @@ def starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("head").desc()).mapInArrow(check, "a long, b long")
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """Blocks of groups of several kinds, in which every two sets of a bucket and of different kinds meet.
+
+    rows: (node, n_bytes, bucket, kind, star).  Groups are buckets, or whole clusters of buckets that share
+    members, where a cluster makes no more blocks than its buckets: copies of one text meet
+    in hundreds of buckets, and unlike texts that pass on from one passage to the next make
+    clusters that are large.
+    """
+    cols = ["node", "n_bytes", "bucket", "kind"]
+    tops = mixed(rows, "bucket", "kind")
+    many = base.checkpoint(rows.join(tops.select("bucket", (F.col("ki") * F.col("kj").cast("long")).alias("cost")), "bucket"))
+    joined = components(many.select(F.col("node").alias("a"), F.col("star").alias("b")))
+    placed = base.checkpoint(many.join(joined, "node").select(*cols, "cost", F.col("class").alias("cluster")))
+    whole = placed.select("node", "n_bytes", "kind", "cluster").distinct()
+    wide = mixed(whole, "cluster", "kind")
+    cost = placed.select("cluster", "bucket", "cost").distinct().groupBy("cluster").agg(F.sum("cost").alias("cost"))
+    better = base.checkpoint(wide.join(cost, "cluster").where(F.col("ki") * F.col("kj").cast("long") <= F.col("cost")).drop("cost"))
+    by_cluster = blocks(whole.select(*(F.col(c) for c in cols if c != "bucket"), "cluster"), better, "cluster", "kind")
+    alone = placed.join(better.select("cluster"), "cluster", "left_anti").select(*cols)
+    by_bucket = blocks(alone, tops, "bucket", "kind")
+    names = [*cols, "i", "j", "home"]
+    return by_cluster.withColumnRenamed("cluster", "bucket").select(*names).union(by_bucket.select(*names))
+
+
 def compared(rows: DataFrame) -> DataFrame:
     """Links (a, b) that connect the kinds of each block; rows: blocks() of bucket and kind, with tokens."""
     names = ["bucket", "i", "j", "node", "kind", "home", "tokens"]
@@ -381,9 +405,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     if not more.isEmpty():
         links = links.union(more)
         classes = components(links)
-    # Then blocks of the buckets that still hold several components.
-    rows = shared.join(classes, "node", "left").join(nodes.select("node", (F.col("n") * 8).alias("n_bytes")), "node").select("node", "n_bytes", "bucket", named(classes, "class").alias("kind"))
-    left = base.checkpoint(blocks(rows, mixed(rows, "bucket", "kind"), "bucket", "kind"))
+    # Then blocks of what still holds several components.
+    rows = shared.join(classes, "node", "left").join(nodes.select("node", (F.col("n") * 8).alias("n_bytes")), "node")
+    rows = rows.select("node", "n_bytes", "bucket", named(classes, "class").alias("kind"), F.col("best.node").alias("star"))
+    left = base.checkpoint(apart(rows).coalesce(parts))
     if not left.isEmpty():
         more = base.checkpoint(compared(left.join(sets.select("node", "tokens"), "node")))
         if not more.isEmpty():
