@@ -74,11 +74,18 @@ def bulk_median(ratio: float, points: int = 20_001) -> float:
 
 
 def hard_threshold(w: np.ndarray) -> tuple[np.ndarray, int]:
-    """Singular values under the optimal hard threshold for unknown noise go; also how many stay."""
+    """Singular values under the optimal hard threshold for unknown noise go; also how many stay.
+
+    A matrix of zeros stays; where the median singular value is 0 there is no noise to measure, and nothing stays.
+    """
     u, s, vt = np.linalg.svd(w, full_matrices=False)
+    if not s.size or s[0] < 1e-14:
+        return w.copy(), 0
+    if np.median(s) < 1e-14:
+        return np.zeros_like(w), 0
     b = min(w.shape) / max(w.shape)
     cut = np.sqrt(2 * (b + 1) + 8 * b / (b + 1 + np.sqrt(b * b + 14 * b + 1))) / np.sqrt(bulk_median(b)) * np.median(s)
-    k = int((s > cut).sum())
+    k = int((s >= cut).sum())
     return (u[:, :k] * s[:k]) @ vt[:k], k
 
 

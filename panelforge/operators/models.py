@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, moments
 from .edges import edge_matrix
 from .windows import average_rank, correlation
 
@@ -98,12 +98,16 @@ def fit_blocks(train: DataFrame, solver: Solver, *by: str, least: int = 4, signa
     return train.groupBy(*by).applyInPandas(fit, f"{keys}, src string, tgt string, w double")
 
 
-def fit_grid(train: DataFrame, lams: tuple[float, ...], *by: str, least: int = 4) -> DataFrame:
-    """(by..., lam, src, tgt, w): block ridge for every penalty, from one decomposition of each block."""
+def fit_grid(train: DataFrame, lams: tuple[float, ...], *by: str, least: int = 4, standard: bool = True) -> DataFrame:
+    """(by..., lam, src, tgt, w): block ridge for every penalty, from one decomposition of each block.
+
+    Without `standard`, x and y are taken as they are, missing cells at 0.
+    """
     kinds = dict(train.dtypes)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _standard(_wide(pdf, "x")), _standard(_wide(pdf, "y"))
+        ready = _standard if standard else lambda m: m.fillna(0.0)
+        x, y = ready(_wide(pdf, "x")), ready(_wide(pdf, "y"))
         x, y = x.align(y, join="inner", axis=0)
         names = [*by, "lam", "src", "tgt", "w"]
         if min(x.shape[1], y.shape[1]) < least:
@@ -113,7 +117,7 @@ def fit_grid(train: DataFrame, lams: tuple[float, ...], *by: str, least: int = 4
         out = pd.DataFrame({"lam": np.repeat(lams, len(src)), "src": np.tile(src, len(lams)), "tgt": np.tile(tgt, len(lams)), "w": w.ravel()})
         return _named(out, by, key, names)
 
-    return train.groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", lam double, src string, tgt string, w double")
+    return moments.side_by_side(train, *by).groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", lam double, src string, tgt string, w double")
 
 
 def panel_leave_one_out(train: DataFrame, cols: list[str], y: str, lams: tuple[float, ...]) -> tuple[float, np.ndarray, float]:
@@ -192,6 +196,18 @@ def predict(x: DataFrame, weights: DataFrame, *by: str, also: tuple[str, ...] =
     return j.groupBy(*by, *also, "t", F.col("tgt").alias("ticker")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
 
 
+def standard_scores(rows: DataFrame, train: DataFrame, column: str, *by: str) -> DataFrame:
+    """rows with `column` standardised by each name's training values; names without any go."""
+    stats = standardised(train, column, *by, "ticker").drop("n")
+    return rows.join(stats, [*by, "ticker"]).withColumn(column, (F.col(column) - F.col("mean")) / F.col("sd")).drop("mean", "sd")
+
+
+def in_return_units(scores: DataFrame, train: DataFrame, *by: str) -> DataFrame:
+    """Predictions of standardised returns as returns: times each name's deviation in training, plus its mean there."""
+    stats = standardised(train, "y", *by, "ticker").drop("n")
+    return scores.join(stats, [*by, "ticker"]).withColumn("score", F.col("score") * F.col("sd") + F.col("mean")).drop("mean", "sd")
+
+
 def information(scores: DataFrame, *by: str) -> DataFrame:
     """Mean over dates of the rank correlation of score and y."""
     r = scores.withColumns({"_a": average_rank("score", *by, "t"), "_b": average_rank("y", *by, "t")})
@@ -214,29 +230,71 @@ def off_diagonal(weights: DataFrame) -> DataFrame:
     return weights.where("src <> tgt")
 
 
-def components_of(long: DataFrame, group: str, row: str, col: str, value: str) -> DataFrame:
-    """(group, col, loading): the first principal component of each group's rows; missing cells count as 0.
+def components_of(rows: DataFrame, vector: str, *by: str) -> DataFrame:
+    """(by..., place, loading): the first principal component of each group's vectors; places count from 1.
+
+    Tasks add up counts, sums and products of their own rows; what reaches a group's task is one small matrix.
+    """
+    kinds = dict(rows.dtypes)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = float(pdf["n"].iloc[0]), np.asarray(pdf["s"].iloc[0], float)
+        gram = np.asarray(pdf["p"].iloc[0], float).reshape(len(s), len(s))
+        v = kernels.leading((gram - np.outer(s, s) / n) / max(1.0, n - 1)) if len(s) > 1 else np.ones(1)
+        return pd.DataFrame({**{b: [k] * len(s) for b, k in zip(by, key, strict=True)}, "place": np.arange(1, len(s) + 1, dtype=np.int32), "loading": v})
+
+    return moments.grams(rows, vector, *by).groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", place int, loading double")
 
-    Products of a row's cells are summed by partial aggregation; what reaches a group's task is
-    one small matrix of sums.
+
+def component_scores(days: DataFrame, train: Column, vector: str, *by: str) -> DataFrame:
+    """days with score: the first principal component of standardised vectors, fitted on each group's `train` rows alone.
+
+    Places that don't vary in training count as 0.  The component's sign is such that its training scores
+    go with the vectors' raw sums.
     """
-    cells = long.groupBy(group, row).agg(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).alias("v"))).alias("x"))
-    pairs = cells.select(group, F.explode("x").alias("a"), "x").select(group, "a", F.explode("x").alias("b"))
-    sums = pairs.groupBy(group, F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("ab"), F.sum("a.v").alias("s"))
-    sums = sums.join(cells.groupBy(group).agg(F.count("*").alias("n")), group)
+    load = signed_components(moments.grams(days.where(train), vector, *by), *by)
+    return projected(days, load, vector, *by)
+
+
+def signed_components(grams: DataFrame, *by: str) -> DataFrame:
+    """(by..., weights, level): weights of each group's component, and what they make of its mean vector."""
+    kinds = dict(grams.dtypes)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names, n = sorted(pdf["a"].unique()), float(pdf["n"].iloc[0])
-        at = {c: i for i, c in enumerate(names)}
-        gram, mean = np.zeros((len(names), len(names))), np.zeros(len(names))
-        gram[pdf["a"].map(at), pdf["b"].map(at)] = pdf["ab"]
-        own = pdf[pdf["a"] == pdf["b"]]
-        mean[own["a"].map(at)] = own["s"] / n
-        v = kernels.leading((gram - n * np.outer(mean, mean)) / max(1.0, n - 1)) if len(names) > 1 else np.ones(1)
-        return pd.DataFrame({group: [key[0]] * len(names), col: names, "loading": v})
-
-    kinds = dict(long.dtypes)
-    return sums.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, {col} {kinds[col]}, loading double")
+        n, s = float(pdf["n"].iloc[0]), np.asarray(pdf["s"].iloc[0], float)
+        gram = np.asarray(pdf["p"].iloc[0], float).reshape(len(s), len(s)) / n - np.outer(s, s) / n**2
+        sd = np.sqrt(np.maximum(np.diag(gram), 0.0))
+        scale = np.where(sd > 1e-9, 1 / np.where(sd > 1e-9, sd, 1), 0.0)
+        v = kernels.leading(gram * np.outer(scale, scale)) * scale if len(s) else np.zeros(0)
+        # The covariance of scores and raw sums is the weights through the covariance's row sums.
+        v = -v if float(v @ gram.sum(axis=1)) < 0 else v
+        return pd.DataFrame({**{b: [k] for b, k in zip(by, key, strict=True)}, "weights": [v.tolist()], "level": [float(v @ s / n)]})
+
+    return grams.groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", weights array<double>, level double")
+
+
+def projected(days: DataFrame, load: DataFrame, vector: str, *by: str) -> DataFrame:
+    """days with score, by the components of their groups; there is one for each fit."""
+    product = F.aggregate(F.zip_with(vector, "weights", lambda a, b: F.coalesce(a, F.lit(0.0)) * b), F.lit(0.0), lambda a, x: a + x)
+    return days.join(F.broadcast(load), list(by)).withColumn("score", product - F.col("level")).drop("weights", "level")
+
+
+def rolling_component_scores(days: DataFrame, ranges: DataFrame, vector: str) -> DataFrame:
+    """component_scores() refitted in every window; scores of its test dates."""
+    edges = moments.edges_of(ranges)
+    blocks = moments.grams(days.withColumn("block", moments.block_of(F.col("t"), edges)).where("block >= 0"), vector, "block")
+    flat = blocks.select("block", "k", F.posexplode(F.concat(F.array("n"), "s", "p")).alias("at", "v"))
+    grid = flat.select("k", "at").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 1))))
+    w = Window.partitionBy("at").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    total = grid.join(flat, ["block", "k", "at"], "left").withColumn("v", F.sum(F.coalesce("v", F.lit(0.0))).over(w))
+    parts = []
+    for bound, sign in (("tr0", -1.0), ("tr1", 1.0)):
+        at = ranges.select("window", (moments.block_of(F.col(bound), edges) - 1).alias("block"))
+        parts.append(total.join(F.broadcast(at), "block").select("window", "k", "at", (F.lit(sign) * F.col("v")).alias("v")))
+    sums = parts[0].union(parts[1]).groupBy("window", "k", "at").agg(F.sum("v").alias("v"))
+    grams = sums.groupBy("window", "k").agg(F.sort_array(F.collect_list(F.struct("at", "v")))["v"].alias("v"))
+    grams = grams.where(F.col("v")[0] > 1).select("window", F.col("v")[0].alias("n"), F.slice("v", 2, F.col("k")).alias("s"), F.slice("v", F.col("k") + 2, F.col("k") * F.col("k")).alias("p"))
+    return projected(in_window(days, ranges, "te0", "te1"), signed_components(grams, "window"), vector, "window")
 
 
 def biclusters(edges: DataFrame, value: str, how: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], *by: str) -> DataFrame:

@@ -106,7 +106,8 @@ def _holdout(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
     """The penalty whose fit on the earlier dates of each window ranks its last dates best."""
     train, ranges = aligned(spark, sf_dir)
     train = train.join(F.broadcast(ranges.select("window", "tr1")), "window")
-    return ranked_penalties(train.where(F.col("t") < F.col("tr1") - last), train.where(F.col("t") >= F.col("tr1") - last))
+    late = F.col("t") >= F.col("tr1") - last
+    return ranked_penalties(train, ~late, late)
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -13,7 +13,9 @@ from ..operators import edges as E
 from ..operators import kernels as K
 from ..operators import metrics as X
 from ..operators import models as M
+from ..operators import moments as G
 from ..operators import portfolio as P
+from ..operators import trees as T
 from ..operators import windows as W
 from ..sources import panels
 from .catalog import query, rd, sql
@@ -361,33 +363,39 @@ def gd_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = (0.1, 1.0, 10.0, 100.0, 1000.0)
 
 
-def ranked_penalties(train: DataFrame, judge: DataFrame) -> DataFrame:
-    """(window, lam, ic): of each window, the penalty whose fit on `train` ranks the dates of `judge` best; the smaller of equals."""
-    z = judge.join(M.standardised(train, "x", "window", "ticker").drop("n"), ["window", "ticker"]).withColumn("x", (F.col("x") - F.col("mean")) / F.col("sd"))
-    w = M.fit_grid(train, GRID, "window", "sector").drop("sector")
-    p = M.predict(z.select("window", "t", "ticker", "x"), w, "window", also=("lam",)).join(judge.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
+def ranked_penalties(whole: DataFrame, early: Column, late: Column) -> DataFrame:
+    """(window, lam, ic): of each window, the penalty whose fit on its early dates ranks its late ones best; the smaller of equals.
+
+    x and y are standardised by name over the whole window once, and both sides of the ranking stay in these units.
+    """
+    z = M.standard_scores(M.standard_scores(whole, whole, "x", "window"), whole, "y", "window")
+    w = M.fit_grid(z.where(early), GRID, "window", "sector", standard=False).drop("sector")
+    judge = z.where(late)
+    p = M.predict(judge.select("window", "t", "ticker", "x"), w, "window", also=("lam",)).join(judge.select("window", "t", "ticker", "y"), ["window", "t", "ticker"])
     return M.choose(M.information(p, "window", "lam").withColumn("ic", F.round("ic", 9)), "ic", "lam", "window")
 
 
 @query()
 def lambda_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The penalty with the highest in-sample rank correlation in each window."""
-    train, _ = aligned(spark, sf_dir)
-    return ranked_penalties(train, train)
+    return ranked_penalties(aligned(spark, sf_dir)[0], F.lit(True), F.lit(True))
 
 
-def walk_forward(spark: SparkSession, sf_dir: str, lam: float = 10.0) -> DataFrame:
-    """(t, ticker, sector, score, ret): block-ridge predictions of every test block; the later block wins."""
+def walk_forward_grid(spark: SparkSession, sf_dir: str, lams: tuple[float, ...]) -> DataFrame:
+    """(lam, t, ticker, sector, score, ret): block-ridge predictions, in return units, of every test block; the later block wins."""
     train, ranges = aligned(spark, sf_dir)
-    w = M.fit_blocks(train, partial(K.ridge, lam=lam), "window", "sector")
+    w = M.fit_grid(train, lams, "window", "sector").drop("sector")
     s = scored(spark, sf_dir)
-    test = M.in_window(s, ranges, "te0", "te1")
-    stats = M.standardised(train, "x", "window", "ticker").drop("n")
-    x = test.join(stats, ["window", "ticker"]).select("window", "t", "ticker", ((F.col("score") - F.col("mean")) / F.col("sd")).alias("x"))
-    p = M.predict(x, w, "window").groupBy("t", "ticker").agg(F.max_by("score", "window").alias("score"))
+    test = M.in_window(s, ranges, "te0", "te1").select("window", "t", "ticker", F.col("score").alias("x"))
+    p = M.predict(M.standard_scores(test, train, "x", "window"), w, "window", also=("lam",))
+    p = M.in_return_units(p, train, "window").groupBy("lam", "t", "ticker").agg(F.max_by("score", "window").alias("score"))
     return p.join(s.drop("score"), ["t", "ticker"])
 
 
+def walk_forward(spark: SparkSession, sf_dir: str, lam: float = 10.0) -> DataFrame:
+    return walk_forward_grid(spark, sf_dir, (lam,)).drop("lam")
+
+
 @query()
 def walkforward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = walk_forward(spark, sf_dir)
@@ -400,16 +408,77 @@ def walkforward_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.net_spread(P.gross_spread(p), P.turnover(P.gross_weights(p)), 10)
 
 
+#: Own-signal ridge walked forward over `panel` (t, date, ticker, score, ret), predictions in return units.
+_OWN = """, r AS (SELECT i AS w, {train} + {test} * i AS te0, least({train} + {test} * (i + 1), n + 1) AS te1 FROM (SELECT max(t) AS n FROM {panel}), (SELECT unnest(range(0, 5000)) AS i) WHERE {train} + {test} * i <= n),
+a AS (SELECT w, te0, {panel}.* FROM r JOIN {panel} ON t >= te0 - {train} AND t < te1),
+s AS (SELECT w, ticker, avg(score) FILTER (t < te0 - {gap}) AS mx, stddev_pop(score) FILTER (t < te0 - {gap}) AS sx, avg(ret) FILTER (t < te0 - {gap}) AS my, stddev_pop(ret) FILTER (t < te0 - {gap}) AS sy
+  FROM a GROUP BY 1, 2 HAVING count(*) FILTER (score IS NOT NULL AND ret IS NOT NULL) >= 30 AND sx > 1e-9 AND sy > 1e-9),
+b AS (SELECT w, ticker, sum((score - mx) / sx * (ret - my) / sy) / (sum(((score - mx) / sx) ** 2) + 10) AS b FROM a JOIN s USING (w, ticker) WHERE t < te0 - {gap} GROUP BY 1, 2)
+SELECT date, ticker, round(b * (score - mx) / sx * sy + my, 6) + 0 AS score FROM a JOIN s USING (w, ticker) JOIN b USING (w, ticker) WHERE t >= te0"""
+
+
+@query(sql("sc", "WITH q AS (SELECT 1)" + _OWN.format(panel="sc", train=104, test=52, gap=0)))
+def walkforward_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name's return on its own signal, refitted every 52 weeks on the 104 before; predictions in return units."""
+    train, ranges = aligned(spark, sf_dir)
+    z = M.standard_scores(M.standard_scores(train, train, "x", "window"), train, "y", "window")
+    w = M.diagonal(z, 10.0, "window", "ticker").select("window", "ticker", "w")
+    test = M.in_window(scored(spark, sf_dir), ranges, "te0", "te1").select("window", "date", "ticker", F.col("score").alias("x"))
+    p = M.standard_scores(test, train, "x", "window").join(w, ["window", "ticker"]).withColumn("score", F.col("x") * F.col("w"))
+    return M.in_return_units(p, train, "window").select("date", "ticker", rd("score"))
+
+
+#: Days of training and days between refits.
+DAYS, EVERY = 750, 21
+
+
+def daily_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() by day."""
+    p = W.ordinal(panels.daily(spark, sf_dir))
+    after = p.select((F.col("t") - 1).alias("t"), "ticker", "ret")
+    return p.select("date", "t", "ticker", "sector", F.col("sig").alias("score")).join(after, ["t", "ticker"])
+
+
+def daily_windows(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows of the daily walk-forward, their moments, and the names that they keep.
+
+    The last training date's return is the first test date's, so it is left out.
+    """
+    ranges = M.windows(s, DAYS, EVERY).withColumn("tr1", F.col("tr1") - 1)
+    m = G.window_moments(s.select("sector", "t", "ticker", F.col("score").alias("x"), F.col("ret").alias("y")), ranges, "sector").persist()  # used for names and fits
+    return ranges, m, G.names_kept(m, "sector")
+
+
+def _in_units(s: DataFrame, ranges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Test rows of each window with x standardised by the window's names, and what turns a prediction into a return."""
+    test = M.in_window(s, ranges, "te0", "te1").join(kept.drop("sector"), ["window", "ticker"])
+    return test.select("window", "date", "t", "ticker", "sector", "ret", ((F.col("score") - F.col("mx")) / F.col("sx")).alias("x"), "my", "sy")
+
+
+@query()
+def walkforward_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sector-block ridge by day, refitted every 21 days on the 750 before, from differences of running moments."""
+    s = daily_scored(spark, sf_dir)
+    ranges, m, kept = daily_windows(s)
+    test = _in_units(s, ranges, kept)
+    p = M.predict(test.select("window", "t", "ticker", "x"), G.ridge_of(m, kept, 10.0, "sector").drop("sector"), "window")
+    p = p.join(test.drop("x"), ["window", "t", "ticker"])
+    return p.select("date", "ticker", "sector", (F.col("score") * F.col("sy") + F.col("my")).alias("score"), "ret")
+
+
+@query(sql("pd", "WITH pn AS (SELECT pd.*, t FROM pd JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT date FROM pd)) USING (date)), sq AS (SELECT a.date, a.t, a.ticker, a.sig AS score, b.ret FROM pn a JOIN pn b ON b.ticker = a.ticker AND b.t = a.t + 1)" + _OWN.format(panel="sq", train=DAYS, test=EVERY, gap=1)))
+def walkforward_daily_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows and moments, each name's return on its own signal alone."""
+    s = daily_scored(spark, sf_dir)
+    ranges, m, kept = daily_windows(s)
+    p = _in_units(s, ranges, kept).join(G.own_ridge_of(m, kept, 10.0, "sector").drop("sector"), ["window", "ticker"])
+    return p.select("date", "ticker", rd(F.col("x") * F.col("w") * F.col("sy") + F.col("my"), "score"))
+
+
 @query()
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of 64 runs, best first: four penalties by four portfolio quantiles by four rebalancing intervals."""
-    train, ranges = aligned(spark, sf_dir)
-    s = scored(spark, sf_dir)
-    stats = M.standardised(train, "x", "window", "ticker").drop("n")
-    test = M.in_window(s, ranges, "te0", "te1").join(stats, ["window", "ticker"]).select("window", "t", "ticker", ((F.col("score") - F.col("mean")) / F.col("sd")).alias("x"))
-    w = M.fit_grid(train, (0.1, 1.0, 10.0, 100.0), "window", "sector").drop("sector")
-    p = M.predict(test, w, "window", also=("lam",)).groupBy("lam", "t", "ticker").agg(F.max_by("score", "window").alias("score"))
-    p = p.join(s.select("t", "ticker", "ret"), ["t", "ticker"])
+    p = walk_forward_grid(spark, sf_dir, (0.1, 1.0, 10.0, 100.0))
     held = None
     for q in (0.05, 0.1, 0.2, 0.3):
         one = P.sides(p, q, "lam", "t").where("side <> 0").select("lam", F.lit(q).alias("q"), F.col("t").alias("t0"), "ticker", (F.col("side") / F.col("k")).alias("w"))
@@ -496,3 +565,44 @@ def panel_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.regression import GBTRegressor
 
     return _ml(spark, sf_dir, GBTRegressor(maxIter=200, maxDepth=4, minInstancesPerNode=50, stepSize=0.05, seed=3))
+
+
+def window_rows(spark: SparkSession, sf_dir: str, train: int = 104, test: int = 52) -> DataFrame:
+    """Training and test rows of every window with the panel features, and which is which."""
+    s = scored(spark, sf_dir).withColumn("pct", W.percentile_rank("score", "date"))
+    s = s.withColumn("dev", F.col("score") - F.avg("score").over(Window.partitionBy("date", "sector"))).withColumnRenamed("ret", "y")
+    ranges = M.windows(s, train, test)
+    rows = M.in_window(s, ranges, "tr0", "te1").join(F.broadcast(ranges.select("window", "te0")), "window")
+    return rows.select("window", "sector", "date", "t", "ticker", *_FEATURES, "y", (F.col("t") >= F.col("te0")).alias("test"))
+
+
+def _walked_trees(spark: SparkSession, sf_dir: str, model, signals: list[str], *by: str, **how) -> DataFrame:
+    rows = window_rows(spark, sf_dir)
+    p = T.fit_each(rows.select(*by, "t", "ticker", *signals, "y", "test"), model, signals, *by, **how)
+    # Windows' test dates don't overlap, so a date and a name have one score.
+    real = rows.where("test").select("t", "ticker", "date", "sector", F.col("y").alias("ret"))
+    return p.select("t", "ticker", "score").join(real, ["t", "ticker"]).select("date", "ticker", "sector", "score", "ret")
+
+
+@query()
+def window_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest on the panel features, refitted in every window."""
+    return _walked_trees(spark, sf_dir, partial(T.forest, trees=200, depth=6, least=50), _FEATURES, "window", flatten=False, least_rows=100)
+
+
+@query()
+def window_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees on the panel features, refitted in every window."""
+    return _walked_trees(spark, sf_dir, partial(T.boosted, least=50), _FEATURES, "window", flatten=False, least_rows=100)
+
+
+@query()
+def sector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest in every window and sector, on the ranked signals of all names of the sector."""
+    return _walked_trees(spark, sf_dir, T.forest, ["pct"], "window", "sector", flatten=True, least_rows=20, least_names=4)
+
+
+@query()
+def sector_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boosted trees in every window and sector, on the ranked signals of all names of the sector."""
+    return _walked_trees(spark, sf_dir, T.boosted, ["pct"], "window", "sector", flatten=True, least_rows=20, least_names=4)

@@ -11,24 +11,46 @@ from ..operators import windows as W
 from ..sources import files, panels
 from .catalog import query, rd, sql, whole
 
-NAMES = [("GOOD_2012-01-03_2012-12-31_10.7z",), ("x__PRE_2013-01-02_2013-06-28_5.7z",), ("BRK.B_2012-01-03_2012-12-31_10.7z",), ("unparsable.7z",), ("BF-B_2013-01-02_2013-12-31_10.7z",), ("C3_2012-01-03_2012-06-29_5.7z",), ("ZED_2014-02-03_2014-03-31.zip",)]
 #: Minutes of a trading day; what comes later counts in the last one.
 DAY = 390
-_NAMES_SQL = ", ".join(f"('{n[0]}')" for n in NAMES)
+#: An archive a ticker and year, named from its first to its last date, in the ways that such names come.
+_ARCHIVES = """WITH y AS (SELECT replace(ticker, '_', '') AS k, replace(ticker, '_', '.') AS dotted, sector, CAST(min(date) AS VARCHAR) || '_' || CAST(max(date) AS VARCHAR) AS span FROM pd GROUP BY ticker, sector, year(date)),
+n AS (SELECT CASE sector WHEN 0 THEN k || '_' || span || '_10.7z' WHEN 1 THEN 'x__' || k || '_' || span || '_5.7z' WHEN 2 THEN k || '_' || span || '.zip' WHEN 3 THEN dotted || '_' || span || '_10.7z' ELSE lower(k) || '.7z' END AS archive FROM y)"""
 
 
-@query(rf"""
-WITH n AS (SELECT archive, regexp_extract(archive, '^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{{4}}-\d{{2}}-\d{{2}})_(\d{{4}}-\d{{2}}-\d{{2}})(?:_.*)?\.(?:7z|zip)$', ['a', 'b', 'c']) AS r FROM (VALUES {_NAMES_SQL}) v(archive))
+def archive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panels.daily(spark, sf_dir).groupBy("ticker", "sector", F.year("date").alias("year")).agg(F.concat_ws("_", F.min("date").cast("string"), F.max("date").cast("string")).alias("span"))
+    k, span = F.regexp_replace("ticker", "_", ""), F.col("span")
+    ways = [F.concat(k, F.lit("_"), span, F.lit("_10.7z")), F.concat(F.lit("x__"), k, F.lit("_"), span, F.lit("_5.7z")), F.concat(k, F.lit("_"), span, F.lit(".zip")), F.concat(F.regexp_replace("ticker", "_", "."), F.lit("_"), span, F.lit("_10.7z"))]
+    name = F.concat(F.lower(k), F.lit(".7z"))
+    for sector in (3, 2, 1, 0):
+        name = F.when(F.col("sector") == sector, ways[sector]).otherwise(name)
+    return p.select(name.alias("archive"))
+
+
+@query(sql("pd", _ARCHIVES + r"""
+, r AS (SELECT archive, regexp_extract(archive, '^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})(?:_.*)?\.(?:7z|zip)$', ['a', 'b', 'c']) AS r FROM n)
 SELECT nullif(r.a, '') AS ticker, CAST(nullif(r.b, '') AS DATE) AS start, CAST(nullif(r.c, '') AS DATE) AS "end", archive, nullif(r.a, '') || '_ofi_daily.csv' AS daily
-FROM n WHERE r.a NOT LIKE '%.%'""")
+FROM r WHERE r.a NOT LIKE '%.%'"""))
 def index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.archive_index(spark.createDataFrame(NAMES, "archive string"))
+    return files.archive_index(archive_names(spark, sf_dir))
 
 
-@query(rf"""SELECT CASE WHEN archive = 'unparsable.7z' THEN 'bad_name' ELSE 'ok' END AS status, count(*) AS n FROM (VALUES {_NAMES_SQL}) v(archive) GROUP BY 1""")
+@query(r"""
+WITH f AS (SELECT n_name, n_regionkey, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, count(*) AS size, count(*) FILTER (l_discount >= 0.05) AS rows
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
+g AS (SELECT * FROM (SELECT DISTINCT week FROM f), (SELECT n_name, n_regionkey FROM nation))
+SELECT CASE WHEN n_regionkey = 4 THEN 'bad_name' WHEN coalesce(size, 0) = 0 THEN 'empty' WHEN rows = 0 THEN 'no_data' ELSE 'ok' END AS status, count(*) AS n FROM g LEFT JOIN f USING (n_name, n_regionkey, week) GROUP BY 1""")
 def file_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(NAMES, "archive string").withColumns({"size": F.lit(1), "rows": F.lit(1)})
-    return files.file_status(rows, "size", F.col("archive").rlike(files.ARCHIVE), "rows")
+    """Status of one file a name and week of the calendar: its size is its trades, its rows those at a discount of 5 % or more."""
+    names = panels.table(spark, sf_dir, "nation").select("n_name", "n_regionkey", "n_nationkey")
+    j = panels.table(spark, sf_dir, "lineitem").groupBy(F.trunc(F.col("l_shipdate").cast("date"), "week").alias("week"), F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("size"), F.count(F.when(F.col("l_discount") >= 0.05, 1)).alias("rows"))
+    j = j.join(panels.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), "s_suppkey")
+    f = j.groupBy("week", "n_nationkey").agg(F.sum("size").alias("size"), F.sum("rows").alias("rows"))
+    grid = f.select("week").distinct().crossJoin(names)
+    known = grid.join(f, ["week", "n_nationkey"], "left").withColumns({"size": F.coalesce("size", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
+    name = F.concat(F.when(F.col("n_regionkey") == 4, F.lower("n_name")).otherwise(F.upper(F.regexp_replace("n_name", "_", ""))), F.lit("_"), F.col("week").cast("string"), F.lit("_"), F.col("week").cast("string"), F.lit(".7z"))
+    return files.file_status(known, "size", name.rlike(files.ARCHIVE), "rows")
 
 
 @query(sql("pd", "SELECT ticker, count(*) AS n FROM pd WHERE sig IS NOT NULL AND ret IS NOT NULL GROUP BY ticker HAVING count(*) >= 252 ORDER BY n DESC, ticker LIMIT 400"))
@@ -211,9 +233,12 @@ def tib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.snapshots(spark, sf_dir, 1).select("ticker", "seq", rd(S.book_imbalance(), "tib"))
 
 
-@query("SELECT CAST(h AS INTEGER) AS half_life, CAST(m AS INTEGER) AS minute, round(exp(-(391 - m) * (ln(2) / h)) / sum(exp(-(391 - m) * (ln(2) / h))) OVER (PARTITION BY h), 6) + 0 AS w FROM (SELECT unnest([15, 60, 195]) AS h), (SELECT unnest(range(1, 391)) AS m)")
+@query(sql("mi", "WITH k AS (SELECT CAST(h AS INTEGER) AS half_life, CAST(m AS INTEGER) AS minute, exp(-(391 - m) * (ln(2) / h)) / sum(exp(-(391 - m) * (ln(2) / h))) OVER (PARTITION BY h) AS w FROM (SELECT unnest([15, 60, 195]) AS h), (SELECT unnest(range(1, 391)) AS m)), c AS (SELECT least(minute, 390) AS minute, count(*) AS n FROM mi GROUP BY 1) SELECT half_life, minute, round(w * 1e6, 6) + 0 AS w, n FROM k JOIN c USING (minute)"))
 def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernel(spark, (15, 60, 195), 390).select("half_life", "minute", rd("w"))
+    """Weights, in millionths, of the minutes that the panel has, and their rows."""
+    seen = panels.minutes(spark, sf_dir).groupBy(F.least("minute", F.lit(DAY)).alias("minute")).agg(F.count("*").alias("n"))
+    k = kernel(spark, (15, 60, 195), DAY).select("half_life", "minute", rd(F.col("w") * 1e6, "w"))
+    return k.join(seen, "minute").select("half_life", "minute", "w", "n")
 
 
 def kernel(spark: SparkSession, half_lives: tuple[int, ...], minutes: int) -> DataFrame:
@@ -328,24 +353,59 @@ def name_and_scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def iofi_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First principal component of the levels' imbalances of each ticker, and the integrated signal."""
-    s = panels.snapshots(spark, sf_dir).withColumn("ofi", F.coalesce(S.finite(S.flow_imbalance()), F.lit(0.0)))
-    load = M.components_of(s.select("ticker", "seq", "level", "ofi"), "ticker", "seq", "level", "ofi")
-    return s.join(F.broadcast(load), ["ticker", "level"]).groupBy("ticker", "seq").agg(F.sum(F.col("ofi") * F.col("loading")).alias("iofi"))
+    levels = 3
+    s = panels.snapshots(spark, sf_dir, levels).withColumn("ofi", F.coalesce(S.finite(S.flow_imbalance()), F.lit(0.0)))
+    at = [F.coalesce(F.sum(F.when(F.col("level") == n, F.col("ofi"))), F.lit(0.0)) for n in range(1, levels + 1)]
+    books = s.groupBy("ticker", "seq").agg(F.array(*at).alias("v"))
+    load = M.components_of(books, "v", "ticker").groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("place", "loading"))).alias("w"))
+    total = sum((F.col("v")[n - 1] * F.col("w")[n] for n in range(1, levels + 1)), F.lit(0.0))
+    return books.join(F.broadcast(load), "ticker").select("ticker", "seq", total.alias("iofi"))
+
+
+def minute_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, t, ticker, v): each ticker's day as a vector of minutes up to the largest present, DAY at most; gaps count as 0."""
+    m = panels.minutes(spark, sf_dir).withColumn("minute", F.least("minute", F.lit(DAY)))
+    m = m.groupBy("date", "ticker", "minute").agg(F.sum(F.coalesce("iofi", F.lit(0.0))).alias("iofi"))
+    n = m.agg(F.max("minute")).first()[0] or 0
+    cells = F.map_from_entries(F.collect_list(F.struct("minute", "iofi")))
+    days = m.groupBy("date", "ticker").agg(cells.alias("c"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(1, n))), lambda i: F.coalesce(F.col("c")[i], F.lit(0.0)))
+    return W.ordinal(days.select("date", "ticker", at.alias("v"))).select("date", "t", "ticker", "v")
 
 
 @query()
 def minute_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loadings of the minute profile by spark.ml, over standardised minutes."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    days = panels.minutes(spark, sf_dir).groupBy("date", "ticker").agg(F.sort_array(F.collect_list(F.struct("minute", F.coalesce("iofi", F.lit(0.0)).alias("v"))))["v"].alias("v"))
-    # A day's minutes are numbered without gaps; those after its last count as 0, up to the largest minute present.
-    n = days.agg(F.max(F.size("v"))).first()[0] or 0
-    if n < 2:
-        return spark.createDataFrame([(i + 1, 1.0, 0.0) for i in range(n)], "minute int, pc1 double, pc2 double")
-    x = days.select(array_to_vector(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(n) - F.size("v")))).alias("x"))
-    x = StandardScaler(inputCol="x", outputCol="z", withMean=True).fit(x).transform(x)
-    m = PCA(k=2, inputCol="z", outputCol="pc").fit(x)
-    rows = [(i + 1, float(m.pc[i, 0]), float(m.pc[i, 1])) for i in range(n)]
-    return spark.createDataFrame(rows, "minute int, pc1 double, pc2 double")
+    """The day's signal by the minutes' first principal component, fitted on the first 70 % of dates; scores of all."""
+    days = minute_days(spark, sf_dir)
+    last = days.agg(F.max("t")).first()[0] or 0
+    train = F.col("t") < int(0.7 * (last + 1))
+    found = M.component_scores(days.withColumn("fit", F.lit(0)), train, "v", "fit")
+    return found.select("date", "ticker", train.alias("train"), "score")
+
+
+#: Dates of training and between refits of the rolling form; the event table holds few dates.
+PCA_TRAIN, PCA_EVERY = 10, 5
+
+
+@query()
+def rolling_minute_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, refitted every 5 dates on the 10 before; scores of the dates after each fit.
+
+    Dates are reduced to their moments once, in blocks between refits' bounds, and a window's are the difference of
+    two running sums.
+    """
+    days = minute_days(spark, sf_dir)
+    ranges = M.windows(days, PCA_TRAIN, PCA_EVERY)
+    return M.rolling_component_scores(days, ranges, "v").select("date", "ticker", "window", "score")
+
+
+@query()
+def pca_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-short spread of the next date's imbalance by the rolling component's signal."""
+    from ..operators import portfolio as P
+
+    s = rolling_minute_pca(spark, sf_dir)
+    day = W.ordinal(panels.minutes(spark, sf_dir).groupBy("date", "ticker").agg(F.sum("iofi").alias("ret")))
+    after = day.select((F.col("t") - 1).alias("t"), "ticker", "ret")
+    both = s.join(day.select("date", "t").distinct(), "date").join(after, ["t", "ticker"])
+    return P.gross_spread(both.select("date", "t", "ticker", F.lit(0).alias("sector"), "score", "ret"))

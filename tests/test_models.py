@@ -180,16 +180,166 @@ def test_negative_edges_count_only_by_their_size():
     assert t.tolist() == s.tolist() == [0, 1]
 
 
-def test_minute_profile_has_every_minute(spark, sf):
+def pca_by_hand(train, every):
+    """Scores of `every` by the first component of standardised training rows, its sign by the raw sums."""
+    sd = train.std(axis=0)
+    z = lambda m: np.where(sd > 1e-9, (m - train.mean(axis=0)) / np.where(sd > 1e-9, sd, 1), 0.0)
+    v = np.linalg.eigh(np.cov(z(train), rowvar=False).reshape(train.shape[1], -1))[1][:, -1]
+    score = z(every) @ v
+    return -score if np.corrcoef(z(train) @ v, train.sum(axis=1))[0, 1] < 0 else score
+
+
+def test_minute_components_are_fitted_on_training_days_alone(spark, sf):
     from panelforge.plans import signals
-    from panelforge.sources import panels
-
-    most = panels.minutes(spark, sf).agg({"minute": "max"}).first()[0]
-    got = {r.minute: (r.pc1, r.pc2) for r in signals.minute_pca(spark, sf).collect()}
-    assert sorted(got) == list(range(1, most + 1))
-    wide = panels.minutes(spark, sf).toPandas().pivot_table(index=["date", "ticker"], columns="minute", values="iofi").fillna(0.0).to_numpy()
-    v = np.linalg.eigh(np.corrcoef(wide, rowvar=False))[1][:, -1]
-    assert abs(sum(v[k - 1] * got[k][0] for k in got)) == pytest.approx(1, abs=1e-6)
+
+    days = signals.minute_days(spark, sf).toPandas().sort_values(["t", "ticker"])
+    v, t = np.stack(days["v"].to_numpy()), days["t"].to_numpy()
+    key = list(zip(days["date"], days["ticker"], strict=True))
+    early = t < int(0.7 * (t.max() + 1))
+    want = dict(zip(key, zip(early.tolist(), pca_by_hand(v[early], v).tolist(), strict=True), strict=True))
+    got = {(r.date, r.ticker): (r.train, r.score) for r in signals.minute_pca(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    want = {}
+    for lo in range(signals.PCA_TRAIN, t.max() + 1, signals.PCA_EVERY):
+        train, test = (t >= lo - signals.PCA_TRAIN) & (t < lo), (t >= lo) & (t < lo + signals.PCA_EVERY)
+        if train.sum() > 1:
+            want |= dict(zip([k for k, x in zip(key, test, strict=True) if x], pca_by_hand(v[train], v[test]).tolist(), strict=True))
+    got = {(r.date, r.ticker): r.score for r in signals.rolling_minute_pca(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert signals.pca_portfolio(spark, sf).count() > 0
+
+
+def test_threshold_without_noise():
+    assert K.hard_threshold(np.outer(np.arange(1.0, 6), np.ones(5)))[1] == 0
+    assert not K.hard_threshold(np.outer(np.arange(1.0, 6), np.ones(5)))[0].any()
+    assert K.hard_threshold(np.zeros((3, 3)))[1] == 0
+
+
+def test_window_moments_are_those_of_a_refit(spark):
+    """Missing cells and names included."""
+    from panelforge.operators import moments as G
+
+    rng = np.random.default_rng(8)
+    rows = [(s, t, f"{s}{i}", None if rng.random() < 0.1 else float(rng.normal()), None if rng.random() < 0.1 else float(rng.normal())) for s in "pq" for t in range(90) for i in range(5) if rng.random() < 0.9 and not (i == 4 and t < 60)]
+    panel = spark.createDataFrame(rows, "sector string, t int, ticker string, x double, y double")
+    ranges = M.windows(panel, 50, 7)
+    m = G.window_moments(panel, ranges, "sector")
+    kept = G.names_kept(m, "sector", 30)
+    got = {(r.window, r.sector, r.src, r.tgt): r.w for r in G.ridge_of(m, kept, 2.0, "sector").collect()}
+    frame, want = panel.toPandas(), {}
+    for r in ranges.collect():
+        for s, rows in frame[(frame["t"] >= r.tr0) & (frame["t"] < r.te1)].groupby("sector"):
+            both = rows.dropna().groupby("ticker").size()
+            rows = rows[rows["ticker"].isin(both[both >= 30].index) & (rows["t"] < r.tr1)]
+            x, y = (rows.pivot(index="t", columns="ticker", values=c) for c in "xy")
+            x, y = (((f - f.mean()) / f.std(ddof=0)).fillna(0.0) for f in (x, y))
+            if x.shape[1] >= 4:
+                w = np.linalg.inv(x.T @ x + 2.0 * np.eye(x.shape[1])) @ x.T.to_numpy() @ y.to_numpy()
+                want |= {(r.window, s, a, b): w[i, j] for i, a in enumerate(x.columns) for j, b in enumerate(y.columns)}
+    assert got.keys() == want.keys() and len({k[0] for k in want}) > 3
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert G.ridge_of(m.where("n < 0"), kept, 2.0, "sector").count() == 0
+
+
+def slow_split(x, y, w, least):
+    """(gain, feature, threshold) of the best split, by trying every midpoint."""
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for cut in (v[1:] + v[:-1]) / 2:
+            low = x[:, f] <= cut
+            a, b = w[low].sum(), w[~low].sum()
+            if a >= least and b >= least:
+                gain = round((w[low] @ y[low]) ** 2 / a + (w[~low] @ y[~low]) ** 2 / b - (w @ y) ** 2 / w.sum(), 12)
+                if gain > best[0]:
+                    best = (gain, f, cut)
+    return best
+
+
+def slow_tree(x, y, w, test, leaves, depth, least):
+    """Predictions of a tree grown best leaf first, from raw values."""
+    nodes = [(np.ones(len(x), bool), np.ones(len(test), bool), 0)]
+    open_ = {0: slow_split(x, y, w, least)}
+    while len(nodes) < leaves:
+        ready = {k: s for k, s in open_.items() if s[1] is not None and nodes[k][2] < depth}
+        if not ready:
+            break
+        k = max(ready, key=lambda k: ready[k][0])
+        _, f, cut = ready[k]
+        rows, late, level = nodes[k]
+        sides = [(rows & side, late & other, level + 1) for side, other in ((x[:, f] <= cut, test[:, f] <= cut), (x[:, f] > cut, test[:, f] > cut))]
+        nodes[k], place = sides[0], len(nodes)
+        nodes.append(sides[1])
+        for i in (k, place):
+            open_[i] = slow_split(x[nodes[i][0]], y[nodes[i][0]], w[nodes[i][0]], least)
+    out = np.zeros(len(test))
+    for rows, late, _ in nodes:
+        out[late] = np.average(y[rows], weights=w[rows])
+    return out
+
+
+def test_trees_split_where_brute_force_does():
+    from panelforge.operators import trees as T
+
+    rng = np.random.default_rng(2)
+    x, test = rng.integers(0, 9, (120, 4)).astype(float), rng.integers(0, 9, (40, 4)).astype(float)
+    y = rng.normal(size=120) + x[:, 1] - 2 * (x[:, 2] > 4)
+    bins = T.Bins.of(x)
+    for leaves, depth, least in ((2, 9, 5), (8, 9, 5), (99, 3, 10), (15, 99, 20)):
+        w = rng.integers(0, 3, 120).astype(float)
+        tree = T.grow(bins.apply(x), y, w, leaves, depth, least)
+        keep = w > 0
+        assert np.allclose(tree.predict(bins.apply(test)), slow_tree(x[keep], y[keep], w[keep], test, leaves, depth, least))
+    fit, out = np.full(120, y.mean()), np.full(40, y.mean())
+    for _ in range(12):
+        step = slow_tree(x, y - fit, np.ones(120), np.concatenate([x, test]), 6, 99, 10)
+        fit, out = fit + 0.3 * step[:120], out + 0.3 * step[120:]
+    assert np.allclose(T.boosted(x, y, test, 12, 0.3, 6, 10), out)
+    flat = T.boosted(np.ones((30, 2)), np.arange(30.0), np.ones((3, 2)))
+    assert np.allclose(flat, 14.5) and np.allclose(T.forest(x, np.full(120, 2.0), test, 5), 2.0)
+    # A drawn forest is a mean of trees on drawn rows, near what its target is.
+    assert np.corrcoef(T.forest(x, y, x, 30, 6, least=5), y)[0, 1] > 0.8
+
+
+def test_trees_by_window_and_sector(spark, sf, monkeypatch):
+    from functools import partial
+
+    from panelforge.operators import trees as T
+    from panelforge.plans import research
+
+    def median_of_first(x, y, test):
+        return test[:, 0] * 10 + x[:, -1].max() + len(y) / 1e6 + y.sum()
+
+    rows = research.window_rows(spark, sf)
+    p = rows.toPandas()
+    got = T.fit_each(rows.select("window", "sector", "t", "ticker", "pct", "y", "test"), median_of_first, ["pct"], "window", "sector", flatten=True, least_rows=20, least_names=4)
+    got = {(r.window, r.t, r.ticker): r.score for r in got.collect()}
+    want = {}
+    for (w, _), g in p.groupby(["window", "sector"]):
+        early, late = g[~g["test"]], g[g["test"]]
+        names = sorted(early["ticker"].unique())
+        y = early["y"].dropna()
+        if len(names) >= 4 and len(y) >= 20:
+            for t, day in late[late["ticker"].isin(names)].groupby("t"):
+                first = dict(zip(day["ticker"], day["pct"], strict=True)).get(names[0], 0.0)
+                want |= {(w, t, n): first * 10 + len(names) - 1 + len(y) / 1e6 + y.sum() for n in day["ticker"]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    monkeypatch.setattr(T, "boosted", partial(T.boosted, rounds=5))
+    one = {(r.date, r.ticker): r.score for r in research.sector_boosting(spark, sf).collect()}
+    assert len(one) == len(want)
+    # One sector of the first window against the slow trees.
+    g = p[(p["window"] == 0) & (p["sector"] == 0)]
+    names = sorted(g["ticker"].unique())
+    m = g.pivot(index="t", columns="ticker", values="pct").reindex(columns=names).fillna(0.0)
+    x = {(t, n): [*m.loc[t], float(i)] for t in m.index for i, n in enumerate(names)}
+    early, late = g[~g["test"]], g[g["test"]]
+    xs, ys = np.array([x[k] for k in zip(early["t"], early["ticker"], strict=True)]), early["y"].to_numpy()
+    ts = np.array([x[k] for k in zip(late["t"], late["ticker"], strict=True)])
+    fit, out = np.full(len(ys), ys.mean()), np.full(len(ts), ys.mean())
+    for _ in range(5):
+        step = slow_tree(xs, ys - fit, np.ones(len(ys)), np.concatenate([xs, ts]), 15, 99, 20)
+        fit, out = fit + 0.05 * step[: len(ys)], out + 0.05 * step[len(ys) :]
+    assert [one[k] for k in zip(late["date"], late["ticker"], strict=True)] == pytest.approx(out.tolist(), abs=1e-9)
 
 
 def test_windows_use_covered_names_that_vary(spark):
