@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMS = ("n", "sa", "sb", "sab")
+#: Columns of text in what the grouped fits give.
+TEXT = ("ticker", "src", "tgt", "a", "b")
 
 
 def side_by_side(rows: DataFrame, *by: str) -> DataFrame:
@@ -24,6 +26,13 @@ def side_by_side(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *by)
 
 
+def plain(out: pd.DataFrame) -> pd.DataFrame:
+    """The frame with text as plain objects, and columns without rows as numbers or plain objects by name."""
+    if not len(out):
+        return pd.DataFrame({c: np.zeros(0, object if c in TEXT else float) for c in out.columns})
+    return out.astype({c: object for c in out.columns if not pd.api.types.is_numeric_dtype(out[c])})
+
+
 def block_of(t: Column, edges: list[int]) -> Column:
     """The number of the last edge at or before a date; -1 before all."""
     return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= t)) - 1
@@ -52,7 +61,7 @@ def partial_moments(panel: DataFrame, by: str, edges: list[int]) -> DataFrame:
         i, j = np.nonzero(np.concatenate([np.ones((p, 2 * p), bool), np.concatenate([np.zeros((p, p), bool), np.eye(p, dtype=bool)], axis=1)]))
         a, b = np.array(cols, object)[i], np.array(cols, object)[j]
         out = {"n": (mask.T @ mask)[i, j], "sa": (v.T @ mask)[i, j], "sb": (mask.T @ v)[i, j], "sab": (v.T @ v)[i, j]}
-        return pd.DataFrame({by: [key[0]] * len(i), "block": np.full(len(i), key[1], np.int32), "a": a, "b": b, **out})
+        return plain(pd.DataFrame({by: [key[0]] * len(i), "block": np.full(len(i), key[1], np.int32), "a": a, "b": b, **out}))
 
     rows = panel.withColumn("block", block_of(F.col("t"), edges)).where("block >= 0")
     return side_by_side(rows, by, "block").groupBy(by, "block").applyInPandas(reduce, f"{by} {kind}, block int, a string, b string, n double, sa double, sb double, sab double")
@@ -109,14 +118,14 @@ def ridge_of(moments: DataFrame, kept: DataFrame, lam: float, by: str, least: in
         names = sorted(m["a"].str[2:].unique())
         p = len(names)
         if p < least:
-            return pd.DataFrame({"window": [], by: [], "src": [], "tgt": [], "w": []})
+            return plain(pd.DataFrame(columns=["window", by, "src", "tgt", "w"]))
         at = {n: i for i, n in enumerate(names)}
         i, j, y = m["a"].str[2:].map(at).to_numpy(), m["b"].str[2:].map(at).to_numpy(), (m["b"].str[0] == "y").to_numpy()
         z, gram, target = m["z"].to_numpy(), np.zeros((p, p)), np.zeros((p, p))
         gram[i[~y], j[~y]], target[i[y], j[y]] = z[~y], z[y]
         w = np.linalg.solve(gram + lam * np.eye(p), target)
         names = np.array(names, object)
-        return pd.DataFrame({"window": np.full(p * p, key[0], np.int32), by: [key[1]] * (p * p), "src": np.repeat(names, p), "tgt": np.tile(names, p), "w": w.ravel()})
+        return plain(pd.DataFrame({"window": np.full(p * p, key[0], np.int32), by: [key[1]] * (p * p), "src": np.repeat(names, p), "tgt": np.tile(names, p), "w": w.ravel()}))
 
     return side_by_side(rows, "window", by).groupBy("window", by).applyInPandas(fit, f"window int, {by} {kind}, src string, tgt string, w double")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .moments import side_by_side
+from .moments import plain, side_by_side
 
 BINS = 255
 #: Gains are compared to so many places, so that equal splits are taken in order of feature and threshold.
@@ -186,6 +186,6 @@ def fit_each(rows: DataFrame, model, signals: list[str], *by: str, flatten: bool
             score = model(x[train], y[train], x[test])
             at = [n for n, ok in zip(names, test, strict=True) if ok]
             out = {b: [k] * len(at) for b, k in zip(by, key, strict=True)} | {"t": [t for t, _ in at], "ticker": [n for _, n in at], "score": score}
-        return pd.DataFrame(out)
+        return plain(pd.DataFrame(out))
 
     return side_by_side(rows, *by).groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + f", t {kinds['t']}, ticker string, score double")

@@ -454,8 +454,9 @@ def test_archives_and_zips(spark, tmp_path):
     assert [r.ticker for r in files.archive_index(names).collect()] == [None, "BF-B", "C3"]
 
 
-def test_daily_walk_forward(spark, sf, monkeypatch):
-    """Differences of running moments against a refit of every window."""
+def test_daily_walk_forward(spark, monkeypatch):
+    """Differences of running moments against a refit of every window; the smallest tables have too few days a name."""
+    sf = "/root/testdata/sf0.01"
     monkeypatch.setattr(research, "DAYS", 400)
     monkeypatch.setattr(research, "EVERY", 90)
     s = research.daily_scored(spark, sf).toPandas()
