@@ -10,14 +10,15 @@ is reported by itself.
 
 A cheap look at the bytes decides which texts need regular expressions at all; it
 lets through every text that can have a finding.  Positions are code points, ends are
-exclusive.  Null texts count as empty; every row gives a row.  Scanning one text takes
-time in proportion to its length: the interval join walks sorted parts once.
+exclusive.  Null texts count as empty; every row gives a row, an empty table none.  Scanning one
+text takes time in proportion to its length, and to the logarithm of its parts.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -67,29 +68,28 @@ def strong(text: str) -> list[Span]:
 def within(parts: list[Span], others: list[Span], scope: list[int]) -> list[bool]:
     """Whether each part has one of `others` in scope, other than itself; scope: where paragraphs start.
 
-    An interval join of one sorted side against the other: the nearest ending before
-    and the nearest starting after decide, with overlaps in between.
+    An interval join of one sorted side against the other: of those that start before a
+    part's scope ends, the one that ends last decides, or the next if that is the part itself.
     """
     others = sorted(others)
     starts = [o[0] for o in others]
-    furthest, most = [], 0
+    # The two spans that end last of those up to each: one of them may be the part itself.
+    last: list[tuple[Span, Span | None]] = []
+    top: Span | None = None
+    second: Span | None = None
     for o in others:
-        most = max(most, o[1])
-        furthest.append(most)
+        if top is None or o[1] > top[1]:
+            top, second = o, top if top is None or top[:2] != o[:2] else second
+        elif o[:2] != top[:2] and (second is None or o[1] > second[1]):
+            second = o
+        last.append((top, second))
     out = []
     for a, b, _ in parts:
         p = bisect.bisect_right(scope, a) - 1
         lo = max(scope[p], a - REACH)
         hi = min(scope[p + 1] if p + 1 < len(scope) else 1 << 62, b + REACH)
         i = bisect.bisect_left(starts, hi)
-        while i and furthest[i - 1] > lo:
-            i -= 1
-            if others[i][1] > lo and others[i][:2] != (a, b):
-                break
-        else:
-            out.append(False)
-            continue
-        out.append(True)
+        out.append(i > 0 and any(o is not None and o[1] > lo and o[:2] != (a, b) for o in last[i - 1]))
     return out
 
 
@@ -101,10 +101,11 @@ def scan(text: str) -> list[Span]:
     if ids or accounts:
         taken = sorted(s[:2] for s in found + accounts)
         first = [t[0] for t in taken]
+        furthest = list(itertools.accumulate((t[1] for t in taken), max))
 
         def free(m: re.Match) -> bool:
             i = bisect.bisect_left(first, m.end())
-            return not any(taken[j][1] > m.start() for j in range(max(0, i - 2), i))
+            return not (i and furthest[i - 1] > m.start())
 
         bare = [(m.start(), m.end(), "bare") for m in BARE.finditer(text) if free(m) and random_looking(m[0])]
         ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
