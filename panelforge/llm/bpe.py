@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from . import base, spans
 
+#: Bytes of tiles that a worker remembers: in a pipeline an executor's JVM has grown before this stage begins.
+REMEMBERED = 24 << 20
 OWNER = "bpe"
 NONE = np.int64(1) << 40
 #: Pieces up to so many bytes go through the arrays.
@@ -219,7 +221,7 @@ def encode_column(texts: pa.Array, path: str, pattern: str) -> Iterator[tuple[by
     of its tiles' ids in order, as decoding goes id by id.
     """
     v = vocabulary(path)
-    memo = base.kept(OWNER, (path, pattern), spans.Memo)
+    memo = base.kept(OWNER, (path, pattern), lambda: spans.Memo(REMEMBERED))
     for run in spans.runs(texts, BLOCK):
         a, b = spans.tiles(run.data, run.off)
         raw = run.data.tobytes()
