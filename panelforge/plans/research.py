@@ -354,6 +354,12 @@ def lowrank_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.denoised(sector_block_ridge(spark, sf_dir), partial(K.low_rank, k=1), "window", "sector", zero_diagonal=True)
 
 
+@query()
+def blended_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sector-block ridge with own coefficients halved."""
+    return M.blended(sector_block_ridge(spark, sf_dir), 0.5)
+
+
 @query()
 def gd_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.denoised(dense_ridge(spark, sf_dir), lambda w: K.hard_threshold(w)[0], "window")

@@ -481,3 +481,8 @@ def test_daily_walk_forward(spark, monkeypatch):
     got = {(r.date, r.ticker): r.score for r in research.walkforward_daily(spark, sf).collect()}
     assert got.keys() == want.keys() and len(want) > 1000
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_own_coefficients_are_blended(spark, sf, scores):
+    want = {k: v / 2 if k[2] == k[3] else v for k, v in blocks(scores, slow_ridge).items()}
+    same(found(research.blended_block(spark, sf), "window", "sector", "src", "tgt"), want)
