@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .windows import ordinal
 
 #: Ranges of ranks in which p values are counted.
@@ -115,8 +116,8 @@ def degree_scaled(edges: DataFrame, w: str = "w") -> DataFrame:
 
 def sector_network(edges: DataFrame, sectors: DataFrame, q: float = 0.75) -> DataFrame:
     """Mean absolute weight of each pair of sectors, over edges at or above the q quantile."""
-    e = edges.withColumn("aw", F.round(F.abs("w"), 9))
-    cut = e.agg(F.percentile("aw", F.lit(q)).alias("cut"))
+    e = edges.withColumn("aw", F.round(F.abs("w"), 9)).persist()  # read by every pass
+    cut = exact_quantiles(e, "aw", {"cut": q}, passes=1).select("cut")  # one row
     strong = e.join(F.broadcast(cut)).where("aw >= cut")
     named = strong.join(F.broadcast(sectors.toDF("src", "src_sector")), "src").join(F.broadcast(sectors.toDF("tgt", "tgt_sector")), "tgt")
     return named.groupBy("src_sector", "tgt_sector").agg(F.avg("aw").alias("weight"), F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 YEAR = 252
 
 
@@ -47,7 +49,9 @@ def histogram(df: DataFrame, x: str, lo: float, hi: float, bins: int) -> DataFra
     return df.where(F.col(x).isNotNull()).groupBy(F.width_bucket(F.col(x), F.lit(lo), F.lit(hi), F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def winsorised(df: DataFrame, x: str, q: float, *by: str, least: int = 3) -> DataFrame:
-    """x clipped to its q and 1 - q quantiles in each group with enough values."""
-    cuts = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(q), F.lit(1 - q))).alias("_q"), F.count(x).alias("_n"))
-    return df.join(cuts, list(by)).withColumn(x, F.when(F.col("_n") >= least, F.least(F.greatest(F.col(x), F.col("_q")[0]), F.col("_q")[1])).otherwise(F.col(x))).drop("_q", "_n")
+def winsorised(df: DataFrame, x: str, q: float, *by: str, least: int = 3, passes: int = 1) -> DataFrame:
+    """x clipped to its q and 1 - q quantiles in each group with enough values; null x, and x of null keys, stay."""
+    cuts = exact_quantiles(df, x, {"_low": q, "_high": 1 - q}, *by, passes=passes).withColumnRenamed("n", "_n")
+    both = df.join(cuts, list(by), "left") if by else df.join(cuts, how="left")  # without keys, cuts are one row
+    clipped = F.least(F.greatest(F.col(x), F.col("_low")), F.col("_high"))
+    return both.withColumn(x, F.when((F.col("_n") >= least) & F.col(x).isNotNull(), clipped).otherwise(F.col(x))).drop("_low", "_high", "_n")

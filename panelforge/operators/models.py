@@ -332,7 +332,3 @@ def best_block(edges: DataFrame, rows: DataFrame, cols: DataFrame, score: str =
 def first_nonempty(masks: DataFrame, priority: str, *by: str) -> DataFrame:
     """Rows of the mask with the smallest priority that has any, in each group."""
     return masks.withColumn("_p", F.min(priority).over(Window.partitionBy(*by))).where(F.col(priority) == F.col("_p")).drop("_p")
-
-
-def quantile_cut(x: Column, q: float) -> Column:
-    return F.percentile(x, F.lit(q))

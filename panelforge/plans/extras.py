@@ -13,6 +13,7 @@ from ..operators import kernels as K
 from ..operators import models as M
 from ..operators import portfolio as P
 from ..operators import windows as W
+from ..operators.quantiles import exact_quantiles
 from ..sources import panels
 from .catalog import query, rd, sql
 from .research import _EDGE, _TURN, aligned, ranked_penalties, scored
@@ -99,7 +100,9 @@ def smoothed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("pw", "SELECT ticker, round(avg(CASE WHEN abs(ret) > 0.001 THEN 1.0 ELSE 0.0 END), 6) + 0 AS active, round(quantile_cont(sig, 0.9), 6) + 0 AS q90, round(median(sig), 6) + 0 AS q50 FROM pw GROUP BY 1"))
 def quantiles_and_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panels.weekly(spark, sf_dir)
-    return p.groupBy("ticker").agg(rd(F.avg((F.abs("ret") > 0.001).cast("double")), "active"), rd(F.percentile("sig", F.lit(0.9)), "q90"), rd(F.percentile("sig", F.lit(0.5)), "q50"))
+    active = p.groupBy("ticker").agg(rd(F.avg((F.abs("ret") > 0.001).cast("double")), "active"))
+    q = exact_quantiles(p, "sig", {"q90": 0.9, "q50": 0.5}, "ticker", passes=1)
+    return active.join(q, "ticker", "left").select("ticker", "active", rd("q90"), rd("q50"))
 
 
 def _holdout(spark: SparkSession, sf_dir: str, last: int) -> DataFrame:
