@@ -7,15 +7,15 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from functools import partial
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import matrices
+
 #: TICKER_start_end.suffix, with an optional prefix that ends in two underscores.
 ARCHIVE = r"^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})(?:_.*)?\.(?:7z|zip)$"
 
@@ -86,18 +86,18 @@ def number(text: str | None) -> float | None:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(date, ticker, value) from a wide CSV or Parquet, or (row, col, value) from .npy / .npz of two dimensions."""
+    """(date, ticker, value) from a wide CSV, Parquet or pickled table, or (row, col, value) from .npy / .npz of two dimensions."""
     kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("pkl", "pickle"):
+        return matrices.read_pickle(spark, path)
+    if kind == "npy":
+        return matrices.read_npy(spark, path)
+    if kind == "npz":
+        return matrices.read_npz(spark, path)
     if kind in ("parquet", "pq"):
         wide = spark.read.parquet(path)
     elif kind == "csv":
         wide = spark.read.option("header", True).csv(path)
-    elif kind in ("npy", "npz"):
-        raw = spark.read.format("binaryFile").load(path).select("content")
-        wrong = [r[0] for r in raw.mapInArrow(partial(_dimensions, kind), "n int").collect() if r[0] != 2]
-        if wrong:
-            raise ValueError(f"a matrix of two dimensions is needed, not {wrong[0]}")
-        return raw.mapInArrow(partial(_cells, kind), "row int, col int, value double")
     else:
         raise ValueError(f"no reader for .{kind}")
     date, *cols = wide.columns
@@ -106,28 +106,6 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.expr("try_cast(date as date)").alias("date"), "ticker", F.when(~F.isnan(value), value).alias("value"))
 
 
-def _loaded(kind: str, raw: bytes) -> np.ndarray:
-    m = np.load(io.BytesIO(raw), allow_pickle=False)
-    return m[m.files[0]] if kind == "npz" else m
-
-
-def _dimensions(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_loaded(kind, raw.as_py()).ndim for raw in b.column("content")], pa.int32())], names=["n"])
-
-
-def _cells(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of a binary matrix, a stretch of rows at a time; NaN is null."""
-    for b in batches:
-        for raw in b.column("content"):
-            m = _loaded(kind, raw.as_py())
-            step = max(1, 100_000 // max(1, m.shape[1]))
-            for i in range(0, len(m), step):
-                part = m[i : i + step].astype(float)
-                row, col = np.indices(part.shape)
-                yield pa.RecordBatch.from_arrays([pa.array((row + i).ravel().astype(np.int32)), pa.array(col.ravel().astype(np.int32)), pa.array(part.ravel(), from_pandas=True)], names=["row", "col", "value"])
-
-
 def unless_done(jobs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """Jobs whose output doesn't exist yet."""
     return jobs.join(done.select(*keys).distinct(), list(keys), "left_anti")
