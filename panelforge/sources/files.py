@@ -6,7 +6,7 @@ import gzip
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import matrices
+from .remote import listing
 
 #: TICKER_start_end.suffix, with an optional prefix that ends in two underscores.
 ARCHIVE = r"^(?:.*__)?([A-Z][A-Z0-9.-]*)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})(?:_.*)?\.(?:7z|zip)$"
 
+#: What an order book has on each level.
+SIDES = ("bid", "ask", "bid_size", "ask_size")
+
 
 def archive_index(names: DataFrame, name: str = "archive") -> DataFrame:
     """(ticker, start, end, archive, daily): unparsable names keep nulls, tickers with a dot go."""
@@ -30,7 +34,7 @@ def archive_index(names: DataFrame, name: str = "archive") -> DataFrame:
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The index of a folder's files; file contents aren't read."""
-    return archive_index(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("archive")))
+    return archive_index(listing(spark, folder).select(F.col("path").alias("archive")))
 
 
 def file_status(files: DataFrame, size: str, parsed: Column, rows: str) -> DataFrame:
@@ -43,10 +47,15 @@ def read_snapshots(spark: SparkSession, path: str, levels: int = 10) -> DataFram
     """Order-book CSV files (`time`, `bid_N`, ` bid_size_N` with its blank, ...) in long form by level."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     raw = raw.toDF(*[c.strip() for c in raw.columns]).withColumn("file", F.input_file_name())
+    return by_level(raw, levels, "file", "time")
+
+
+def by_level(wide: DataFrame, levels: int, *keep: str) -> DataFrame:
+    """Columns `bid_N`, `ask_N`, `bid_size_N`, `ask_size_N` as rows (keep..., level, bid, ask, bid_size, ask_size)."""
     num = lambda c: F.expr(f"try_cast(`{c}` as double)")
-    have = [n for n in range(1, levels + 1) if f"bid_{n}" in raw.columns]
-    book = F.array(*[F.struct(F.lit(n).alias("level"), *(num(f"{s}_{n}").alias(s) for s in ("bid", "ask", "bid_size", "ask_size"))) for n in have])
-    return raw.select("file", "time", F.explode(book).alias("b")).select("file", "time", "b.*")
+    have = [n for n in range(1, levels + 1) if f"bid_{n}" in wide.columns]
+    book = F.array(*[F.struct(F.lit(n).alias("level"), *(num(f"{s}_{n}").alias(s) for s in SIDES)) for n in have])
+    return wide.select(*keep, F.explode(book).alias("b")).select(*keep, "b.*")
 
 
 def read_daily_zips(spark: SparkSession, path: str, ticker: str, values: dict[str, str], start: str, end: str, tickers: list[str]) -> DataFrame:
@@ -131,3 +140,20 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     where = jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def append_blocks(spark: SparkSession, make: Callable[[str], DataFrame], blocks: Iterable[str], path: str, name: str) -> list[str]:
+    """Writes make(block) to the partition `name`=block for each block that isn't in the ledger; gives those written.
+
+    A partition is replaced whole before its block enters the ledger (`_done` in the folder), so
+    that a run that stopped anywhere can start again and adds nothing twice.  The ledger has one
+    row a block (a year, a month); blocks are names of letters, digits, dots and dashes.
+    """
+    done = {r[0] for r in read_or_empty(spark, f"{path}/_done", "block string").collect()}
+    todo = [b for b in dict.fromkeys(blocks) if b not in done]
+    if wrong := [b for b in todo if not re.fullmatch(r"[A-Za-z0-9.-]+", b)]:
+        raise ValueError(f"no name for a block: {wrong[0]}")
+    for b in todo:
+        make(b).drop(name).write.mode("overwrite").parquet(f"{path}/{name}={b}")
+        spark.createDataFrame([(b,)], "block string").coalesce(1).write.mode("append").parquet(f"{path}/_done")
+    return todo

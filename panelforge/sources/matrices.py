@@ -75,7 +75,7 @@ def read_npy(spark: SparkSession, path: str, cells: int = CELLS) -> DataFrame:
     Tasks read a range of bytes each, of `cells` cells at most (or one row, or one column where a
     file keeps columns together).  Other than two dimensions, or objects, are an error.
     """
-    head = listing(spark, path, "*.npy").select("path").mapInArrow(_headers, "path string, first long, rows long, cols long, fortran boolean, kind string, at long, wrong string")
+    head = listing(spark, path, ".npy").select("path").mapInArrow(_headers, "path string, first long, rows long, cols long, fortran boolean, kind string, at long, wrong string")
     if bad := head.where("wrong is not null").select("path", "wrong").first():
         raise ValueError(f"{bad[1]}: {bad[0]}")
     head = head.drop("wrong")
@@ -102,7 +102,7 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of the first matrix of an .npz file, as one stream, since it may be compressed."""
-    return listing(spark, path, "*.npz").select("path").mapInArrow(_zipped, CELL)
+    return listing(spark, path, ".npz").select("path").mapInArrow(_zipped, CELL)
 
 
 def _put(path: str, rows: int, cols: int, high: int, key: tuple, table: pa.Table) -> pa.Table:
@@ -179,7 +179,7 @@ def join_npy(spark: SparkSession, folder: str, out: str) -> int:
 
     Only the parts' names meet in that task.
     """
-    names = listing(spark, folder, "rows-*.npy").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    names = listing(spark, folder, ".npy").where("path rlike '/rows-[0-9]+[.]npy$'").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     return names.mapInArrow(partial(_joined, out), "parts long").collect()[0][0]
 
 
@@ -235,4 +235,4 @@ def read_pickle(spark: SparkSession, path: str) -> DataFrame:
     Only the classes that make up such a table are loaded, anything else is an error.  A pickle
     has no parts, so that a task holds one whole.
     """
-    return listing(spark, path).where("path rlike '[.](pkl|pickle)$'").select("path").mapInArrow(_pickled, "date date, ticker string, value double")
+    return listing(spark, path, ".pkl", ".pickle").select("path").mapInArrow(_pickled, "date date, ticker string, value double")

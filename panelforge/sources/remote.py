@@ -15,10 +15,19 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(path)
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of the files at or under a path; contents aren't read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return raw.load(path).select("path", "length")
+def listing(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
+    """(path, length) of the files at or under a path with one of the suffixes; contents aren't read.
+
+    Names and lengths alone pass the driver, as in any listing of Spark's, which leaves out empty files.
+    """
+    where, at = file_system(path.rstrip("/"))
+    top = where.get_file_info(at)
+    if top.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [top] if top.type == fs.FileType.File else where.get_file_info(fs.FileSelector(at, recursive=True))
+    prefix = at if isinstance(where, fs.LocalFileSystem) else path.rstrip("/")
+    rows = [(prefix + f.path[len(at) :], f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffixes or "")]
+    return spark.createDataFrame(sorted(rows), "path string, length long")
 
 
 def spread(files: DataFrame, n: int) -> DataFrame:
