@@ -32,10 +32,10 @@ def gross_spread(scores: DataFrame, q: float = 0.2) -> DataFrame:
     return spread(scores, q, "date")
 
 
-def sector_neutral_spread(scores: DataFrame, q: float = 0.2, least: int = 4) -> DataFrame:
-    """The mean over sectors with at least `least` names of their spreads."""
-    wide = scores.withColumn("_n", F.count("score").over(Window.partitionBy("date", "sector"))).where(F.col("_n") >= least)
-    return spread(wide, q, "date", "sector").groupBy("date").agg(F.avg("spread").alias("spread"), F.count("spread").alias("sectors"))
+def sector_neutral_spread(scores: DataFrame, q: float = 0.2, least: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """The mean over sectors with at least `least` names of their spreads; `by` keys runs apart."""
+    wide = scores.withColumn("_n", F.count("score").over(Window.partitionBy(*by, "date", "sector"))).where(F.col("_n") >= least)
+    return spread(wide, q, *by, "date", "sector").groupBy(*by, "date").agg(F.avg("spread").alias("spread"), F.count("spread").alias("sectors"))
 
 
 def vol_scaled_spread(scores: DataFrame, q: float = 0.2, vol: str = "vol") -> DataFrame:

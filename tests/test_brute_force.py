@@ -205,6 +205,51 @@ def test_parameter_sweep(spark, sf, scores):
     assert r.n_obs == len(pnl) and r.mean == pytest.approx(np.mean(pnl), abs=1e-9) and r.sharpe == pytest.approx(np.mean(pnl) / np.std(pnl, ddof=1), rel=1e-6)
 
 
+def test_static_sweep(spark, sf, scores):
+    cut = int(scores["t"].nunique() * 0.9)
+    early, late = scores[scores["t"] < cut], scores[scores["t"] >= cut]
+    pairs = scores.groupby("ticker").size()
+    table = lambda rows, c: rows.pivot(index="t", columns="ticker", values=c)[pairs.index[pairs >= 30]]
+    x, y, future, ret = table(early, "score"), table(early, "ret"), table(late, "score"), table(late, "ret")
+    mx, sx, my, sy = x.mean(), x.std(ddof=0), y.mean(), y.std(ddof=0)
+    zx, zy, zf = ((x - mx) / sx).fillna(0.0), ((y - my) / sy).fillna(0.0), ((future - mx) / sx).fillna(0.0)
+    sector = scores.groupby("ticker")["sector"].first()
+    same = sector[zx.columns].to_numpy()[:, None] == sector[zx.columns].to_numpy()[None]
+    sharpe = lambda v: np.mean(v) / np.std(v, ddof=1) * 252**0.5
+
+    def spread(p, r):
+        k = max(1, math.floor(len(p) * 0.2))
+        order = sorted(p.index, key=lambda c: (p[c], c))
+        return r[order[-k:]].mean() - r[order[:k]].mean()
+
+    want = {}
+    for lam in research.STATIC:
+        block = np.zeros(same.shape)
+        for s in sector.unique():
+            at = np.flatnonzero(sector[zx.columns] == s)
+            if len(at) >= 4:
+                block[np.ix_(at, at)] = slow_ridge(zx.to_numpy()[:, at], zy.to_numpy()[:, at], lam)
+        own = np.diag((zx * zy).sum() / ((zx**2).sum() + lam))
+        off = block * (1 - np.eye(len(same)))
+        for model, w in {"dense": slow_ridge(zx.to_numpy(), zy.to_numpy(), lam), "diagonal_only": own, "sector_block": block, "sector_offdiag": off}.items():
+            p = ((zf @ w).set_axis(zx.columns, axis=1) * sy + my).round(9).where(ret.notna())
+            plain, neutral, ic = [], [], []
+            for t in p.index:
+                a, r = p.loc[t].dropna(), ret.loc[t].dropna()
+                plain.append(spread(a, r))
+                parts = [spread(g, r[g.index]) for _, g in a.groupby(sector) if len(g) >= 4]
+                neutral += [np.mean(parts)] if parts else []
+                ic.append(a.rank().corr(r.rank()))
+            want[model, lam] = (sharpe(neutral), sharpe(plain), np.nanmean(ic))
+    rows = research.static_sweep(spark, sf).collect()
+    assert len(rows) == len(want) == 28
+    for r in rows:
+        assert (r.sharpe_neutral, r.sharpe, r.ic) == pytest.approx(want[r.model, r.lam], abs=1e-5), (r.model, r.lam)
+    for model in {m for m, _ in want}:
+        order = sorted((lam for m, lam in want if m == model), key=lambda lam: (*(-round(v, 6) for v in want[model, lam]), lam))
+        assert [r.lam for r in sorted((r for r in rows if r.model == model), key=lambda r: r.rank)] == order
+
+
 @pytest.mark.parametrize("query, last", [(research.lambda_select, 0), (extras.lambda_holdout_share, 21), (extras.lambda_holdout_days, 13)])
 def test_penalties(spark, sf, scores, query, last):
     want = {}
