@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -504,28 +504,31 @@ def static_weights(train: DataFrame, lams: tuple[float, ...]) -> DataFrame:
     """(model, lam, window, src, tgt, w) of the dense, own-signal, sector-block and block without own-signal ridge, each fitted once for all penalties."""
     z = M.standard_scores(M.standard_scores(train, train, "x", "window"), train, "y", "window")
     sums = z.groupBy("window", "ticker").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-    own = sums.withColumn("lam", F.explode(F.array(*map(F.lit, lams)))).select("window", "lam", F.col("ticker").alias("src"), F.col("ticker").alias("tgt"), (F.col("xy") / (F.col("xx") + F.col("lam"))).alias("w"))
-    block = M.fit_grid(train, lams, "window", "sector").drop("sector").persist()  # taken with and without its diagonal
-    models = {"dense": M.fit_grid(train, lams, "window"), "diagonal_only": own, "sector_block": block, "sector_offdiag": M.off_diagonal(block)}
-    # A name of a sector too small to fit has coefficients of 0, so that its mean is predicted.
-    none = own.withColumn("w", F.lit(0.0))
-    return reduce(DataFrame.unionByName, (w.unionByName(none).withColumn("model", F.lit(name)) for name, w in models.items()))
+    grid = sums.withColumn("lam", F.explode(F.array(*map(F.lit, lams))))
+    # Of a name's own pair every model has a row: of a sector too small to fit it is 0, so that the name's mean is predicted.
+    model = lambda *names: F.explode(F.array(*map(F.lit, names)))
+    own = grid.withColumn("model", model("dense", "diagonal_only", "sector_block", "sector_offdiag"))
+    own = own.select("window", "lam", F.col("ticker").alias("src"), F.col("ticker").alias("tgt"), F.when(F.col("model") == "diagonal_only", F.col("xy") / (F.col("xx") + F.col("lam"))).otherwise(0.0).alias("w"), "model")
+    dense = M.fit_grid(train, lams, "window").withColumn("model", F.lit("dense"))
+    block = M.fit_grid(train, lams, "window", "sector").drop("sector").withColumn("model", model("sector_block", "sector_offdiag")).where("model = 'sector_block' or src <> tgt")
+    return own.unionByName(dense).unionByName(block)
 
 
 @query()
 def static_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four models by seven penalties, fitted on the first nine tenths of the dates and ranked on the rest: by the
     sector-neutral Sharpe ratio, then the plain one, then the mean rank correlation, then the smaller penalty."""
-    s = scored(spark, sf_dir)
+    few = spark.sparkContext.defaultParallelism
+    s = scored(spark, sf_dir).coalesce(few).persist()  # a row a week and name; every step starts from it or from its training rows
     n = s.select(F.countDistinct("t"), F.max("t")).first()
     cut = int(n[0] * EARLY)
     ranges = spark.createDataFrame([(0, 0, cut, cut, n[1] + 1)] if n[0] else [], "window int, tr0 int, tr1 int, te0 int, te1 int")
     rows = s.withColumnsRenamed({"score": "x", "ret": "y"})
-    train = M.in_window(rows, ranges, "tr0", "tr1").join(M.covered(rows, ranges), ["window", "ticker"], "left_semi").select("window", "t", "ticker", "sector", "x", "y")
+    train = M.in_window(rows, ranges, "tr0", "tr1").join(M.covered(rows, ranges), ["window", "ticker"], "left_semi").select("window", "t", "ticker", "sector", "x", "y").coalesce(few).persist()
     test = M.standard_scores(M.in_window(rows, ranges, "te0", "te1").select("window", "t", "ticker", "x"), train, "x", "window")
     p = M.in_return_units(M.predict(test, static_weights(train, STATIC), "window", also=("model", "lam")), train, "window")
     # Rounded, so that the order of sums doesn't decide between equal scores; read by three measures.
-    p = p.withColumn("score", F.round("score", 9)).join(s.drop("score"), ["t", "ticker"]).persist()
+    p = p.withColumn("score", F.round("score", 9)).join(s.drop("score"), ["t", "ticker"]).coalesce(few).persist()
     run = ("model", "lam")
     neutral = P.sector_neutral_spread(p, by=run).groupBy(*run).agg(X.sharpe("spread").alias("sharpe_neutral"), F.count("spread").alias("dates"))
     plain = P.spread(p, 0.2, *run, "date").groupBy(*run).agg(X.sharpe("spread").alias("sharpe"))
