@@ -17,6 +17,7 @@ from ..operators import moments as G
 from ..operators import portfolio as P
 from ..operators import trees as T
 from ..operators import windows as W
+from ..session import cut
 from ..sources import panels
 from .catalog import query, rd, sql
 
@@ -518,17 +519,16 @@ def static_weights(train: DataFrame, lams: tuple[float, ...]) -> DataFrame:
 def static_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four models by seven penalties, fitted on the first nine tenths of the dates and ranked on the rest: by the
     sector-neutral Sharpe ratio, then the plain one, then the mean rank correlation, then the smaller penalty."""
-    few = spark.sparkContext.defaultParallelism
-    s = scored(spark, sf_dir).coalesce(few).persist()  # a row a week and name; every step starts from it or from its training rows
+    s = cut(scored(spark, sf_dir))  # a row a week and name; every step starts from it or from its training rows
     n = s.select(F.countDistinct("t"), F.max("t")).first()
-    cut = int(n[0] * EARLY)
-    ranges = spark.createDataFrame([(0, 0, cut, cut, n[1] + 1)] if n[0] else [], "window int, tr0 int, tr1 int, te0 int, te1 int")
+    split = int(n[0] * EARLY)
+    ranges = spark.createDataFrame([(0, 0, split, split, n[1] + 1)] if n[0] else [], "window int, tr0 int, tr1 int, te0 int, te1 int")
     rows = s.withColumnsRenamed({"score": "x", "ret": "y"})
-    train = M.in_window(rows, ranges, "tr0", "tr1").join(M.covered(rows, ranges), ["window", "ticker"], "left_semi").select("window", "t", "ticker", "sector", "x", "y").coalesce(few).persist()
+    train = cut(M.in_window(rows, ranges, "tr0", "tr1").join(M.covered(rows, ranges), ["window", "ticker"], "left_semi").select("window", "t", "ticker", "sector", "x", "y"))
     test = M.standard_scores(M.in_window(rows, ranges, "te0", "te1").select("window", "t", "ticker", "x"), train, "x", "window")
     p = M.in_return_units(M.predict(test, static_weights(train, STATIC), "window", also=("model", "lam")), train, "window")
     # Rounded, so that the order of sums doesn't decide between equal scores; read by three measures.
-    p = p.withColumn("score", F.round("score", 9)).join(s.drop("score"), ["t", "ticker"]).coalesce(few).persist()
+    p = cut(p.withColumn("score", F.round("score", 9)).join(s.drop("score"), ["t", "ticker"]))
     run = ("model", "lam")
     neutral = P.sector_neutral_spread(p, by=run).groupBy(*run).agg(X.sharpe("spread").alias("sharpe_neutral"), F.count("spread").alias("dates"))
     plain = P.spread(p, 0.2, *run, "date").groupBy(*run).agg(X.sharpe("spread").alias("sharpe"))

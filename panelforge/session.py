@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 DEFAULTS = {
@@ -26,3 +28,11 @@ def session(master: str | None = None, partitions: int | None = None) -> SparkSe
         if not given.contains(name):
             spark.conf.set(name, value)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the cluster names, so that plans built on it start there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))  # a local folder in tests alone
+    return df.checkpoint()
