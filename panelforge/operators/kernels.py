@@ -121,15 +121,34 @@ def kmeans(x: np.ndarray, k: int, starts: int = 50, seed: int = 3) -> np.ndarray
     return np.array([names[v] for v in best[1]])
 
 
-def cocluster(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column labels from singular vectors of the degree-scaled matrix of absolute weights, the first left out."""
+def bipartite_vectors(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular vectors of the degree-scaled matrix of absolute weights, over the roots of degrees: rows' and columns', the first left out.
+
+    A name without weight lies at 0, and vectors of no singular value count as 0: what rounding makes of them means nothing.
+    """
     a = np.abs(np.nan_to_num(w))
-    dr, dc = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12)), 1 / np.sqrt(np.maximum(a.sum(0), 1e-12))
-    u, _, vt = np.linalg.svd(dr[:, None] * a * dc[None], full_matrices=False)
+    dr, dc = (np.where(d > 1e-12, 1 / np.sqrt(np.maximum(d, 1e-12)), 0.0) for d in (a.sum(1), a.sum(0)))
+    u, s, vt = np.linalg.svd(dr[:, None] * a * dc[None], full_matrices=False)
+    real = (s > 1e-9)[1:]
+    return dr[:, None] * u[:, 1:] * real, dc[:, None] * vt[1:].T * real
+
+
+def cocluster_of(vectors: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column labels from the bipartite_vectors(), which serve every k."""
     g = max(1, int(np.ceil(np.log2(k))))
-    z = np.vstack([dr[:, None] * u[:, 1 : g + 1], dc[:, None] * vt[1 : g + 1].T])
-    lab = kmeans(z, k)
-    return lab[: len(a)], lab[len(a) :]
+    lab = kmeans(np.vstack([v[:, :g] for v in vectors]), k)
+    return lab[: len(vectors[0])], lab[len(vectors[0]) :]
+
+
+def cocluster(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return cocluster_of(bipartite_vectors(w), k)
+
+
+def discovered(p: np.ndarray, q: float) -> np.ndarray:
+    """Benjamini-Hochberg at level q over one group's p values; those that are NaN take no part."""
+    given = np.sort(p[np.isfinite(p)])
+    under = np.flatnonzero(given <= q * np.arange(1, len(given) + 1) / max(1, len(given)))
+    return p <= given[under[-1]] if len(under) else np.zeros(p.shape, bool)
 
 
 def spectral(a: np.ndarray, k: int) -> np.ndarray:
