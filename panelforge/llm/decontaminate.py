@@ -20,6 +20,7 @@ measured, and otherwise sorts both and splits hot fingerprints.
 Definitions: words are runs of 0-9, a-z, A-Z (as lower case) and of characters above
 U+007F.  Null or wordless texts have 0 words and no hit.  Repeated rows come back each.
 Items without words take no part; items with a null id do, but can't be listed.
+Without documents the result is empty; without items every document has no hit.
 """
 
 from __future__ import annotations
@@ -137,8 +138,11 @@ def bit_map(prints: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def item_prints(items: DataFrame, key: str, text: str) -> tuple[DataFrame, tuple[int, ...]]:
-    """Distinct fingerprints of the items with the ids that have them, and the lengths of short items."""
+def item_prints(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, tuple[int, ...]]:
+    """Distinct fingerprints of the items with a number each, the numbers' items (print, item), and the lengths of short items.
+
+    A passage that many items share is one fingerprint and as many rows of the second table: no row holds all of its items.
+    """
     rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +159,16 @@ def item_prints(items: DataFrame, key: str, text: str) -> tuple[DataFrame, tuple
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d + run.first)), pa.array(kind), pa.array(gram), pa.array(ahead), pa.array(around, pa.string())], names=["item", "kind", "gram", "ahead", "around"])
 
     found = rows.mapInArrow(prints, "item string, kind int, gram long, ahead int, around string")
-    return base.checkpoint(found.groupBy("kind", "gram", "ahead", "around").agg(F.collect_set("item").alias("items"))), short
+    found = base.checkpoint(found.distinct())
+    same = ["kind", "gram", "ahead", "around"]
+    numbered = base.checkpoint(found.select(*same).distinct().withColumn("print", F.monotonically_increasing_id()))
+    return numbered, found.where("item is not null").join(numbered, same).select("print", "item"), short
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Of every row: key, n_words, n_hit, items (ids as sorted strings), and its hit spans as (first, end) word places."""
     base.arrow(docs.sparkSession)
-    theirs, short = item_prints(items, item_key, item_text)
+    theirs, members, short = item_prints(items, item_key, item_text)
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(theirs))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(3), text).alias("same"), F.col(text).cast("string").alias("text"))
 
@@ -183,8 +190,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     kind = dict(rows.dtypes)["key"]
     found = rows.mapInArrow(mine, f"key {kind}, same long, {FINGERPRINT}, n_words long")
-    met = found.join(theirs.select("kind", "gram", F.col("ahead").alias("their_ahead"), F.col("around").alias("their_around"), "items"), ["kind", "gram"], "left")
-    met = met.where("kind < 0 or items is not null")
+    met = found.join(theirs.select("kind", "gram", F.col("ahead").alias("their_ahead"), F.col("around").alias("their_around"), "print"), ["kind", "gram"], "left")
+    met = met.where("kind < 0 or print is not null")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,15 +202,19 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                 ok = back + on >= (kind or SPAN) if kind >= 0 else False
                 first.append(place - back if ok else None)
                 end.append(place + on if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), b.column("kind"), b.column("n_words"), pa.array(first, pa.int64()), pa.array(end, pa.int64()), b.column("items")], names=["key", "same", "kind", "n_words", "first", "end", "items"])
-
-    hits = met.mapInArrow(extend, f"key {kind}, same long, kind int, n_words long, first long, end long, items array<string>")
-    hit = F.col("first").isNotNull()
-    per = hits.groupBy("key", "same").agg(
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), b.column("kind"), b.column("n_words"), pa.array(first, pa.int64()), pa.array(end, pa.int64()), b.column("print")], names=["key", "same", "kind", "n_words", "first", "end", "print"])
+
+    # A row for each document and each meeting; read for the spans and for the items.
+    hits = base.checkpoint(met.mapInArrow(extend, f"key {kind}, same long, kind int, n_words long, first long, end long, print long"))
+    listed = hits.where("first is not null").select("key", "same", "print").distinct().join(members, "print").select("key", "same", "item").distinct()
+    none = lambda t: F.lit(None).cast(t)
+    both = hits.where("kind < 0 or first is not null").select("key", "same", "kind", "n_words", "first", "end", none("string").alias("item"))
+    both = both.unionByName(listed.select("key", "same", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n_words"), none("long").alias("first"), none("long").alias("end"), "item"))
+    per = both.groupBy("key", "same").agg(
         F.sum((F.col("kind") < 0).cast("int")).alias("times"),
         F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(hit, F.struct("first", "end")))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
+        F.sort_array(F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "end")))).alias("spans"),
+        F.sort_array(F.collect_set("item")).alias("items"),
     )
     covered = F.aggregate(
         "spans",

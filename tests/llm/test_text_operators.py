@@ -131,6 +131,19 @@ def test_decontamination_is_exact(spark):
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs(spark, rows[:5]), it.limit(0)).collect())
 
 
+def test_items_of_a_shared_passage_are_listed_by_rows(spark):
+    """A passage of 3,000 items, one of them without an id, in a document that comes twice: every id, once."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    items = [(f"i{i}", f"{passage} own{i} " + " ".join(f"x{i}y{j}" for j in range(15))) for i in range(3000)] + [(None, passage), ("alone", "quite another text of seven words")]
+    it = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, f"before {passage} after"), (1, f"before {passage} after"), (2, "nothing of it"), (3, None), (4, items[7][1])]
+    got = sorted(decontaminate.contamination(docs(spark, rows), it).collect(), key=lambda r: r.doc_id)
+    every = sorted(f"i{i}" for i in range(3000))
+    assert [(r.doc_id, r.n_hit, r["items"] == every) for r in got] == [(1, 20, True), (1, 20, True), (2, 0, False), (3, 0, False), (4, 36, True)]
+    prints, members, _ = decontaminate.item_prints(it, "item_id", "text")
+    assert {f.dataType.simpleString() for f in members.schema} == {"bigint", "string"} and prints.count() == prints.select("print").distinct().count()
+
+
 def similarity(x, y):
     keys = set(x) | set(y)
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in keys) for i in set(x) & set(y))
