@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels, metrics
+from . import kernels, metrics, moments
 from .edges import edge_matrix
 
 
@@ -56,7 +56,7 @@ def trading_matrices(edges: DataFrame, levels: tuple[float, ...], counts: tuple[
             out += [(level, least, key[0], names[x], names[y], float(a[x, y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["tstat_min", "min_count", "window", "tgt", "src", "w"])
 
-    return edges.groupBy("window").applyInPandas(runs, "tstat_min double, min_count int, window int, tgt string, src string, w double")
+    return moments.side_by_side(edges, "window").groupBy("window").applyInPandas(runs, "tstat_min double, min_count int, window int, tgt string, src string, w double")
 
 
 def block_of(labels: tuple[np.ndarray, np.ndarray], score: np.ndarray, n: np.ndarray, usable: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
@@ -107,7 +107,7 @@ def cluster_blocks(edges: DataFrame, rates: tuple[float, ...], counts: tuple[int
                         break
         return pd.DataFrame(out, columns=["q", "min_count", "k", "window", "mask", "score", "side", "ticker", "w"])
 
-    return edges.groupBy("window").applyInPandas(runs, "q double, min_count int, k int, window int, mask int, score double, side string, ticker string, w double")
+    return moments.side_by_side(edges, "window").groupBy("window").applyInPandas(runs, "q double, min_count int, k int, window int, mask int, score double, side string, ticker string, w double")
 
 
 def matrix_positions(weights: DataFrame, signal: DataFrame, dates: DataFrame, names: DataFrame, *by: str) -> DataFrame:

@@ -35,7 +35,7 @@ def edge_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, ranges, e = _walked(spark, sf_dir)
     run = ("tstat_min", "min_count")
     dates = V.calendar(ranges, p, 5)
-    weights = V.trading_matrices(e, LEVELS, COUNTS, targets=8, sources=8)
+    weights = cut(V.trading_matrices(e, LEVELS, COUNTS, targets=8, sources=8))
     book = cut(V.matrix_positions(weights, p, dates, p.select("ticker").distinct(), *run))
     runs = spark.createDataFrame(list(product(LEVELS, COUNTS)), "tstat_min double, min_count int")
     daily = cut(V.daily_results(book, p, runs, dates, 0.0, *run))
