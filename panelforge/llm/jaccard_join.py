@@ -32,6 +32,14 @@ in blocks, members outside the largest component with all, until joined, either
 bucket or in a cluster of buckets at once, where that makes fewer blocks.  All comparisons are exact, on whole sets, and a set is sent once to its star's
 group.  Buckets with the same members are one.
 
+Wide clusters.  Texts that have one passage in common, and little else, make clusters that grow
+with the table, and their blocks with its square.  A cluster of more than one block is
+therefore indexed anew by whole sets: its tokens are counted within it and ordered from
+rare to frequent, and a set is indexed by each of its first d + 1 that another has too.
+The first token that two linked sets have in common is among these of both, as either set
+lacks at most d of its own.  A set with more than d tokens of its own in its cluster
+links with none of it and is sent nowhere.
+
 Tokens in so many windows that they would weigh on one task (at least a hundred-thousandth
 of all window tokens, so at most that many of them) are found first; they are
 known to be frequent and are never dealt by token.
@@ -51,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import base, spans
+from . import base, near_dedup, spans
 from .components import components
 from .near_dedup import HOME, Forest, blocks, mixed, runs
 
@@ -166,12 +174,12 @@ def hot_tokens(signed: DataFrame) -> np.ndarray:
 
 
 def window_rows(docs: DataFrame, text: str, hot: np.ndarray) -> DataFrame:
-    """(deal, token, node, n): window tokens of sets of four or more tokens (smaller ones link with equal ones only).
+    """(token, node, n): window tokens of sets of four or more tokens (smaller ones link with equal ones only).
 
-    n is 0 for a token to be counted, -1 for a hot one, and the set's size in one further row a set.
-    Rows are to be dealt by `deal`: the token where it is to be counted, else the node.
+    n is 0 for a token to be counted, -1 - token for a hot one, and the set's size in one further row a set.
+    Rows are to be dealt by `token`, which is a negative hash of the node where nothing is to be counted.
     """
-    schema = "deal long, token long, node long, n long"
+    schema = "token long, node long, n long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base.tidy()
@@ -188,11 +196,11 @@ def window_rows(docs: DataFrame, text: str, hot: np.ndarray) -> DataFrame:
                 t, owner = tokens[at], node[fresh][who]
                 place = np.minimum(np.searchsorted(hot, t), max(0, len(hot) - 1))
                 very = hot[place] == t if len(hot) else np.zeros(len(t), bool)
-                deal = np.where(very, owner, spans.mix(t).view(np.int64))
-                heads = node[fresh]
-                cols = [np.concatenate([deal, heads]), np.concatenate([t.view(np.int64), np.full(len(heads), -1)]), np.concatenate([owner, heads]), np.concatenate([-very.astype(np.int64), n[fresh]])]
+                heads, t = node[fresh], t.view(np.int64)
+                uncounted = lambda nodes: nodes | np.int64(-1 << 63)
+                cols = [np.concatenate([np.where(very, uncounted(owner), t), uncounted(heads)]), np.concatenate([owner, heads]), np.concatenate([np.where(very, -1 - t, 0), n[fresh]])]
                 for i in range(0, len(cols[0]), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in cols], names=["deal", "token", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in cols], names=["token", "node", "n"])
             base.trim()
 
     return docs.select(F.col(text).cast("string")).mapInArrow(emit, schema)
@@ -228,7 +236,8 @@ def combos(n: int, tokens: np.ndarray, counts: np.ndarray, singles: int) -> np.n
 def index(counted: DataFrame) -> DataFrame:
     """(bucket, node) of every set with a combination; counted: window_rows with c, the windows that have the token."""
     frequency = F.when(F.col("n") < 0, F.lit(CAP)).otherwise(F.least("c", F.lit(CAP - 1))).cast("long")
-    rows = counted.select("node", F.col("n").alias("n"), "token", frequency.alias("c"))
+    token = F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("token"))
+    rows = counted.select("node", F.col("n").alias("n"), token.alias("token"), frequency.alias("c"))
 
     def one(n: int, t: np.ndarray, c: np.ndarray) -> np.ndarray:
         new = np.append(True, t[1:] != t[:-1])[: len(t)]
@@ -319,13 +328,38 @@ def starred(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("head").desc()).mapInArrow(check, "a long, b long")
 
 
-def apart(rows: DataFrame) -> DataFrame:
-    """Blocks of groups of several kinds, in which every two sets of a bucket and of different kinds meet.
+def narrowed(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (node, n_bytes, bucket, kind, star) by which sets of wide clusters meet: their first tokens, by whole sets.
+
+    members: (node, n_bytes, kind, cluster), a node in one cluster.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = [np.frombuffer(t, np.int64) for t in b.column("tokens").to_pylist()]
+            for i in range(0, len(many), 256):
+                size = [len(t) for t in many[i : i + 256]]
+                owner = [np.repeat(np.asarray(b.column(c), np.int64)[i : i + 256], size) for c in ("cluster", "node")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, owner), pa.array(np.concatenate(many[i : i + 256]))], names=["cluster", "node", "token"])
+
+    tokens = members.select("cluster", "node").join(sets, "node").select("cluster", "node", "tokens").mapInArrow(emit, "cluster long, node long, token long")
+    both = tokens.withColumn("c", F.count("*").over(Window.partitionBy("cluster", "token"))).where("c > 1")
+    mine = Window.partitionBy("node")
+    placed = both.withColumns({"others": F.count("*").over(mine), "place": F.row_number().over(mine.orderBy("c", "token"))})
+    n = (F.col("n_bytes") / 8).cast("long")
+    first = placed.join(members.drop("cluster"), "node").where(F.col("place") <= F.floor(n * (100 - PERCENT) / 100) + 1 - n + F.col("others"))
+    rows = base.checkpoint(first.select("node", "n_bytes", F.xxhash64("cluster", "token").alias("bucket"), "kind"))
+    star = rows.groupBy("bucket").agg(F.max("node").alias("star"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return rows.join(star, "bucket").select("node", "n_bytes", "bucket", "kind", "star")
+
+
+def apart(rows: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Blocks of groups of several kinds, in which every two sets of a bucket and of different kinds meet that can link.
 
     rows: (node, n_bytes, bucket, kind, star).  Groups are buckets, or whole clusters of buckets that share
     members, where a cluster makes no more blocks than its buckets: copies of one text meet
     in hundreds of buckets, and unlike texts that pass on from one passage to the next make
-    clusters that are large.
+    clusters that are large.  With `sets`, clusters of more than one block are narrowed() first.
     """
     cols = ["node", "n_bytes", "bucket", "kind"]
     tops = mixed(rows, "bucket", "kind")
@@ -334,6 +368,12 @@ def apart(rows: DataFrame) -> DataFrame:
     placed = base.checkpoint(many.join(joined, "node").select(*cols, "cost", F.col("class").alias("cluster")))
     whole = placed.select("node", "n_bytes", "kind", "cluster").distinct()
     wide = mixed(whole, "cluster", "kind")
+    if sets is not None:
+        large = base.checkpoint(wide.where("ki * kj > 1").select("cluster"))
+        if not large.isEmpty():
+            again = apart(narrowed(base.checkpoint(whole.join(large, "cluster").select("node", "n_bytes", "kind", "cluster")), sets))
+            small = wide.join(large, "cluster", "left_anti")
+            return blocks(whole.select(*(F.col(c) for c in cols if c != "bucket"), "cluster"), small, "cluster", "kind").withColumnRenamed("cluster", "bucket").select(*again.columns).union(again)
     cost = placed.select("cluster", "bucket", "cost").distinct().groupBy("cluster").agg(F.sum("cost").alias("cost"))
     better = base.checkpoint(wide.join(cost, "cluster").where(F.col("ki") * F.col("kj").cast("long") <= F.col("cost")).drop("cost"))
     by_cluster = blocks(whole.select(*(F.col(c) for c in cols if c != "bucket"), "cluster"), better, "cluster", "kind")
@@ -380,11 +420,16 @@ def compared(rows: DataFrame) -> DataFrame:
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, component_size: the documents of its component, itself included."""
     base.arrow(docs.sparkSession)
+    with base.shuffles_dropped(docs.sparkSession):
+        return _components(docs, key, text)
+
+
+def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     signed = base.checkpoint(signed_rows(docs, key, text))
     parts = max(8, signed.count() // 20_000)
     nodes = base.checkpoint(signed.where("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.min("key").alias("key")).coalesce(parts))
-    dealt = window_rows(docs, text, hot_tokens(signed)).repartition("deal")
-    counted = dealt.withColumn("c", F.count("*").over(Window.partitionBy("deal", "token"))).where("n <> 0 or c > 1")
+    dealt = window_rows(docs, text, hot_tokens(signed)).repartition("token")
+    counted = dealt.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("n <> 0 or c > 1")
     keys = base.checkpoint(index(counted).coalesce(parts))
     # Buckets with the same members are one.
     best = F.max(F.struct("copies", "node"))
@@ -408,7 +453,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # Then blocks of what still holds several components.
     rows = shared.join(classes, "node", "left").join(nodes.select("node", (F.col("n") * 8).alias("n_bytes")), "node")
     rows = rows.select("node", "n_bytes", "bucket", named(classes, "class").alias("kind"), F.col("best.node").alias("star"))
-    left = base.checkpoint(apart(rows).coalesce(parts))
+    left = base.checkpoint(apart(rows, sets).coalesce(parts))
     if not left.isEmpty():
         more = base.checkpoint(compared(left.join(sets.select("node", "tokens"), "node")))
         if not more.isEmpty():

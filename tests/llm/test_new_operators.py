@@ -270,6 +270,33 @@ def test_windows_and_prefixes_always_suffice():
         assert all(set(jaccard_join.bands(m)) & set(jaccard_join.bands(k)) for m in (k, -(-4 * k // 5)))
 
 
+def test_texts_with_one_passage_in_common_are_not_compared_by_pairs(spark, monkeypatch):
+    """Blocks of a wide cluster would make rows by the square of its sets; those that can't link go nowhere, those that do are found."""
+    passage = words_of(64, 100_000)
+    texts = [" ".join(words_of(20, 100_000) + passage + words_of(20, 100_000)) for _ in range(120)]
+    texts += [" ".join([*t.split()[:-2], "other", "end"]) for t in texts[:10]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, compared = [], jaccard_join.compared
+    monkeypatch.setattr(jaccard_join, "compared", lambda rows: sent.append(rows.count()) or compared(rows))
+    monkeypatch.setattr(jaccard_join.near_dedup, "HOME", 16)
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(conf)
+    got = {r.doc_id: r.component_id for r in jaccard_join.ngram_components(d).collect()}
+    assert spark.conf.get(conf) == before
+    assert got == {i: i % 120 for i in range(130)}
+    assert sum(sent) < 2 * len(texts)
+
+
+def test_wide_clusters_lose_no_link(spark, tables, monkeypatch):
+    """The same components where every cluster of a few sets is indexed anew."""
+    monkeypatch.setattr(jaccard_join, "RARE", 1)
+    monkeypatch.setattr(jaccard_join.near_dedup, "HOME", 2)
+    used, narrowed = [], jaccard_join.narrowed
+    monkeypatch.setattr(jaccard_join, "narrowed", lambda *a: used.append(1) or narrowed(*a))
+    test_components_by_brute_force(spark, tables)
+    assert used
+
+
 def test_linked_sets_share_a_combination():
     """Random sets over few tokens, linked as loosely as can be."""
     rng = np.random.default_rng(3)
