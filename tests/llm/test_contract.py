@@ -223,6 +223,31 @@ def test_quality_features_and_scores_by_hand(spark, tables):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-((z - m.cut) / m.spread + np.log(0.3 / 0.7)))), rel=1e-6, abs=1e-9)
 
 
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    """More documents of a label than the 2,000 that were sampled: centre, scale, weights and cut are those of all."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["plain", "Words", "here", "are", "many.", "$$", "!"], int(rng.integers(2, 12)))) for _ in range(5200)]
+    y = [int(rng.random() < 0.5 + 0.4 * ("$$" not in t)) for t in texts]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    dealt, seen = quality.dealt, []
+    monkeypatch.setattr(quality, "dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    m = quality.learnt(d, labels, "doc_id", "text", "quality")
+    x, y = np.concatenate([quality.features(r) for r in spans.runs(pa.array(texts))]), np.array(y)
+    assert m.centre == pytest.approx(x.mean(0)) and m.scale == pytest.approx(x.std(0) + 1e-9)
+    rows = seen[0].collect()
+    assert sum(r.once for r in rows) == len(texts)
+    blocks = defaultdict(lambda: ([], []))
+    for r in rows:
+        blocks[r.block][r.y].append(m.scaled(np.frombuffer(r.x)))
+    assert len(blocks) > 1 and all(a and b for a, b in blocks.values())
+    diff = np.concatenate([g - np.array(bad) for bad, good in blocks.values() for g in good])
+    assert np.abs(1e-3 * m.w - (diff / (1 + np.exp(diff @ m.w))[:, None]).mean(0)).max() < 1e-6
+    raw = np.sort(m.scaled(x) @ m.w)
+    low = int((y == 0).sum())
+    assert m.cut == pytest.approx((raw[low - 1] + raw[low]) / 2) and m.spread == pytest.approx(max(1e-6, np.median(np.abs(raw - m.cut)) / 3))
+
+
 def test_pairwise_fit_is_stationary_and_svm_keeps_its_type():
     rng = np.random.default_rng(0)
     d = rng.normal(size=(500, 4)) + [0.5, -0.2, 0, 0]
