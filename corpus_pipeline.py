@@ -25,6 +25,8 @@ from panelforge.llm.secrets import secrets
 #: Predictions below this score don't count as any language.  With few languages the winner's
 #: share of the pairs lies well above it, so that in practice only "und" is rejected.
 LEAST_SCORE = 0.2
+#: Bytes of tiles that a worker remembers within a task.
+REMEMBERED = 32 << 20
 
 
 def row_id() -> Column:
@@ -63,8 +65,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and of the decoded bytes."""
-    return bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of every document, with the digests of ids and of the decoded bytes.
+
+    The stages before leave an executor more workers than cores; none holds a vocabulary after its task.
+    """
+    return bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=REMEMBERED, hold=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -10,6 +10,9 @@ Short pieces of text run through the same trees many at a time as rows of NumPy
 arrays (encode_rows); longer ones through one tree of their own (encode_long).
 
 Tiles of texts (spans.tiles) that a worker has met before are remembered, by their bytes.
+The vocabulary and these tiles are held from task to task, or dropped at each task's end:
+an executor has more workers than cores once a stage has run several Python steps at a
+time, and its tasks go round all of them, so that each would hold them.
 
 Definitions: null texts count as empty (0 tokens, no bytes); every row gets a
 result, repeated rows each their own, and an empty table an empty one; invalid ids
@@ -38,6 +41,8 @@ NONE = np.int64(1) << 40
 ROW_BYTES = 64
 #: Leaves of the trees that are worked on at a time, and bytes of text.
 CELLS, BLOCK = 100_000, 1 << 20
+#: Bytes of tiles that a worker remembers.
+REMEMBERED = 64 << 20
 
 
 class Vocabulary:
@@ -212,14 +217,14 @@ def encode_tiles(v: Vocabulary, pattern: str, tiles: list[str]) -> list[bytes]:
     return [coded[ps[0]] if len(ps) == 1 else b" ".join([coded[p] for p in ps]) for ps in pieces]
 
 
-def encode_column(texts: pa.Array, path: str, pattern: str) -> Iterator[tuple[bytes, bytes]]:
+def encode_column(texts: pa.Array, path: str, pattern: str, remembered: int = REMEMBERED) -> Iterator[tuple[bytes, bytes]]:
     """Ids of each text, as encode_tiles gives them, and the bytes that these ids decode to.
 
     A tile's ids are decoded once for each time they are made; a text's bytes are those
     of its tiles' ids in order, as decoding goes id by id.
     """
     v = vocabulary(path)
-    memo = base.kept(OWNER, (path, pattern), spans.Memo)
+    memo = base.kept(OWNER, (path, pattern, remembered), lambda: spans.Memo(remembered))
     for run in spans.runs(texts, BLOCK):
         a, b = spans.tiles(run.data, run.off)
         raw = run.data.tobytes()
@@ -241,28 +246,38 @@ def encode_column(texts: pa.Array, path: str, pattern: str) -> Iterator[tuple[by
             yield b" ".join(coded[codes[i:j]].tolist()), b"".join(back[codes[i:j]].tolist())
 
 
-def bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
-    """key, n_tokens, ids (array of int, if asked), and the SHA-256 of ids and of what they decode to."""
+def bpe(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = True, remembered: int = REMEMBERED, hold: bool = True) -> DataFrame:
+    """key, n_tokens, ids (array of int, if asked), and the SHA-256 of ids and of what they decode to.
+
+    remembered: bytes of tiles that a worker remembers; hold: whether it keeps these and
+    the vocabulary for its next task.
+    """
     base.arrow(docs.sparkSession)
 
+    def encoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, h, back, tokens = [], [], [], []
+        for coded, decoded in encode_column(batch.column(1), path, pattern, remembered):
+            n.append(coded.count(b" ") + 1 if coded else 0)
+            h.append(hashlib.sha256(coded).hexdigest())
+            back.append(hashlib.sha256(decoded).hexdigest())
+            if ids:
+                tokens.append(np.array(coded.split(), np.int32))
+        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(back, pa.string())]
+        names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if ids:
+            cols.append(pa.array(tokens, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base.tidy(OWNER)
-        for batch in batches:
-            n, h, back, tokens = [], [], [], []
-            for coded, decoded in encode_column(batch.column(1), path, pattern):
-                n.append(coded.count(b" ") + 1 if coded else 0)
-                h.append(hashlib.sha256(coded).hexdigest())
-                back.append(hashlib.sha256(decoded).hexdigest())
-                if ids:
-                    tokens.append(np.array(coded.split(), np.int32))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(back, pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                cols.append(pa.array(tokens, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-            del cols, tokens
-            base.trim()
+        try:
+            for batch in batches:
+                yield encoded(batch)
+                base.trim()
+        finally:
+            if not hold:
+                base.tidy()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
     return rows.mapInArrow(apply, f"`{key}` {dict(rows.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -439,3 +439,25 @@ def test_prefixed_names_and_long_strings_are_weak_parts():
         assert bare not in secrets.redacted(text, secrets.scan(text))
     assert [k for _, _, k in secrets.scan(f"DB_HOST=db.example.org DB_USER=alice {bare}")] == ["endpoint", "account", "bare"]
     assert secrets.scan(f"superuser=alice {bare}") == []
+
+
+def test_pipeline_workers_hold_no_vocabulary_after_encoding(spark):
+    import corpus_pipeline as C
+
+    d = docs(spark, [(i, f"some text {i}") for i in range(64)]).repartition(16)
+    want = sorted((r.doc_id, r.ids) for r in bpe.bpe(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect())
+    assert sorted((r.doc_id, r.ids) for r in C.encode(spark, d, "").collect()) == want
+    # What the workers of the call before held is gone only where its tasks came by; go round all of them.
+    for _ in range(3):
+        C.encode(spark, d, "").collect()
+
+    def held(batches):
+        import time
+
+        from panelforge.llm import base
+
+        for _ in batches:
+            time.sleep(0.2)
+            yield pa.RecordBatch.from_arrays([pa.array([sum(k[0] == bpe.OWNER for k in base._kept)], pa.int64())], names=["n"])
+
+    assert [r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect() if r.n] == []
