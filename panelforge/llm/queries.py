@@ -65,7 +65,7 @@ def op7_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
-    found = lm_scores(docs, docs.where(~base.held_out("doc_id", 10)))
+    found = lm_scores(docs, ~base.held_out("doc_id", 10))
     return found.select("doc_id", base.held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -18,8 +18,10 @@ Counts of shorter contexts, bounded by the alphabet and not by the corpus, go to
 executor.  Counts of all words are gathered besides.
 
 Scoring.  Documents are dealt into groups by a hash; each group sends the distinct
-strings of its texts to the tree's parts, which answer with their probabilities, in the
-order asked.  Strings and answers travel as packed arrays.  There are as many groups and
+strings of its texts to the tree's parts, which answer with these and their probabilities.
+Where the training texts are some of the scored ones, the same strings carry their counts
+in training texts, so that no text is sorted for counting alone.  Strings and answers
+travel as packed arrays.  There are as many groups and
 parts as there are shuffle partitions, or more: one for each GROUP training symbols, so
 that neither grows with the corpus.
 
@@ -38,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base, spans
@@ -154,6 +156,11 @@ def shortened(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return cut[new], np.add.reduceat(counts[order], new) if len(new) else counts
 
 
+def whole(u: np.ndarray, k: int) -> np.ndarray:
+    """Strings with k bytes of context as 8-byte strings."""
+    return u >> np.uint64(8) << np.uint64(8 * (8 - k)) | u & np.uint64(255)
+
+
 def first_counts(texts: DataFrame) -> DataFrame:
     """Word counts (kind 0), symbols and texts seen (kind 1), and strings of HEAD - 1 bytes of context (kind 2)."""
 
@@ -233,12 +240,53 @@ def string_counts(texts: DataFrame, parts: int) -> DataFrame:
     return texts.mapInArrow(count, _PACKED)
 
 
-def asked(text: pa.ChunkedArray) -> np.ndarray:
-    """Sorted distinct strings of a group's texts."""
+def asked(text: pa.ChunkedArray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct strings of a group's texts, with their counts in the learnt ones."""
     tally = Tally()
     for run in spans.runs(text, RUN):
-        tally.add(*counted(context_first(strings(symbols(run)))))
-    return tally.merge()[0]
+        s = symbols(run)
+        x, of = context_first(strings(s)), np.repeat(learnt[run.first : run.first + run.docs], np.diff(s.off))
+        tally.add(*counted(x[of]))
+        other = np.unique(x[~of])
+        tally.add(other, np.zeros(len(other), np.int64))
+    return tally.merge()
+
+
+class Places:
+    """Places of numbers in an array of distinct ones.
+
+    Each table has a slot for a number's hash; numbers that lost their slot to another
+    go to the next table.  A lookup costs less than half of a sort and a binary search.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.tables, left = keys, [], np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            table = np.zeros(1 << max(4, int(len(left)).bit_length()), np.int32)
+            self.tables.append(table)
+            slot = self._slots(keys[left], len(self.tables) - 1)
+            table[slot] = left
+            left = left[table[slot] != left]
+
+    def _slots(self, x: np.ndarray, k: int) -> np.ndarray:
+        bits = len(self.tables[k]).bit_length() - 1
+        return (((x ^ (x >> np.uint64(32))) * np.uint64(spans.BASE * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The place of each of x, all of which are among the keys."""
+        out, left = np.zeros(len(x), np.int32), None
+        for k, table in enumerate(self.tables):
+            if left is None:
+                out = table[self._slots(x, k)]
+                left = np.flatnonzero(self.keys[out] != x)
+            else:
+                mine = x[left]
+                at = table[self._slots(mine, k)]
+                out[left] = at
+                left = left[self.keys[at] != mine]
+            if not len(left):
+                break
+        return out
 
 
 def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,10 +300,14 @@ class Part:
     def __init__(self, short: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray):
         """short: strings with HEAD - 1 bytes of context, of all texts; keys: the part's strings, sorted, contexts first."""
         self.levels: list[tuple[np.ndarray, ...]] = []
-        whole = short[0] >> np.uint64(8) << np.uint64(8 * (9 - HEAD)) | short[0] & np.uint64(255)
+        # Each length is cut from the next longer one, which has fewer strings than all.
+        cut = {HEAD - 1: short, DEPTH: (keys, counts)}
+        for k in (*range(HEAD - 2, -1, -1), *range(DEPTH - 1, HEAD - 1, -1)):
+            u, n = cut[k + 1]
+            cut[k] = shortened(whole(u, k + 1), n, k)
         before, p_before = np.zeros(0, np.uint64), np.zeros(0)
         for k in range(DEPTH + 1):
-            u, n = shortened(whole, short[1], k) if k < HEAD else shortened(keys, counts, k)
+            u, n = cut.pop(k)
             if not len(u):
                 break
             ctx = u >> np.uint64(8)
@@ -294,7 +346,7 @@ class Part:
 
 
 def answers(packs: DataFrame, short: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """(grp, part, n, p): for each pack of a group's strings their log10 probabilities, in order."""
+    """(grp, part, n, keys, p): each pack of a group's strings, and their log10 probabilities in order."""
     held = packs.sparkSession.sparkContext.broadcast(short)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,17 +355,18 @@ def answers(packs: DataFrame, short: tuple[np.ndarray, np.ndarray], parts: int)
         open_: dict[int, list[tuple[int, int, bytes]]] = {}
         for batch in batches:
             for part, group, n, keys, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if group < 0:
-                    counts.setdefault(part, Tally()).add(unpacked(keys, n, np.uint64), unpacked(c, n, np.int64))
-                else:
+                if c:
+                    some = (much := unpacked(c, n, np.int64)) > 0
+                    counts.setdefault(part, Tally()).add(unpacked(keys, n, np.uint64)[some], much[some])
+                if group >= 0:
                     open_.setdefault(part, []).append((group, n, keys))
         for part, packs_ in open_.items():
             tree = Part(held.value, *counts.pop(part, Tally()).merge())
             for group, n, keys in packs_:
                 p = packed(rounded(tree.log10(unpacked(keys, n, np.uint64))))
-                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([p], pa.binary())], names=["grp", "part", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([keys], pa.binary()), pa.array([p], pa.binary())], names=["grp", "part", "n", "keys", "p"])
 
-    return packs.repartition(parts, "part").mapInArrow(answer, "grp int, part int, n int, p binary")
+    return packs.repartition(parts, "part").mapInArrow(answer, "grp int, part int, n int, keys binary, p binary")
 
 
 def train(texts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, int, DataFrame, int]:
@@ -330,11 +383,16 @@ def train(texts: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int, int, in
     return (keys[order], short["n"].to_numpy()[order]), total, n_tokens, distinct, words, docs
 
 
-def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+def lm_scores(docs: DataFrame, train_docs: DataFrame | Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
+
+    train_docs: the documents to learn from, or a condition that marks them among docs,
+    which takes less time.
+    """
     spark = docs.sparkSession
     base.arrow(spark)
-    texts = train_docs.select(F.col(text).cast("string").alias("text"))
+    own = isinstance(train_docs, Column)
+    texts = (docs.where(train_docs) if own else train_docs).select(F.col(text).cast("string").alias("text"))
     short, n_symbols, n_tokens, distinct, words, n_docs = train(texts)
     common = words.where(F.col("n") >= COMMON * n_tokens).toArrow()
     keys = common["key"].to_numpy().view(np.uint64)
@@ -343,27 +401,27 @@ def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text:
     below = float(n_tokens + 0.1 * (distinct + 1))
     end = float(np.log10((n_docs + 0.1) / below))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_symbols // GROUP + 1)
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(9), text).alias("same"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(9), text).alias("same"), F.col(text).cast("string").alias("text"), (F.coalesce(train_docs, F.lit(False)) if own else F.lit(False)).alias("learnt"))
     grouped = rows.withColumn("grp", F.pmod(F.xxhash64(F.lit(10), "key", "same"), F.lit(parts)).cast("int")).repartition(parts, "grp")
 
     def ask(key: tuple, group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_sent(asked(group["text"]), None, parts, key[0].as_py())])
+        strings_, n = asked(group["text"], group["learnt"].to_numpy())
+        return pa.Table.from_batches([_sent(strings_, n if own else None, parts, key[0].as_py())])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         base.tidy()
         keys, counts = held.value
         texts = left["text"]
-        distinct_ = asked(texts)
+        packs_ = list(zip(*(right[c].to_pylist() for c in ("part", "n", "keys", "p")), strict=True))
+        distinct_ = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpacked(k, n, np.uint64) for _, n, k, _ in packs_)]))
         order, ends = dealt(distinct_, parts)
         log = np.zeros(len(distinct_), np.float32)
-        for part, n, p in zip(right["part"].to_pylist(), right["n"].to_pylist(), right["p"].to_pylist(), strict=True):
+        for part, n, _, p in packs_:
             log[order[ends[part] : ends[part + 1]]] = unpacked(p, n, np.float32)
-        out = []
+        out, places = [], Places(distinct_)
         for run in spans.runs(texts, SCORED):
             s = symbols(run, True)
-            # Sorted lookups are far cheaper than those in the text's order.
-            mine, place = np.unique(context_first(strings(s)), return_inverse=True)
-            score = np.add.reduceat(log[np.searchsorted(distinct_, mine)][place].astype(np.float64), s.off[:-1])
+            score = np.add.reduceat(log[places.of(context_first(strings(s)))].astype(np.float64), s.off[:-1])
             codes, uniq, _ = spans.factorize(s.hash)
             at = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
             hit = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
@@ -378,7 +436,8 @@ def lm_scores(docs: DataFrame, train_docs: DataFrame, key: str = "doc_id", text:
             out.append(pa.table(cols, names=["key", "same", "n_tokens", "n_known", "base_score", "score", "rare"]))
         return pa.concat_tables(out) if out else pa.table([left["key"], left["same"], *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())))], names=["key", "same", "n_tokens", "n_known", "base_score", "score", "rare"])
 
-    packs = string_counts(texts, parts).unionByName(grouped.groupBy("grp").applyInArrow(ask, _PACKED))
+    packs = grouped.groupBy("grp").applyInArrow(ask, _PACKED)
+    packs = packs if own else string_counts(texts, parts).unionByName(packs)
     replies = answers(packs, short, parts)
     scored = base.checkpoint(
         grouped.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(apply, f"key {dict(rows.dtypes)['key']}, same long, n_tokens long, n_known long, base_score double, score double, rare array<long>")

@@ -461,3 +461,24 @@ def test_pipeline_workers_hold_no_vocabulary_after_encoding(spark):
             yield pa.RecordBatch.from_arrays([pa.array([sum(k[0] == bpe.OWNER for k in base._kept)], pa.int64())], names=["n"])
 
     assert [r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect() if r.n] == []
+
+
+def test_training_texts_among_the_scored_ones_are_counted_with_them(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["alpha", "alpine", "beta", "g\0a", "d", "日本"]) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(100, None), (101, "alphabet beta"), (2, "alpha  beta\n"), (2, "alpha  beta\n"), (None, "alpine")]
+    d = docs(spark, rows)
+    seen = lambda found: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), r.score) for r in found.collect())
+    want = seen(suffix_tree.lm_scores(d, d.where("doc_id < 50")))
+    none = seen(suffix_tree.lm_scores(d, d.where("doc_id < 0")))
+
+    def never(*_):
+        raise AssertionError("training texts were sorted for counting alone")
+
+    monkeypatch.setattr(suffix_tree, "string_counts", never)
+    assert seen(suffix_tree.lm_scores(d, F.col("doc_id") < 50)) == want
+    assert seen(suffix_tree.lm_scores(d, F.col("doc_id") < 0)) == none
+    x = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    x = np.concatenate([x, x[:3000], x[:100] + np.uint64(1)])
+    keys = np.unique(x)
+    assert (keys[suffix_tree.Places(keys).of(x)] == x).all()
+    assert len(suffix_tree.Places(keys[:0]).of(keys[:0])) == 0
