@@ -482,3 +482,31 @@ def test_training_texts_among_the_scored_ones_are_counted_with_them(spark, monke
     keys = np.unique(x)
     assert (keys[suffix_tree.Places(keys).of(x)] == x).all()
     assert len(suffix_tree.Places(keys[:0]).of(keys[:0])) == 0
+
+
+def test_bpe_of_new_words_makes_few_calls_a_word():
+    """Of words met once each, most of the time went into Python calls for every tile and token."""
+    import sys
+
+    import tiktoken
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeéßñ語9'") for _ in range(rnd.randint(4, 16))) for _ in range(20_000)]
+    texts = [" ".join(words[i : i + 100]) + rnd.choice(["", ".", "\n", " "]) for i in range(0, len(words), 100)]
+    path = P.path("byte_bpe_50k.tiktoken")
+    v = bpe.vocabulary(path)
+    calls = 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = list(bpe.encode_column(pa.array(texts), path, P.PATTERN, 1 << 25))
+    finally:
+        sys.setprofile(None)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    assert [x for x, _ in found] == [" ".join(map(str, enc.encode_ordinary(t))).encode() for t in texts]
+    assert [x for _, x in found] == [t.encode() for t in texts]
+    assert calls < 25 * len(words)
